@@ -119,7 +119,7 @@ def head_split(
     ``fraction`` is the row's position in the shuffle order, scaled to [0,1).
     """
     test = df.where(fraction < test_share)
-    train = df.where((fraction >= test_share) & (fraction < test_share + train_share))
+    train = df.where((fraction >= test_share) & (fraction < round(test_share + train_share, 12)))
     return test, train
 
 

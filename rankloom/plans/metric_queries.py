@@ -145,8 +145,8 @@ _UNIQUE = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderke
     f"""
 WITH u AS {_UNIQUE},
      o AS (SELECT l_orderkey, l_linenumber FROM u WHERE l_shipdate < TIMESTAMP '1998-01-01'),
-     n AS (SELECT l_orderkey, l_linenumber FROM u WHERE l_shipdate >= TIMESTAMP '1993-01-01'),
-     both_ AS (SELECT * FROM u WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_shipdate >= TIMESTAMP '1993-01-01')
+     n AS (SELECT l_orderkey, l_linenumber FROM u WHERE l_shipdate >= TIMESTAMP '1996-01-01'),
+     both_ AS (SELECT * FROM u WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_shipdate >= TIMESTAMP '1996-01-01')
 SELECT (SELECT count(*) FROM both_) AS in_both,
        (SELECT count(*) FROM o) - (SELECT count(*) FROM both_) AS only_old,
        (SELECT count(*) FROM n) - (SELECT count(*) FROM both_) AS only_new,
@@ -163,7 +163,7 @@ def compare_predictions(spark, sf_dir):
     )
     day = lambda text: F.lit(text).cast("timestamp_ntz")
     old = unique.where(F.col("l_shipdate") < day("1998-01-01"))
-    new = unique.where(F.col("l_shipdate") >= day("1993-01-01")).withColumn("probability", F.col("l_tax"))
+    new = unique.where(F.col("l_shipdate") >= day("1996-01-01")).withColumn("probability", F.col("l_tax"))
     out = rm.compare_predictions(old, new, ["l_orderkey", "l_linenumber"], "user_id")
     return out.select(
         "in_both", "only_old", "only_new", *[F.round(c, 6).alias(c) for c in ("old_auc", "old_group_auc", "new_auc", "new_group_auc")]
