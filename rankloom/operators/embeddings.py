@@ -57,6 +57,10 @@ def score_pairs(
     return joined.withColumn("score", sigmoid(arrays.dot(F.col("_u"), F.col("_i")))).drop("_u", "_i")
 
 
+#: scores held at a time while a cell is multiplied out
+CELL_SCORES = 4_000_000
+
+
 def top_items(
     users: DataFrame,
     items: DataFrame,
@@ -100,18 +104,24 @@ def top_items(
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"u": [], "i": [], "s": []}).astype({"u": "int64", "i": "int64", "s": "float64"})
-        ids = right["i"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        scores = np.stack(left["uv"].to_numpy()) @ np.stack(right["iv"].to_numpy())[order].T
-        picked = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "u": np.repeat(left["u"].to_numpy(), picked.shape[1]),
-                "i": ids[picked].ravel(),
-                "s": np.take_along_axis(scores, picked, axis=1).ravel(),
-            }
-        )
+        order = np.argsort(right["i"].to_numpy(), kind="stable")
+        ids = right["i"].to_numpy()[order]
+        matrix = np.stack(right["iv"].to_numpy())[order].T
+        vectors, owners = np.stack(left["uv"].to_numpy()), left["u"].to_numpy()
+        keep = min(k, len(ids))
+        rows_at_once = max(1, CELL_SCORES // len(ids))
+        found = []
+        for start in range(0, len(owners), rows_at_once):
+            scores = vectors[start : start + rows_at_once] @ matrix
+            floor = np.partition(scores, -keep, axis=1)[:, -keep]
+            row, col = np.nonzero(scores >= floor[:, None])
+            value = scores[row, col]
+            by = np.lexsort((col, -value, row))
+            row, col, value = row[by], col[by], value[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            chosen = place < keep
+            found.append(pd.DataFrame({"u": owners[start + row[chosen]], "i": ids[col[chosen]], "s": value[chosen]}))
+        return pd.concat(found)
 
     cells = (
         u.groupBy("ub", "ib").cogroup(i.groupBy("ub", "ib")).applyInPandas(best, "u bigint, i bigint, s double")

@@ -53,8 +53,11 @@ def unseen_values(df: DataFrame, dictionary: DataFrame, columns: Sequence[str])
     return column_values(df, columns).join(dictionary, ["column", "value"], "left_anti")
 
 
-def extend_dictionary(df: DataFrame, dictionary: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Keep every old number; unseen values follow the old maximum in frequency order of ``df``."""
+def new_entries(df: DataFrame, dictionary: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Entries for the values of ``df`` that the dictionary does not have yet.
+
+    They follow the old maximum of their column in frequency order of ``df``.
+    """
     if dictionary is None:
         return fit_dictionary(df, columns)
     fresh = number_rows(
@@ -65,9 +68,16 @@ def extend_dictionary(df: DataFrame, dictionary: DataFrame | None, columns: Sequ
     )
     # one row per encoded column
     start = max_index(dictionary)
-    added = fresh.join(F.broadcast(start), "column", "left").select(
+    return fresh.join(F.broadcast(start), "column", "left").select(
         "column", "value", (F.coalesce(F.col("max_idx") + 1, F.lit(0)) + F.col("_rank")).alias("idx")
     )
+
+
+def extend_dictionary(df: DataFrame, dictionary: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Keep every old number and add the new entries."""
+    added = new_entries(df, dictionary, columns)
+    if dictionary is None:
+        return added
     return dictionary.select("column", "value", "idx").unionByName(added)
 
 
