@@ -179,7 +179,19 @@ def passtime(
     )
 
 
-def gap_minutes(events: DataFrame, keys: Sequence[str], ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
-    """Minutes since the previous event of the same key, for every event (first event: NULL)."""
-    window = Window.partitionBy(*keys).orderBy(ts, *tie)
-    return events.withColumn("gap", elapsed_minutes(F.lag(ts).over(window), F.col(ts)))
+def gap_minutes(
+    events: DataFrame, keys: Sequence[str], ts: str = "ts", tie: Sequence[str] = (), slice_unit: str = "hour"
+) -> DataFrame:
+    """Minutes since the previous event of the same key, for every event (first event: NULL).
+
+    Rows are ordered per (key, time slice); only the last time of each slice
+    is carried across slices, so one very active key is spread over tasks.
+    """
+    sliced = events.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts).cast("timestamp")))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, *tie)
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias("_end"))
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    carried = ends.select(*keys, "_slice", F.lag("_end").over(across).alias("_carried"))
+    joined = sliced.withColumn("_prev", F.lag(ts).over(inside)).join(carried, [*keys, "_slice"], "left")
+    gap = elapsed_minutes(F.coalesce("_prev", "_carried"), F.col(ts))
+    return joined.select(*events.columns, gap.alias("gap"))

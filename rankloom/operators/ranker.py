@@ -24,7 +24,7 @@ from rankloom.checks import require_columns
 from rankloom.functions import arrays
 from rankloom.functions.scalars import position_discount
 from rankloom.functions.vectors import to_array
-from rankloom.session import scratch_path
+from rankloom.operators.chunks import written_once
 
 
 @dataclass
@@ -88,29 +88,23 @@ def train_pairwise_ranker(
 ) -> PairwiseRanker:
     """Gradient descent with step halving; each iteration is one distributed aggregation."""
     require_columns(df, [group, label, features])
-    spark = df.sparkSession
     rows = to_array(df.select(group, F.col(label).cast("double").alias("_y"), features), features)
     rows = rows.withColumn(features, F.col(features).cast("array<double>"))
     means, scales = _standardized(rows, features)
     center = F.array(*[F.lit(float(m)) for m in means])
     spread = F.array(*[F.lit(float(s)) for s in scales])
     z = F.zip_with(F.zip_with(F.col(features), center, lambda a, b: a - b), spread, lambda a, b: a / b)
-    # read once per iteration: standardised rows are stored, not recomputed
-    path = scratch_path(spark, "ranker")
-    rows.select(group, "_y", z.alias("_z")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    weight_of = ideal_dcg(rows, group, "_y", max_position).where("ideal > 0").select(
-        group, (1.0 / F.col("ideal")).alias("_g")
-    )
-    weight_path = scratch_path(spark, "ranker-weights")
-    weight_of.write.parquet(weight_path)
-    weight_of = spark.read.parquet(weight_path)
+    standard = rows.select(group, "_y", z.alias("_z"))
+    ideal = ideal_dcg(rows, group, "_y", max_position).where("ideal > 0")
+    weighted = standard.join(ideal, group).select(group, "_y", "_z", (1.0 / F.col("ideal")).alias("_g"))
+    # read once per iteration, so the prepared rows are stored instead of recomputed
+    rows = written_once(weighted, "ranker")
 
     def loss_and_gradient(w: np.ndarray) -> tuple[float, np.ndarray]:
         s = arrays.dot(F.col("_z"), F.array(*[F.lit(float(v)) for v in w]))
-        scored = rows.select(group, "_y", "_z", F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
+        scored = rows.select(group, "_y", "_z", "_g", F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
         levels = scored.groupBy(group, "_y").agg(F.sum("_down").alias("a"), F.sum("_up").alias("b"))
-        levels = levels.join(weight_of, group).withColumn("gain", F.pow(F.lit(2.0), F.col("_y")) - 1.0)
+        levels = levels.withColumn("gain", F.pow(F.lit(2.0), F.col("_y")) - 1.0)
         lower = Window.partitionBy(group).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
         upper = Window.partitionBy(group).orderBy("_y").rowsBetween(1, Window.unboundedFollowing)
         total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
@@ -118,7 +112,7 @@ def train_pairwise_ranker(
         above = total(F.col("gain") * F.col("a"), upper) - F.col("gain") * total("a", upper)
         # how strongly a row of this level is pulled up and pushed down; both are >= 0
         levels = levels.select(
-            group, "_y", F.greatest(below, F.lit(0.0)).alias("_pull"), F.greatest(above, F.lit(0.0)).alias("_push"), "_g"
+            group, "_y", F.greatest(below, F.lit(0.0)).alias("_pull"), F.greatest(above, F.lit(0.0)).alias("_push")
         )
         forces = scored.join(levels, [group, "_y"]).select(
             array_to_vector(F.col("_z")).alias("_v"),

@@ -17,15 +17,21 @@ from rankloom.operators.chunks import (
     before_chunk,
     before_in_chunk,
     exact_quantiles,
+    quantile_cuts,
     value_histogram,
+    written_once,
 )
+from rankloom.session import shuffle_width
 
 
-def rank_sum(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+def rank_sum(
+    df: DataFrame, score: str, label: str, keys: Sequence[str] = (), cuts: Sequence[float] | None = None
+) -> DataFrame:
     """Per group: positives, negatives, won pairs (a tie counts one half), rows without a score.
 
     AUC = wins / (pos * neg).  Equal scores share their rank, so the result does
     not depend on row order.  Arithmetic is in doubles, so large groups cannot overflow.
+    ``cuts`` (see ``quantile_cuts``) may be shared by several calls on one table.
     """
     keys = list(keys)
     require_columns(df, [score, label, *keys])
@@ -40,6 +46,7 @@ def rank_sum(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) ->
             F.count_if((F.col("_y") == 0.0) & has_score).cast("double").alias("_n"),
             F.count_if(~has_score).alias("_d"),
         ],
+        cuts,
     )
     below = F.coalesce(F.sum("_n").over(before_in_chunk(keys, "_s")), F.lit(0.0))
     per_chunk = (
@@ -68,26 +75,36 @@ def _auc_value() -> F.Column:
     return F.when(_two_class(), F.col("wins") / (F.col("pos") * F.col("neg")))
 
 
-def auc(df: DataFrame, score: str = "probability", label: str = "label") -> DataFrame:
+def auc(
+    df: DataFrame, score: str = "probability", label: str = "label", cuts: Sequence[float] | None = None
+) -> DataFrame:
     """Exact area under ROC; NULL when only one class is present."""
-    return rank_sum(df, score, label).select(_auc_value().alias("auc"))
+    return rank_sum(df, score, label, (), cuts).select(_auc_value().alias("auc"))
 
 
-def auc_by_group(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+def auc_by_group(
+    df: DataFrame, group: str, score: str, label: str, cuts: Sequence[float] | None = None
+) -> DataFrame:
     """AUC of each non-NULL group that has both classes."""
-    scored = rank_sum(df.where(F.col(group).isNotNull()), score, label, [group])
+    scored = rank_sum(df.where(F.col(group).isNotNull()), score, label, [group], cuts)
     return scored.where(_two_class()).select(
         group, _auc_value().alias("auc"), (F.col("pos") + F.col("neg")).alias("rows"), "unscored"
     )
 
 
-def group_auc(df: DataFrame, group: str, score: str = "probability", label: str = "label") -> DataFrame:
+def group_auc(
+    df: DataFrame,
+    group: str,
+    score: str = "probability",
+    label: str = "label",
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
     """Row-weighted mean of per-group AUC.
 
     Groups with one class are left out and weights cover the kept groups only.
     Ties are averaged; rows without a score are dropped and reported.
     """
-    return auc_by_group(df, group, score, label).agg(
+    return auc_by_group(df, group, score, label, cuts).agg(
         (F.sum(F.col("auc") * F.col("rows")) / F.sum("rows")).alias("group_auc"),
         F.count(F.lit(1)).alias("groups"),
         F.sum("rows").cast("bigint").alias("rows_used"),
@@ -101,11 +118,13 @@ def group_auc_report(
     """(dataset, grouping, value): overall AUC plus one group AUC per grouping column."""
     parts = []
     for name, df in datasets.items():
-        parts.append(auc(df, score, label).select(F.lit(name).alias("dataset"), F.lit("all").alias("grouping"), F.col("auc").alias("value")))
-        for g in groups:
+        cuts = quantile_cuts(df, score, shuffle_width(df.sparkSession))
+        values = {"all": auc(df, score, label, cuts)}
+        values |= {g: group_auc(df, g, score, label, cuts).select("group_auc") for g in groups}
+        for grouping, value in values.items():
             parts.append(
-                group_auc(df, g, score, label).select(
-                    F.lit(name).alias("dataset"), F.lit(g).alias("grouping"), F.col("group_auc").alias("value")
+                value.select(
+                    F.lit(name).alias("dataset"), F.lit(grouping).alias("grouping"), F.col(value.columns[0]).alias("value")
                 )
             )
     report = parts[0]
@@ -136,17 +155,20 @@ def compare_predictions(
         F.col(score).alias(f"{tag}_score"),
         F.lit(1).alias(f"in_{tag}"),
     )
-    both = side(old, "old").join(side(new, "new"), keys, "full_outer")
+    # read by every metric below, so the joined scores are stored once
+    both = written_once(side(old, "old").join(side(new, "new"), keys, "full_outer"), "compare")
     coverage = both.agg(
         F.count_if(F.col("in_old").isNotNull() & F.col("in_new").isNotNull()).alias("in_both"),
         F.count_if(F.col("in_new").isNull()).alias("only_old"),
         F.count_if(F.col("in_old").isNull()).alias("only_new"),
     )
+    shared = both.where(F.col("in_old").isNotNull() & F.col("in_new").isNotNull())
     parts = []
     for tag in ("old", "new"):
-        shared = both.where(F.col("in_old").isNotNull() & F.col("in_new").isNotNull())
-        overall = auc(shared, f"{tag}_score", f"{tag}_label").select(F.col("auc").alias(f"{tag}_auc"))
-        grouped = group_auc(shared, f"{tag}_group", f"{tag}_score", f"{tag}_label")
+        columns = (f"{tag}_score", f"{tag}_label")
+        cuts = quantile_cuts(shared, columns[0], shuffle_width(shared.sparkSession))
+        overall = auc(shared, *columns, cuts).select(F.col("auc").alias(f"{tag}_auc"))
+        grouped = group_auc(shared, f"{tag}_group", *columns, cuts)
         parts += [overall, grouped.select(F.col("group_auc").alias(f"{tag}_group_auc"))]
     # every part is exactly one row
     return coverage.select("*", *[p.scalar().alias(p.columns[0]) for p in parts])
