@@ -91,18 +91,17 @@ def train_pairwise_ranker(
     rows = to_array(df.select(group, F.col(label).cast("double").alias("_y"), features), features)
     rows = rows.withColumn(features, F.col(features).cast("array<double>"))
     means, scales = _standardized(rows, features)
-    center = F.array(*[F.lit(float(m)) for m in means])
-    spread = F.array(*[F.lit(float(s)) for s in scales])
-    z = F.zip_with(F.zip_with(F.col(features), center, lambda a, b: a - b), spread, lambda a, b: a / b)
-    standard = rows.select(group, "_y", z.alias("_z"))
     ideal = ideal_dcg(rows, group, "_y", max_position).where("ideal > 0")
-    weighted = standard.join(ideal, group).select(group, "_y", "_z", (1.0 / F.col("ideal")).alias("_g"))
     # read once per iteration, so the prepared rows are stored instead of recomputed
-    rows = written_once(weighted, "ranker")
+    rows = written_once(
+        rows.join(ideal, group).select(group, "_y", F.col(features).alias("_x"), (1.0 / F.col("ideal")).alias("_g")),
+        "ranker",
+    )
 
     def loss_and_gradient(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = arrays.dot(F.col("_z"), F.array(*[F.lit(float(v)) for v in w]))
-        scored = rows.select(group, "_y", "_z", "_g", F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
+        raw = w / scales
+        s = arrays.dot(F.col("_x"), F.array(*[F.lit(float(v)) for v in raw])) - F.lit(float(raw @ means))
+        scored = rows.select(group, "_y", "_x", "_g", F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
         levels = scored.groupBy(group, "_y").agg(F.sum("_down").alias("a"), F.sum("_up").alias("b"))
         levels = levels.withColumn("gain", F.pow(F.lit(2.0), F.col("_y")) - 1.0)
         lower = Window.partitionBy(group).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,18 +114,21 @@ def train_pairwise_ranker(
             group, "_y", F.greatest(below, F.lit(0.0)).alias("_pull"), F.greatest(above, F.lit(0.0)).alias("_push")
         )
         forces = scored.join(levels, [group, "_y"]).select(
-            array_to_vector(F.col("_z")).alias("_v"),
+            array_to_vector(F.col("_x")).alias("_v"),
             (F.col("_down") * F.col("_pull") * F.col("_g")).alias("_wa"),
             (F.col("_up") * F.col("_push") * F.col("_g")).alias("_wb"),
         )
         row = forces.agg(
             F.sum("_wa").alias("loss"),
+            F.sum("_wb").alias("total_b"),
             Summarizer.sum(F.col("_v"), F.col("_wa")).alias("ga"),
             Summarizer.sum(F.col("_v"), F.col("_wb")).alias("gb"),
         ).first()
         if not row["loss"]:
             raise ValueError("no request has two different labels")
-        gradient = row["gb"].toArray() - row["ga"].toArray()
+        pulled = (row["ga"].toArray() - means * row["loss"]) / scales
+        pushed = (row["gb"].toArray() - means * row["total_b"]) / scales
+        gradient = pushed - pulled
         return row["loss"] + 0.5 * reg * float(w @ w), gradient + reg * w
 
     w = np.zeros(len(means))

@@ -21,7 +21,7 @@ from rankloom.functions.vectors import densify, positive_probability, to_ml_vect
 from rankloom.operators.joins import name_slots
 from rankloom.operators.ranker import train_pairwise_ranker
 from rankloom.operators.ranking_metrics import auc, scale_pos_weight
-from rankloom.operators.samples import hash_fraction, merge_category_features
+from rankloom.operators.samples import hash_fraction, merge_category_features, repartition_for_training
 
 # Keys understood by every trainer.
 COMMON_KEYS = {
@@ -177,10 +177,18 @@ TRAINERS = {"xgb": train_gbt, "lgb": train_gbt, "lr": train_lr, "fm": train_fm,
 
 
 def train(df: DataFrame, cfg: dict):
+    """Fit the configured model; ``workers`` spreads the rows evenly and keeps them cached while fitting."""
     kind = cfg.get("model")
     if kind not in TRAINERS:
         raise ValueError(f"model {kind!r} not supported; one of {sorted(TRAINERS)}")
-    return TRAINERS[kind](df, cfg)
+    workers = setting(cfg, "workers")
+    if workers is None:
+        return TRAINERS[kind](df, cfg)
+    rows = repartition_for_training(df, int(workers))
+    try:
+        return TRAINERS[kind](rows, cfg)
+    finally:
+        rows.unpersist()
 
 
 def prepare(df: DataFrame, cfg: dict, add_category: bool = False) -> DataFrame:

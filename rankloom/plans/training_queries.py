@@ -14,9 +14,9 @@ from rankloom.plans.sample_queries import sample_table
 from rankloom.session import scratch_path
 from rankloom.sources.models import load_model, train_or_load
 
-GBT = {"model": "lgb", "maxDepth": 3, "iterations": 5, "learningRate": 0.1, "baggingFraction": 0.8, "lambda1": "-"}
-LR = {"model": "lr", "iterations": 20, "regParam": 0.01}
-FM = {"model": "fm", "iterations": 10, "factorSize": 4, "learningRate": 0.01}
+GBT = {"model": "lgb", "maxDepth": 3, "iterations": 5, "learningRate": 0.1, "baggingFraction": 0.8, "lambda1": "-", "workers": 8}
+LR = {"model": "lr", "iterations": 20, "regParam": 0.01, "workers": 8}
+FM = {"model": "fm", "iterations": 10, "factorSize": 4, "learningRate": 0.01, "workers": 8}
 
 
 def sides(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -101,15 +102,13 @@ def stream_recent_sequence(
     entries = "at array<bigint>, id array<bigint>, item array<bigint>"
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"at": [], "id": [], "item": []}, dtype="int64")
-        if state.exists:
-            at, ids, items = state.get
-            kept = pd.DataFrame({"at": list(at), "id": list(ids), "item": list(items)}, dtype="int64")
+        kept = set(zip(*state.get)) if state.exists else set()
         for chunk in chunks:
-            both = pd.concat([kept, chunk[["at", "id", "item"]].astype("int64")])
-            kept = both.drop_duplicates("id").sort_values(["at", "id"], ascending=False).head(n)
-        columns = [kept["at"].tolist(), kept["id"].tolist(), kept["item"].tolist()]
-        state.update(tuple(columns))
+            kept.update(zip(chunk["at"].tolist(), chunk["id"].tolist(), chunk["item"].tolist()))
+            if len(kept) > n:
+                kept = set(heapq.nlargest(n, kept))
+        columns = tuple(list(c) for c in zip(*sorted(kept, reverse=True)))
+        state.update(columns)
         yield pd.DataFrame([[*key, *columns]], columns=[*keys, "salt", "at", "id", "item"])
 
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
