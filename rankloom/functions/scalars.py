@@ -38,7 +38,7 @@ def bucket_elapsed(minutes: Column) -> Column:
 
 
 def cap_count(c: Column, top: int = 2) -> Column:
-    return clip(c.cast("int"), 0, top)
+    return clip(c.cast("double"), 0.0, float(top)).cast("int")
 
 
 def sigmoid(c: Column) -> Column:

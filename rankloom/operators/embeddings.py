@@ -231,10 +231,12 @@ class Whitening:
             scaled = vectors.T / np.sqrt(values)[:, None]
             return vectors @ scaled if kind == "zca" else scaled
         if kind == "iter_norm":
+            # coupled Newton-Schulz steps: the same limit as the plain iteration, without its round-off growth
             trace = np.trace(cov)
-            root = eye
+            product, root = cov / trace, eye
             for _ in range(iterations):
-                root = 1.5 * root - 0.5 * root @ root @ root @ (cov / trace)
+                factor = 1.5 * eye - 0.5 * root @ product
+                product, root = product @ factor, factor @ root
             return root / np.sqrt(trace)
         raise ValueError(f"unknown whitening {kind!r}; one of {Whitening.KINDS}")
 
