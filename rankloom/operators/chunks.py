@@ -31,12 +31,13 @@ def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
 
 
 def with_chunk(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
-    if not cuts:
-        return df.withColumn(CHUNK, F.lit(0.0))
-    splits = [float("-inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(CHUNK, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=value, outputCol=CHUNK, handleInvalid="keep").transform(df)
+    """Add the number of the range each value falls in (an integer: it is a shuffle key)."""
+    inner = [c for c in cuts if abs(c) != float("inf")]
+    if not inner:
+        return df.withColumn(CHUNK, F.lit(0))
+    splits = [float("-inf"), *inner, float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol=value, outputCol=CHUNK, handleInvalid="keep")
+    return bucketizer.transform(df).withColumn(CHUNK, F.col(CHUNK).cast("int"))
 
 
 def value_histogram(
