@@ -140,8 +140,8 @@ def quantile_bucketize(
 ) -> DataFrame:
     """Equal-frequency buckets 0..n-1; only the cut points reach the driver.
 
-    ``exact`` uses interpolated percentiles, otherwise a sketch.  A value equal
-    to a cut point belongs to the upper bucket.
+    ``exact`` uses interpolated percentiles, otherwise sketched ones (see
+    ``quantile_cuts``).  A value equal to a cut point belongs to the upper bucket.
     """
     if exact:
         wanted = [i / buckets for i in range(1, buckets)]

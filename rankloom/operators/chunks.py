@@ -21,12 +21,25 @@ from rankloom.session import scratch_path, shuffle_width
 CHUNK = "_chunk"
 
 
+PROBES = [i / 256 for i in range(257)]
+
+
 def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
-    """Approximate cut points for ``parts`` ranges; only these numbers reach the driver."""
+    """Approximate cut points for ``parts`` ranges; only these numbers reach the driver.
+
+    Small sketches per group of input tasks give 257 probe points each, and a
+    second sketch over the probes gives the cuts: no task merges the sketches
+    of all input tasks.
+    """
+    width = shuffle_width(df.sparkSession)
+    local = (
+        df.select(F.col(value).cast("double").alias("_v"), (F.spark_partition_id() % width).alias("_g"))
+        .groupBy("_g")
+        .agg(F.percentile_approx("_v", PROBES, 1_000).alias("_probes"))
+        .select(F.explode("_probes").alias("_v"))
+    )
     probabilities = [i / parts for i in range(1, parts)]
-    found = df.agg(
-        F.percentile_approx(F.col(value).cast("double"), probabilities, max(10_000, 20 * parts))
-    ).first()[0]
+    found = local.agg(F.percentile_approx("_v", probabilities, max(10_000, 20 * parts))).first()[0]
     return sorted({float(c) for c in found or [] if c == c})
 
 

@@ -94,6 +94,39 @@ def continuous_slots(values: Column, start: int, width: int) -> Column:
     return arrays.clip_all(F.slice(values, start + 1, width).cast("array<double>"), 0.0, 1.0)
 
 
+def process_pair(pair: Column, contract: FeatureContract | None = None) -> Column:
+    """The four pair slots, clamped to their shared vocabulary without offsets."""
+    dims = (contract or FeatureContract()).dims["others"]
+    total = sum(dims[n] for n in fixed.PAIR_NAMES)
+    return arrays.clip_all(pair.cast("array<bigint>"), 0, total - 1)
+
+
+def process_inputs(df: DataFrame, inputs: str, contract: FeatureContract) -> DataFrame:
+    """All model inputs from the concatenated vector, in one projection.
+
+    The contract must list the vocabularies of the bucket groups (its JSON
+    form does).  Outputs: the realtime parts, ``context``, ``goods_sparse`` and
+    the separate ids, the twelve sequence segments, ``pair``, and per bucket
+    field ``<field>_obj`` (discrete) and ``<field>_raw`` (continuous).
+    """
+    fields = {n: c for (n, _), c in zip(contract.fields, arrays.field_slices(F.col(inputs), contract.fields))}
+    widths = dict(contract.fields)
+    columns = process_realtime(fields["realtime_features"])
+    columns.append(process_context(fields["context_feature"].cast("array<bigint>"), contract).alias("context"))
+    columns.append(process_pair(fields["features_pair_4"], contract).alias("pair"))
+    for name, slots in fixed.BUCKET_SLOTS.items():
+        group = name.removesuffix("_features")
+        columns.append(process_bucket_group(fields[name], contract.group_dims(group), slots).alias(f"{group}_obj"))
+        start = fixed.CONTINUOUS_START.get(name)
+        if start is not None:
+            columns.append(continuous_slots(fields[name], start, widths[name] - start).alias(f"{group}_raw"))
+    kept = [c for c in df.columns if c != inputs]
+    wide = df.select(
+        *kept, *columns, fields["goods_sparse_features"].alias("_ids"), fields["sequence"].alias("_sequence")
+    )
+    return split_sequence(select_sparse_ids(wide, "_ids", contract), "_sequence", contract).drop("_ids", "_sequence")
+
+
 def clip_columns(df: DataFrame, columns: Sequence[str], lo: float, hi: float) -> DataFrame:
     require_columns(df, columns)
     return df.withColumns({c: clip(F.col(c), lo, hi) for c in columns})

@@ -261,10 +261,15 @@ DECILES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
 def score_deciles(df: DataFrame, column: str = "probability", exact: bool = False) -> DataFrame:
-    """(p, value) for the nine deciles; the sketch needs no down-sampling at any size."""
+    """(p, value) for the nine deciles, without down-sampling.
+
+    The sketch form first joins neighbouring input splits, which bounds the
+    number of sketches the last task merges.
+    """
     if exact:
         return exact_quantiles(df, column, DECILES)
-    cuts = df.agg(F.percentile_approx(column, DECILES, 10_000).alias("v"))
+    source = df.select(column).coalesce(shuffle_width(df.sparkSession))
+    cuts = source.agg(F.percentile_approx(column, DECILES, 10_000).alias("v"))
     names = F.array(*[F.lit(p) for p in DECILES])
     return cuts.select(F.explode(F.arrays_zip(names.alias("p"), F.col("v").alias("value"))).alias("r")).select("r.*")
 

@@ -97,6 +97,19 @@ REALTIME_PARTS = [
     ("realtime_user_group", 36, 32),
 ]
 
+# discrete slots of the bucket fields as (start, width), and where continuous slots begin
+BUCKET_SLOTS = {
+    "bucket_user_features": [(0, 66)],
+    "bucket_goods_features": [(4, 49)],
+    "bucket_pair_features": [(0, 10), (20, 4)],
+    "bucket_user_cspu_features": [(0, 28)],
+    "bucket_ozid_cspu_features": [(0, 28)],
+    "bucket_user_behavior_features": [(0, 34)],
+    "bucket_goods_gross_features": [(0, 1)],
+}
+CONTINUOUS_START = {"bucket_user_features": 120, "bucket_goods_features": 98}
+PAIR_NAMES = ["buy_time", "is_click", "is_cart", "is_buy"]
+
 HORIZONS = [1, 3, 7, 14]
 TOTAL_HORIZONS = [1, 7, 14, 30]
 # -----------------------------------------------------------------------------------

@@ -190,6 +190,58 @@ def offset_encode(spark, sf_dir):
     return _positions(rows, "ids", "id")
 
 
+BUCKET_GROUPS = {
+    "bucket_user": 66,
+    "bucket_goods": 49,
+    "bucket_pair": 14,
+    "bucket_user_cspu": 28,
+    "bucket_ozid_cspu": 28,
+    "bucket_user_behavior": 34,
+    "bucket_goods_gross": 1,
+}
+
+
+def rule_contract() -> FeatureContract:
+    """The contract with bucket vocabularies from a rule: slot i of a group has 20 + i values."""
+    groups = {g: {f"{g}_{i}": 20 + i for i in range(n)} for g, n in BUCKET_GROUPS.items()}
+    contract = FeatureContract()
+    contract.dims.update(groups)
+    contract.names.update({g: list(d) for g, d in groups.items()})
+    return contract
+
+
+def _inputs_sql() -> str:
+    parts = []
+    start = FIELD_STARTS["features_pair_4"]
+    pair_top = sum(fixed.VOCABULARY[n] for n in fixed.PAIR_NAMES) - 1
+    parts.append(f"SELECT vec_id, 'pair' AS part, unnest(generate_series(0, 3)) AS pos, unnest(list_transform(inputs[{start + 1}:{start + 4}], lambda x: CAST(greatest(0, least({pair_top}, x)) AS DOUBLE))) AS v FROM w")
+    for field, slots in fixed.BUCKET_SLOTS.items():
+        group, base = field.removesuffix("_features"), FIELD_STARTS[field]
+        dims = [20 + i for i in range(BUCKET_GROUPS[group])]
+        cut = " || ".join(f"inputs[{base + s + 1}:{base + s + n}]" for s, n in slots)
+        parts.append(f"""SELECT vec_id, '{group}_obj', unnest(generate_series(0, {len(dims) - 1})),
+  unnest(list_transform(list_zip({cut}, {arrays.offsets_of(dims)}), lambda t: CAST(greatest(0, least({sum(dims) - 1}, t[1] + t[2])) AS DOUBLE))) FROM w""")
+        if field in fixed.CONTINUOUS_START:
+            first = fixed.CONTINUOUS_START[field]
+            width = dict(fixed.INPUT_FIELDS)[field]
+            parts.append(f"SELECT vec_id, '{group}_raw', unnest(generate_series(0, {width - first - 1})), unnest(list_transform(inputs[{base + first + 1}:{base + width}], lambda x: CAST(greatest(0, least(1, x)) AS DOUBLE))) FROM w")
+    body = "\nUNION ALL ".join(parts)
+    return f"WITH w AS {WIDE_SQL}, p AS ({body}) SELECT vec_id, part, count(*) AS n, round(sum(v), 4) AS total, round(sum(v * (pos + 1)), 4) AS weighted FROM p GROUP BY 1, 2"
+
+
+@query("process_inputs", _inputs_sql())
+def process_inputs(spark, sf_dir):
+    out = features.process_inputs(wide_inputs(spark, sf_dir), "inputs", rule_contract())
+    names = ["pair", *[f"{g}_obj" for g in BUCKET_GROUPS], "bucket_user_raw", "bucket_goods_raw"]
+    rows = F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).cast("array<double>").alias("values")) for n in names])
+    long = out.select("vec_id", F.inline(rows)).select("vec_id", "part", F.posexplode("values").alias("pos", "v"))
+    return long.groupBy("vec_id", "part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("v"), 4).alias("total"),
+        F.round(F.sum(F.col("v") * (F.col("pos") + 1)), 4).alias("weighted"),
+    )
+
+
 @query(
     "continuous_slots",
     """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, greatest(0, least(1, v)) AS v

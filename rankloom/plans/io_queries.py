@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.operators.encoders import dense_index
+from rankloom.plans.embedding_queries import boxes
 from rankloom.plans.metric_queries import LABEL, predictions
 from rankloom.plans.registry import query, table
 from rankloom.session import scratch_path
-from rankloom.sources import readers, writers
+from rankloom.sources import annotations, readers, writers
 
 
 @query("read_dataset", "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders")
@@ -146,3 +148,51 @@ def write_feature_scores(spark, sf_dir):
     grouped = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("score"))
     scores = grouped.select(F.concat(F.lit("part_"), "l_partkey").alias("name"), "score", F.col("l_partkey").alias("name_key"))
     return writers.write_feature_scores(scores, path).select("name_key", "name", "score")
+
+
+@query(
+    "read_feature_map",
+    """SELECT CAST(row_number() OVER (ORDER BY n DESC, p_name) - 1 AS INTEGER) AS idx, p_name AS name
+FROM (SELECT trim(p_name) AS p_name, count(*) AS n FROM part GROUP BY 1)""",
+)
+def read_feature_map(spark, sf_dir):
+    path = scratch_path(spark, "fmap")
+    index = dense_index(table(spark, sf_dir, "part"), "p_name")
+    index.select("idx", "p_name").write.csv(path, sep="\t")
+    return readers.read_feature_map(spark, path)
+
+
+@query(
+    "read_object_annotations",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS image, l_returnflag AS category, count(*) AS n, CAST(sum(l_linenumber * 10) AS BIGINT) AS xmin_total,
+       CAST(sum(CAST(l_suppkey + floor(l_tax * 100) AS INTEGER)) AS BIGINT) AS ymax_total FROM lineitem GROUP BY 1, 2""",
+)
+def read_object_annotations(spark, sf_dir):
+    """One annotation per order line, written as XML text and read back; an order's objects come from all its records."""
+    path = scratch_path(spark, "annotations")
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    record = boxes(spark, sf_dir).select(
+        F.col("image").cast("string").alias("filename"),
+        F.struct("width", "height").alias("size"),
+        F.array(F.struct(F.col("category").alias("name"), box.alias("bndbox"))).alias("object"),
+    )
+    record.write.format("xml").option("rowTag", "annotation").save(path)
+    rows = annotations.read_object_annotations(spark, path)
+    return rows.groupBy("image", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("xmin").alias("xmin_total"), F.sum("ymax").alias("ymax_total")
+    )
+
+
+@query(
+    "read_multi_labels",
+    """
+WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS kinds FROM events GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS image, array_to_string(kinds, ' ') AS labels FROM s WHERE len(kinds) >= 2""",
+)
+def read_multi_labels(spark, sf_dir):
+    path = scratch_path(spark, "multi-labels")
+    kinds = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
+    lines = kinds.select(F.concat_ws(" ", F.col("user_id").cast("string"), F.array_join("k", " ")).alias("value"))
+    lines.write.text(path)
+    rows = annotations.read_multi_labels(spark, path, multi=True)
+    return rows.select("image", F.array_join("labels", " ").alias("labels"))
