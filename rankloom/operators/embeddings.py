@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.checks import require_columns
 from rankloom.functions import arrays
 from rankloom.functions.scalars import sigmoid
+from rankloom.operators.sizing import broadcast_if_small
 
 
 def lookup_embeddings(
@@ -24,7 +25,8 @@ def lookup_embeddings(
     The re-collected list is as long as the id list, a contract constant.
     """
     flat = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id"))
-    found = flat.join(table.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")), "_id", "left")
+    vectors = broadcast_if_small(table.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")))
+    found = flat.join(vectors, "_id", "left")
     packed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_vec"))).alias("_v"))
     return packed.select(*keys, F.transform("_v", lambda s: s["_vec"]).alias(out))
 
@@ -40,7 +42,7 @@ def sum_pool_sequence(
     flat = df.select(*keys, F.explode(ids).alias("_id")).where(F.col("_id") > 0)
     vectors = table.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
     summed = (
-        flat.join(vectors, "_id")
+        flat.join(broadcast_if_small(vectors), "_id")
         .groupBy(*keys)
         .agg(Summarizer.sum(array_to_vector(F.col("_vec"))).alias("_sum"))
     )
@@ -53,7 +55,7 @@ def score_pairs(
     """Sigmoid of the dot product of the two towers' vectors, for the given pairs only."""
     u = users.select(user_id, F.col(vec).cast("array<double>").alias("_u"))
     i = items.select(item_id, F.col(vec).cast("array<double>").alias("_i"))
-    joined = pairs.join(u, user_id).join(i, item_id)
+    joined = pairs.join(broadcast_if_small(u), user_id).join(broadcast_if_small(i), item_id)
     return joined.withColumn("score", sigmoid(arrays.dot(F.col("_u"), F.col("_i")))).drop("_u", "_i")
 
 

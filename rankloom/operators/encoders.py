@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.checks import require_columns
 from rankloom.operators.chunks import number_rows
 from rankloom.operators.samples import dedup
+from rankloom.operators.sizing import BROADCAST_LIMIT, ROW_OVERHEAD, broadcast_if_small
 
 UNKNOWN = -1
 
@@ -83,23 +84,36 @@ def extend_dictionary(df: DataFrame, dictionary: DataFrame | None, columns: Sequ
 
 def split_seen_unseen(df: DataFrame, dictionary: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose value is known, and the rest (NULL counts as unseen)."""
-    known = dictionary.where(F.col("column") == column).select(F.col("value").alias("_value"))
+    known = broadcast_if_small(dictionary.where(F.col("column") == column).select(F.col("value").alias("_value")))
     condition = trimmed(column) == F.col("_value")
     return df.join(known, condition, "left_semi"), df.join(known, condition, "left_anti")
 
 
-def encode_columns(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+def dictionary_bytes(dictionary: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Measured size of every column's entries, in one aggregation (one row per column)."""
+    size = F.sum(F.length("value") * 4 + F.lit(8 + ROW_OVERHEAD))
+    rows = dictionary.where(F.col("column").isin(list(columns))).groupBy("column").agg(size.alias("n")).collect()
+    return {r["column"]: int(r["n"]) for r in rows}
+
+
+def encode_columns(
+    df: DataFrame, dictionary: DataFrame, columns: Sequence[str], broadcast_limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Replace each value by its number; unseen and NULL become -1.
 
-    Catalyst broadcasts a dictionary only when its measured size allows it;
-    otherwise adaptive execution splits the partitions of very frequent values.
+    A column whose entries measure at most ``broadcast_limit`` bytes is looked
+    up in place, without moving the data; a larger one is a shuffled join in
+    which adaptive execution splits the partitions of very frequent values.
     """
     require_columns(df, columns)
     order = df.columns
+    sizes = dictionary_bytes(dictionary, columns)
     for c in columns:
         entries = dictionary.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("idx").alias("_idx")
         )
+        if sizes.get(c, 0) <= broadcast_limit:
+            entries = F.broadcast(entries)
         df = df.withColumn("_key", trimmed(c)).join(entries, F.col("_key") == F.col("_value"), "left")
         df = df.withColumn(c, F.coalesce("_idx", F.lit(UNKNOWN).cast("bigint"))).drop("_key", "_value", "_idx")
     return df.select(*order)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.checks import require_columns
 from rankloom.functions import arrays
 from rankloom.functions.scalars import bucket_elapsed, bucket_equal_width, bucket_log, cap_count, clip
+from rankloom.operators.sizing import broadcast_if_small
 from rankloom.plans import contract as fixed
 from rankloom.plans.contract import FeatureContract
 
@@ -142,6 +143,6 @@ def minmax_scale_by_group(df: DataFrame, keys: Sequence[str], value: str, out: s
     bounds = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span > 0, (v - F.col("_lo")) / span).when(v.isNotNull(), F.lit(0.0))
-    return df.join(bounds, list(keys)).withColumn(out or value, scaled).drop("_lo", "_hi")
+    return df.join(broadcast_if_small(bounds), list(keys)).withColumn(out or value, scaled).drop("_lo", "_hi")
 
 

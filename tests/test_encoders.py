@@ -43,6 +43,18 @@ def test_extension_keeps_old_numbers(spark, old, new):
     assert [after[("c", v)] for v in order] == [len(set(old)) + i for i in range(len(order))]
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_encoding_is_the_same_with_and_without_broadcast(spark, tmp_path, limit):
+    df = spark.createDataFrame([("a", "p"), ("b", None), ("c", " q"), ("zz", "q")], "c string, d string")
+    # stored first: fitting has hints of its own
+    encoders.FrequencyEncoder(["c", "d"]).fit(df.where("c <> 'zz'")).save(f"{tmp_path}/d")
+    known = encoders.FrequencyEncoder.load(spark, f"{tmp_path}/d", ["c", "d"]).dictionary
+    plan = encoders.encode_columns(df, known, ["c", "d"], limit)
+    hints = plan._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    assert hints == (2 if limit else 0)
+    assert sorted(map(tuple, plan.collect())) == [(-1, 1), (0, 0), (1, -1), (2, 1)]
+
+
 def test_first_extension_starts_at_zero_and_columns_are_independent(spark):
     df = spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "q")], "a string, b string")
     got = entries(encoders.extend_dictionary(df, None, ["a", "b"]))

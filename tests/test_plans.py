@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import behaviour, chunks, ranking_metrics as rm, samples
+from rankloom.operators import behaviour, chunks, ranking_metrics as rm, samples, sizing
 from rankloom.plans import catalog
 from tests.conftest import SMALL
 
@@ -84,3 +84,24 @@ def test_no_cartesian_products_and_no_row_python(spark):
         assert "BatchEvalPython" not in plan, name
         if name not in PYTHON_ALLOWED:
             assert "InPandas" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_a_hot_group_is_split_into_ranges(spark):
+    """A group with a third of all rows never gives one task much more than its share."""
+    rows, parts = 12_000, 8
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
+        (F.xxhash64("id") / F.lit(1e12)).alias("s"),
+    )
+    hist = chunks.value_histogram(df, ["g"], "s", [F.count(F.lit(1)).alias("c")], chunks.quantile_cuts(df, "s", parts))
+    largest = hist.groupBy("g", chunks.CHUNK).agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 1.3 * rows / 3 / parts
+
+
+def test_sizes_are_measured_before_a_broadcast(spark):
+    small = spark.createDataFrame([(1, "abc", [1.0, 2.0])], "k int, t string, v array<double>")
+    assert sizing.measured_bytes(small) == 32 + 8 + 12 + 16
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(sizing.broadcast_if_small(small, 100))
+    assert not hinted(sizing.broadcast_if_small(small, 50))
+    assert sizing.measured_bytes(small.where("k = 2")) == 0
