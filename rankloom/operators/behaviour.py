@@ -148,7 +148,7 @@ def quantile_bucketize(
         rows = exact_quantiles(df, column, wanted).select("value").collect()  # buckets - 1 rows
         cuts = sorted({float(r[0]) for r in rows})
     else:
-        cuts = quantile_cuts(df, column, buckets)
+        cuts = sorted({c for c in quantile_cuts(df, column, buckets) if abs(c) != float("inf")})
     if len(cuts) == 0:
         return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(0)))
     splits = [float("-inf"), *cuts, float("inf")]

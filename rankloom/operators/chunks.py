@@ -29,7 +29,8 @@ def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
 
     Small sketches per group of input tasks give 257 probe points each, and a
     second sketch over the probes gives the cuts: no task merges the sketches
-    of all input tasks.
+    of all input tasks.  A value found at several cut points stays repeated in
+    the list (see ``has_heavy_values``).
     """
     width = shuffle_width(df.sparkSession)
     local = (
@@ -40,12 +41,23 @@ def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
     )
     probabilities = [i / parts for i in range(1, parts)]
     found = local.agg(F.percentile_approx("_v", probabilities, max(10_000, 20 * parts))).first()[0]
-    return sorted({float(c) for c in found or [] if c == c})
+    # NaN sorts above every number, like infinity
+    return sorted(float("inf") if c != c else float(c) for c in found or [])
+
+
+def has_heavy_values(cuts: Sequence[float]) -> bool:
+    """True when one value may fill a whole range, or when nothing is known.
+
+    Then rows are combined per value before they are ordered; otherwise no
+    range can hold much more than its share and ordering the rows directly
+    saves a shuffle.
+    """
+    return len(cuts) < 2 or len(set(cuts)) < len(cuts)
 
 
 def with_chunk(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """Add the number of the range each value falls in (an integer: it is a shuffle key)."""
-    inner = [c for c in cuts if abs(c) != float("inf")]
+    inner = sorted({c for c in cuts if abs(c) != float("inf")})
     if not inner:
         return df.withColumn(CHUNK, F.lit(0))
     splits = [float("-inf"), *inner, float("inf")]
@@ -85,7 +97,11 @@ def exact_quantiles(
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    hist = value_histogram(base, keys, "_v", [F.count(F.lit(1)).alias("_c")])
+    cuts = quantile_cuts(base, "_v", shuffle_width(df.sparkSession))
+    if has_heavy_values(cuts):
+        hist = value_histogram(base, keys, "_v", [F.count(F.lit(1)).alias("_c")], cuts)
+    else:
+        hist = with_chunk(base.withColumn("_c", F.lit(1).cast("bigint")), "_v", cuts)
     totals = hist.groupBy(*keys, CHUNK).agg(F.sum("_c").alias("_n"))
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     totals = totals.select(

@@ -17,8 +17,10 @@ from rankloom.operators.chunks import (
     before_chunk,
     before_in_chunk,
     exact_quantiles,
+    has_heavy_values,
     quantile_cuts,
     value_histogram,
+    with_chunk,
     written_once,
 )
 from rankloom.session import shuffle_width
@@ -35,24 +37,29 @@ def rank_sum(
     """
     keys = list(keys)
     require_columns(df, [score, label, *keys])
-    has_score = F.col("_s").isNotNull()
     base = df.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    hist = value_histogram(
-        base,
-        keys,
-        "_s",
-        [
-            F.count_if((F.col("_y") == 1.0) & has_score).cast("double").alias("_p"),
-            F.count_if((F.col("_y") == 0.0) & has_score).cast("double").alias("_n"),
-            F.count_if(~has_score).alias("_d"),
-        ],
-        cuts,
-    )
-    below = F.coalesce(F.sum("_n").over(before_in_chunk(keys, "_s")), F.lit(0.0))
-    per_chunk = (
-        hist.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
-        .groupBy(*keys, CHUNK)
-        .agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_d").alias("_d"))
+    if cuts is None:
+        cuts = quantile_cuts(base, "_s", shuffle_width(df.sparkSession))
+    scored = F.col("_s").isNotNull()
+    marks = {"_p": (F.col("_y") == 1.0) & scored, "_n": (F.col("_y") == 0.0) & scored, "_d": ~scored}
+    if has_heavy_values(cuts):
+        hist = value_histogram(base, keys, "_s", [F.count_if(c).cast("double").alias(n) for n, c in marks.items()], cuts)
+        below = F.coalesce(F.sum("_n").over(before_in_chunk(keys, "_s")), F.lit(0.0))
+        placed = hist.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
+        wins = F.sum("_w")
+    else:
+        rows = with_chunk(base.withColumns({n: c.cast("double") for n, c in marks.items()}), "_s", cuts)
+        # rows without a score have no range; they are only counted, wherever they are
+        anywhere = -1 - F.spark_partition_id() % shuffle_width(df.sparkSession)
+        rows = rows.withColumn(CHUNK, F.coalesce(F.col(CHUNK), anywhere))
+        ranked = rows.where((F.col("_p") + F.col("_n") + F.col("_d")) > 0)
+        rank = F.rank().over(Window.partitionBy(*keys, CHUNK).orderBy("_s"))
+        peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK, "_s"))
+        placed = ranked.withColumn("_w", F.col("_p") * (rank + (peers - 1) / F.lit(2.0)))
+        # rank sum of the positives minus the ranks they take among themselves
+        wins = F.sum("_w") - F.sum("_p") * (F.sum("_p") + 1.0) / 2.0
+    per_chunk = placed.groupBy(*keys, CHUNK).agg(
+        wins.alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_d").alias("_d")
     )
     earlier = F.coalesce(F.sum("_n").over(before_chunk(keys)), F.lit(0.0))
     return (
@@ -62,7 +69,7 @@ def rank_sum(
             F.sum("_p").alias("pos"),
             F.sum("_n").alias("neg"),
             F.sum("_w").alias("wins"),
-            F.sum("_d").alias("unscored"),
+            F.sum("_d").cast("bigint").alias("unscored"),
         )
     )
 

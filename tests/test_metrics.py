@@ -34,7 +34,7 @@ def test_auc_equals_pair_counting(scored):
     assert rm.auc(df, "s", "y").first()[0] == pytest.approx(brute_auc([(s, y) for _, s, y in rows]), abs=1e-12)
 
 
-@pytest.mark.parametrize("cuts", [[], [1.0], [0.1 * i for i in range(25)], [-5.0, 99.0]])
+@pytest.mark.parametrize("cuts", [[], [1.0], [1.0, 1.0, 2.0], [0.1 * i for i in range(25)], [-5.0, 99.0], [0.5, 1.5]])
 def test_cut_points_never_change_the_result(scored, cuts):
     _, df = scored
     assert rm.auc(df, "s", "y", cuts).first()[0] == pytest.approx(rm.auc(df, "s", "y").first()[0], abs=1e-12)
@@ -56,12 +56,31 @@ def test_group_auc_equals_pair_counting(scored):
     assert (row["groups"], row["rows_used"], row["rows_unscored"]) == (len(kept), total, 0)
 
 
-def test_null_scores_are_counted_and_null_groups_left_out(spark):
+@pytest.mark.parametrize("cuts", [None, [], [0.0, 0.25, 0.5]])
+def test_null_scores_are_counted_and_null_groups_left_out(spark, cuts):
     rows = [(1, 0.1, 0), (1, 0.9, 1), (1, None, 1), (None, 0.3, 1), (None, 0.2, 0)]
-    row = rm.group_auc(spark.createDataFrame(rows, "g int, s double, y int"), "g", "s", "y").first()
+    row = rm.group_auc(spark.createDataFrame(rows, "g int, s double, y int"), "g", "s", "y", cuts).first()
     assert (row["group_auc"], row["groups"], row["rows_used"], row["rows_unscored"]) == (1.0, 1, 2, 1)
 
 
+@pytest.mark.parametrize("cuts", [[], [0.2, 0.6]])
+def test_nan_ranks_above_every_number(spark, cuts):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.1, 0), (nan, 1), (nan, 0), (0.9, 1)], "s double, y int")
+    assert rm.auc(df, "s", "y", cuts).first()[0] == (1 + 0.5 + 1 + 0) / 4
+
+
+def test_many_nans_count_as_a_heavy_value(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") * 1.0).alias("s"))
+    assert chunks.has_heavy_values(chunks.quantile_cuts(df, "s", 8))
+    assert not chunks.has_heavy_values(chunks.quantile_cuts(df.where(~F.isnan("s")), "s", 8))
+
+
+def test_labels_other_than_0_and_1_do_not_count(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.5, 2), (0.5, None), (0.9, 1)], "s double, y int")
+    assert rm.auc(df, "s", "y", []).first()[0] == rm.auc(df, "s", "y", [0.2, 0.6]).first()[0] == 1.0
+
+
 def test_auc_symmetry_and_monotone_maps(scored):
     _, df = scored
     value = rm.auc(df, "s", "y").first()[0]

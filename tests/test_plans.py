@@ -29,7 +29,7 @@ def lineitem(spark):
 
 
 def test_auc_orders_only_range_totals_in_one_task(lineitem):
-    plan = plan_of(rm.auc(lineitem, "l_extendedprice", "label", [1000.0, 5000.0]))
+    plan = plan_of(rm.auc(lineitem, "l_extendedprice", "label", [1000.0, 1000.0, 5000.0]))
     # rows are ordered inside their range; the single-task window sees one row per range
     below = plan.split("Exchange SinglePartition", 1)[1]
     assert below.split("HashAggregate(keys=", 1)[1].startswith("[_chunk")
@@ -38,6 +38,11 @@ def test_auc_orders_only_range_totals_in_one_task(lineitem):
     assert plan.count("Exchange hashpartitioning") == 2  # value histogram, ranges
 
 
+def test_auc_of_distinct_scores_moves_the_rows_once(lineitem):
+    plan = plan_of(rm.auc(lineitem, "l_extendedprice", "label", [1000.0, 5000.0]))
+    assert plan.count("Exchange hashpartitioning(_chunk") == 1 == plan.count("Exchange hashpartitioning")
+
+
 def test_scans_read_only_needed_columns_and_push_time_filters(spark, lineitem):
     plan = plan_of(rm.group_auc(lineitem, "l_suppkey", "l_discount", "label", [0.05]))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
