@@ -5,8 +5,8 @@ label_i > label_j of  w_ij * exp(score_j - score_i),  w_ij = (gain_i - gain_j) /
 ideal DCG of the request, gain = 2^label - 1, ideal DCG over ``max_position``
 rows.  The exponential splits into per-(request, label) sums, so one pass with
 partial aggregation covers every pair exactly: work is linear in the rows and
-a huge request combines before the shuffle.  The ranker is linear, it is not
-a boosted tree ranker.
+a huge request combines before the shuffle.  Labels are grades (a few distinct
+values).  The ranker is linear, it is not a boosted tree ranker.
 """
 
 from __future__ import annotations

@@ -204,7 +204,8 @@ def topk_metrics(
 ) -> DataFrame:
     """Hits, precision, recall and F1 among the K best scored rows, all K in one pass.
 
-    K itself is the denominator even when fewer rows exist.
+    K itself is the denominator even when fewer rows exist; recall without
+    any positive row is NULL.
     """
     require_columns(df, [score, label, *tie])
     is_pos = (F.col(label).cast("int") == 1).cast("int")
@@ -221,7 +222,7 @@ def topk_metrics(
             "k",
             "tp",
             (tp / k).alias("precision"),
-            (tp / F.col("pos")).alias("recall"),
+            F.when(F.col("pos") > 0, tp / F.col("pos")).alias("recall"),
             (2.0 * tp / (2.0 * tp + (k - tp) + (F.col("pos") - tp))).alias("f1"),
         )
     )

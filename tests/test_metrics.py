@@ -135,6 +135,11 @@ def test_topk_keeps_k_as_denominator(spark):
     assert (row[1]["tp"], row[1]["precision"], row[1]["recall"]) == (2.0, 0.2, 1.0)
 
 
+def test_topk_without_positives(spark):
+    row = rm.topk_metrics(spark.createDataFrame([(0.9, 0)], "s double, y int"), "s", "y", [1]).first()
+    assert (row["tp"], row["precision"], row["recall"], row["f1"]) == (0.0, 0.0, None, 0.0)
+
+
 def test_ndcg_small_case_and_zero_ideal(spark):
     df = spark.createDataFrame([("a", 3, 0.1), ("a", 0, 0.9), ("a", 1, 0.5), ("b", 0, 0.2)], "r string, y int, s double")
     got = {r["r"]: r["ndcg"] for r in rm.ndcg_at_k(df, "y", "s", 3, "r").collect()}

@@ -146,6 +146,16 @@ def test_embedding_text_lines(spark, tmp_path):
     assert readers.read_embeddings_text(spark, f"{tmp_path}/e").count() == 2
 
 
+def test_exported_partition_is_registered(spark, tmp_path):
+    path = f"{tmp_path}/emb"
+    spark.sql(f"CREATE TABLE emb_text (value STRING, dt STRING) USING text PARTITIONED BY (dt) LOCATION '{path}'")
+    df = spark.createDataFrame([(7, [0.5])], "id bigint, embedding array<float>")
+    writers.export_embeddings(df, path, "2024-01-05", table="emb_text")
+    writers.export_embeddings(df, path, "2024-01-05", table="emb_text")
+    assert [tuple(r) for r in spark.table("emb_text").collect()] == [("7\t0.5", "2024-01-05")]
+    spark.sql("DROP TABLE emb_text")
+
+
 def test_feature_scores_are_written_in_order(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 2.0)], "name string, score double")
     top = writers.write_feature_scores(df, f"{tmp_path}/s", shown=2)
