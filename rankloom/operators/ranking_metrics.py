@@ -199,6 +199,26 @@ def rank_in_group(df: DataFrame, group: str, score: str) -> DataFrame:
     return base.join(ranks, [group, "_s"]).select(*df.columns, "avg_rank")
 
 
+def position_in_group(
+    df: DataFrame, group: str, score: str, tie: Sequence[str] = (), out: str = "position"
+) -> DataFrame:
+    """One-based place of every scored row in its group, best score first.
+
+    Places are counted inside (group, value range) and shifted by the rows in
+    better ranges, so a huge group is spread over tasks.
+    """
+    require_columns(df, [group, score, *tie])
+    rows = df.where(F.col(group).isNotNull()).withColumn("_s", F.col(score).cast("double")).where("_s IS NOT NULL")
+    rows = with_chunk(rows, "_s", quantile_cuts(rows, "_s", shuffle_width(df.sparkSession)))
+    better = Window.partitionBy(group).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(group, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    shifts = totals.select(group, CHUNK, F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_shift"))
+    order = [F.col("_s").desc(), *[F.col(t).asc() for t in tie]]
+    inside = F.row_number().over(Window.partitionBy(group, CHUNK).orderBy(*order))
+    placed = rows.withColumn("_inside", inside).join(shifts, [group, CHUNK])
+    return placed.select(*df.columns, (F.col("_shift") + F.col("_inside")).alias(out))
+
+
 def topk_metrics(
     df: DataFrame, score: str, label: str, ks: Sequence[int], tie: Sequence[str] = ()
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.scalars import position_discount as discount
 from rankloom.operators import losses, ranking_metrics as rm
 from rankloom.operators.samples import dedup
 from rankloom.plans.registry import query, table
@@ -252,15 +253,10 @@ SELECT l_orderkey, l_linenumber, round(max(1 / log2(rn + 1)), 6) AS discount FRO
   FROM lineitem) GROUP BY 1, 2""",
 )
 def position_discount(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from rankloom.functions.scalars import position_discount as discount
-
-    order = [F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey", "l_suppkey"]
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    placed = rm.position_in_group(rows, "l_orderkey", "l_extendedprice", ["l_linenumber", "l_partkey", "l_suppkey"])
     return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", discount(rn).alias("d"))
+        placed.withColumn("d", discount(F.col("position")))
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.round(F.max("d"), 6).alias("discount"))
     )

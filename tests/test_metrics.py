@@ -128,6 +128,16 @@ def test_exact_quantiles_match_numpy(scored, probabilities):
             assert found[(g, p)] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_positions_match_a_sorted_list(scored):
+    rows, df = scored
+    numbered = df.withColumn("k", F.monotonically_increasing_id()).persist()
+    expected = {}
+    for r in sorted(numbered.collect(), key=lambda r: (r["g"], -r["s"], r["k"])):
+        expected.setdefault(r["g"], []).append(r["k"])
+    for r in rm.position_in_group(numbered, "g", "s", ["k"]).collect():
+        assert expected[r["g"]][r["position"] - 1] == r["k"]
+
+
 def test_topk_keeps_k_as_denominator(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1)], "s double, y int")
     row = rm.topk_metrics(df, "s", "y", [2, 10]).orderBy("k").collect()
