@@ -59,7 +59,7 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def stream_last_seen(
-    stream: DataFrame, keys: Sequence[str], root: str, checkpoint: str, ts: str = "ts"
+    stream: DataFrame, keys: Sequence[str], root: str, checkpoint: str, ts: str = "ts", fold_every: int = 100
 ) -> StreamingQuery:
     """Keep the latest event time per key; each micro-batch stores the keys it changed.
 
@@ -68,13 +68,22 @@ def stream_last_seen(
     table = VersionedTable(stream.sparkSession, root)
     latest = stream.groupBy(*keys).agg(F.max(ts).alias("last_ts"))
     writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda df, n: table.write(n, df)).trigger(availableNow=True).start()
+
+    def store(df: DataFrame, batch_id: int) -> None:
+        table.write(batch_id, df)
+        table.fold(batch_id, fold_every, lambda changes: _last_seen(changes, keys))
+
+    return writer.foreachBatch(store).trigger(availableNow=True).start()
+
+
+def _last_seen(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return changes.groupBy(*keys).agg(F.max("last_ts").alias("last_ts"))
 
 
 def read_passtime(spark: SparkSession, root: str, keys: Sequence[str], asof: Column) -> DataFrame:
     """Minutes and bucket since the last event of each key."""
     changes = VersionedTable(spark, root).union_all()
-    last = changes.groupBy(*keys).agg(F.max("last_ts").alias("last_ts"))
+    last = _last_seen(changes, keys)
     minutes = elapsed_minutes(F.col("last_ts"), asof)
     return last.withColumn("minutes", minutes).withColumn("bucket", bucket_elapsed(F.col("minutes")))
 
@@ -89,6 +98,7 @@ def stream_recent_sequence(
     ts: str = "ts",
     event_id: str = "event_id",
     salts: int = 8,
+    fold_every: int = 100,
 ) -> StreamingQuery:
     """Keep the latest ``n`` items per key in keyed state.
 
@@ -126,15 +136,21 @@ def stream_recent_sequence(
 
     def store(df: DataFrame, batch_id: int) -> None:
         table.write(batch_id, df.withColumn("batch", F.lit(batch_id)))
+        table.fold(batch_id, fold_every, lambda changes: _newest_state(changes, keys))
 
     return writer.foreachBatch(store).trigger(availableNow=True).start()
 
 
+def _newest_state(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last stored state of every (key, salt)."""
+    newest = changes.groupBy(*keys, "salt").agg(F.max_by(F.struct("at", "id", "item", "batch"), "batch").alias("s"))
+    return newest.select(*keys, "salt", "s.*")
+
+
 def read_recent_sequence(spark: SparkSession, root: str, keys: Sequence[str], n: int, out: str = "sequence") -> DataFrame:
     """Merge the salted states: latest ``n`` items per key, newest first, 0-padded."""
     changes = VersionedTable(spark, root).union_all()
-    newest = changes.groupBy(*keys, "salt").agg(F.max_by(F.struct("at", "id", "item"), "batch").alias("s"))
-    flat = newest.select(*keys, F.inline(F.arrays_zip("s.at", "s.id", "s.item")))
+    flat = _newest_state(changes, keys).select(*keys, F.inline(F.arrays_zip("at", "id", "item")))
     order = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("id").desc())
     top = flat.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
     packed = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rn", "item"))).alias("_s"))

@@ -23,17 +23,20 @@ def start_batches(stream: DataFrame, handler, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def extend_with_batch(batch: DataFrame, batch_id: int, table: VersionedTable, columns: Sequence[str]) -> None:
+def extend_with_batch(
+    batch: DataFrame, batch_id: int, table: VersionedTable, columns: Sequence[str], fold_every: int = 0
+) -> None:
     """Number this batch's unseen values and store just the additions as version ``batch_id``."""
     known = table.union_all(below=batch_id)
     table.write(batch_id, new_entries(batch, known, columns))
+    table.fold(batch_id, fold_every, lambda df: df)
 
 
 def stream_extend_dictionary(
-    stream: DataFrame, columns: Sequence[str], root: str, checkpoint: str
+    stream: DataFrame, columns: Sequence[str], root: str, checkpoint: str, fold_every: int = 100
 ) -> StreamingQuery:
     table = VersionedTable(stream.sparkSession, root)
-    return start_batches(stream, lambda df, n: extend_with_batch(df, n, table, columns), checkpoint)
+    return start_batches(stream, lambda df, n: extend_with_batch(df, n, table, columns, fold_every), checkpoint)
 
 
 def read_dictionary(spark: SparkSession, root: str) -> DataFrame | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.sources.files import is_complete, path_exists
@@ -17,27 +19,43 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/version={version}"
+    def path(self, version: int, kind: str = "version") -> str:
+        return f"{self.root}/{kind}={version}"
 
-    def versions(self, below: int | None = None) -> list[int]:
+    def _finished(self, kind: str) -> list[int]:
         if not path_exists(self.spark, self.root):
             return []
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         entries = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(target)
         names = [e.getPath().getName() for e in entries]
-        found = [int(n.split("=", 1)[1]) for n in names if n.startswith("version=")]
-        done = sorted(v for v in found if is_complete(self.spark, self.path(v)))
-        return [v for v in done if below is None or v < below]
+        found = [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{kind}=")]
+        return sorted(v for v in found if is_complete(self.spark, self.path(v, kind)))
+
+    def versions(self, below: int | None = None) -> list[int]:
+        return [v for v in self._finished("version") if below is None or v < below]
 
     def latest(self, below: int | None = None) -> DataFrame | None:
         known = self.versions(below)
         return self.spark.read.parquet(self.path(known[-1])) if known else None
 
-    def union_all(self, below: int | None = None) -> DataFrame | None:
-        """All versions together (for tables that store additions only)."""
-        known = self.versions(below)
-        return self.spark.read.parquet(*[self.path(v) for v in known]) if known else None
+    def union_all(self, below: int | None = None, folds_below: int | None = None) -> DataFrame | None:
+        """All versions together: the newest fold and the versions after it."""
+        bound = below if folds_below is None else folds_below
+        folds = [f for f in self._finished("fold") if bound is None or f < bound]
+        paths = [self.path(folds[-1], "fold")] if folds else []
+        paths += [self.path(v) for v in self.versions(below) if not folds or v > folds[-1]]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def write(self, version: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self.path(version))
+
+    def fold(self, version: int, every: int, reduce: Callable[[DataFrame], DataFrame]) -> None:
+        """Every ``every`` versions store the reduced union of all versions so far.
+
+        Readers then start from it, so the number of folders they open stays
+        bounded however long the stream runs.  Folders before the last fold but one may be dropped.  A
+        replay builds the same fold again from the one before it.
+        """
+        if every and version and version % every == 0:
+            everything = self.union_all(below=version + 1, folds_below=version)
+            reduce(everything).write.mode("overwrite").parquet(self.path(version, "fold"))

@@ -56,31 +56,34 @@ def test_counters_equal_the_batch_twin_on_closed_windows(spark, tmp_path):
     assert behaviour.late_rows(q) == 1
 
 
-def test_recent_sequence_equals_the_batch_twin(spark, tmp_path):
+@pytest.mark.parametrize("fold_every", [0, 2])
+def test_recent_sequence_equals_the_batch_twin(spark, tmp_path, fold_every):
     write_batches(spark, f"{tmp_path}/in", BATCHES)
     keys = ["user_id"]
-    behaviour.stream_recent_sequence(stream(spark, f"{tmp_path}/in"), keys, "item", 3, f"{tmp_path}/s", f"{tmp_path}/ck", salts=2).awaitTermination()
+    behaviour.stream_recent_sequence(stream(spark, f"{tmp_path}/in"), keys, "item", 3, f"{tmp_path}/s", f"{tmp_path}/ck", salts=2, fold_every=fold_every).awaitTermination()
     got = {r["user_id"]: r["sequence"] for r in behaviour.read_recent_sequence(spark, f"{tmp_path}/s", keys, 3).collect()}
     order = [F.col("ts").desc(), F.col("event_id").desc()]
     twin = batch_behaviour.behaviour_sequence(all_rows(spark), keys, "item", 3, order)
     assert got == {r["user_id"]: r["sequence"] for r in twin.collect()}
 
 
-def test_passtime_equals_the_batch_twin(spark, tmp_path):
+@pytest.mark.parametrize("fold_every", [0, 2])
+def test_passtime_equals_the_batch_twin(spark, tmp_path, fold_every):
     write_batches(spark, f"{tmp_path}/in", BATCHES)
     keys = ["user_id", "event_type"]
     asof = F.lit("2024-01-04 00:00:00").cast("timestamp")
-    behaviour.stream_last_seen(stream(spark, f"{tmp_path}/in"), keys, f"{tmp_path}/s", f"{tmp_path}/ck").awaitTermination()
+    behaviour.stream_last_seen(stream(spark, f"{tmp_path}/in"), keys, f"{tmp_path}/s", f"{tmp_path}/ck", fold_every=fold_every).awaitTermination()
     got = behaviour.read_passtime(spark, f"{tmp_path}/s", keys, asof)
     twin = batch_behaviour.passtime(all_rows(spark), keys, asof)
     columns = [*keys, "minutes", "bucket"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, twin.select(columns).collect()))
 
 
-def test_dictionary_grows_and_a_replay_changes_nothing(spark, tmp_path):
+@pytest.mark.parametrize("fold_every", [0, 1, 2])
+def test_dictionary_grows_and_a_replay_changes_nothing(spark, tmp_path, fold_every):
     write_batches(spark, f"{tmp_path}/in", BATCHES)
     root = f"{tmp_path}/dict"
-    learning.stream_extend_dictionary(stream(spark, f"{tmp_path}/in"), ["item"], root, f"{tmp_path}/ck").awaitTermination()
+    learning.stream_extend_dictionary(stream(spark, f"{tmp_path}/in"), ["item"], root, f"{tmp_path}/ck", fold_every).awaitTermination()
     rows = all_rows(spark)
     expected = None
     for b in BATCHES:
@@ -89,7 +92,7 @@ def test_dictionary_grows_and_a_replay_changes_nothing(spark, tmp_path):
     before = entries(learning.read_dictionary(spark, root))
     assert before == entries(expected)
     table = VersionedTable(spark, root)
-    learning.extend_with_batch(rows.where("event_id in (4, 5, 6)"), 1, table, ["item"])
+    learning.extend_with_batch(rows.where("event_id in (4, 5, 6)"), 1, table, ["item"], fold_every)
     assert entries(learning.read_dictionary(spark, root)) == before
 
 
