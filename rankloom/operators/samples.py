@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.checks import require_columns, split_names
 from rankloom.functions import arrays
 from rankloom.functions.vectors import to_array
-from pyspark.ml.functions import array_to_vector
 
 HASH_BUCKETS = 1 << 20
 
@@ -81,7 +81,10 @@ def drop_columns_merge(df: DataFrame, drop: Sequence[str], out: str = "features"
 def stratified_downsample(
     df: DataFrame, label: str, pos_ratio: float, neg_ratio: float, rand: Column | str
 ) -> DataFrame:
-    """Keep label 1 with rand <= pos_ratio and label 0 with rand <= neg_ratio, in one scan."""
+    """Keep label 1 with rand <= pos_ratio and label 0 with rand <= neg_ratio, in one scan.
+
+    ``rand`` is a column in [0, 1); ``hash_fraction`` of the key serves where the data has none.
+    """
     r = F.col(rand) if isinstance(rand, str) else rand
     keep_pos = (F.col(label) == 1) & (r <= F.lit(float(pos_ratio)))
     keep_neg = (F.col(label) == 0) & (r <= F.lit(float(neg_ratio)))
@@ -137,8 +140,8 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 def dataset_profile(df: DataFrame, label: str, features: str) -> DataFrame:
     """rows, distinct labels, shortest and longest vector, and an empty flag, in one aggregation."""
-    width = F.size(to_array(df, features)[features]) if features in df.columns else F.lit(0)
-    source = to_array(df, features).select(label, F.size(features).alias("_w")) if features in df.columns else df.select(label, width.alias("_w"))
+    require_columns(df, [label, features])
+    source = to_array(df, features).select(label, F.size(features).alias("_w"))
     return source.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(label).alias("n_labels"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import arrays, scalars, vectors
 from rankloom.operators import encoders, joins, samples
-from rankloom.operators.ranking_metrics import scale_pos_weight  # noqa: F401
 from rankloom.plans.metric_queries import LABEL
 from rankloom.plans.registry import query, table
 

@@ -13,7 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.functions.scalars import bucket_elapsed
 from rankloom.operators.behaviour import elapsed_minutes
-from rankloom.streaming.learning import start_batches
 from rankloom.streaming.versions import VersionedTable
 
 
@@ -165,7 +164,6 @@ __all__ = [
     "late_rows",
     "read_passtime",
     "read_recent_sequence",
-    "start_batches",
     "stream_behaviour_counters",
     "stream_last_seen",
     "stream_recent_sequence",
