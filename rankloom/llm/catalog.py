@@ -2,6 +2,9 @@
 
 from rankloom.llm import (  # noqa: F401
     op1_decontamination,
+    op2_sharding,
+    op8_quality,
+    op9_url_filter,
 )
 from rankloom.llm.common import QUERIES, SQL
 
