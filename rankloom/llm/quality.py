@@ -79,77 +79,77 @@ def measures(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return found.select("*", n_lines.alias("n_lines"), (n_lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines")).drop("_lines")
 
 
-def vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def votes() -> dict[str, Column]:
-    """The rules; a text without words gets a bad vote from the first and no other."""
-    n, some = F.col("n_words"), F.col("n_words") > 0
-    letters = F.col("n_upper") + F.col("n_lower")
-    rules = {
-        "length": (n >= 100, n < 50),
-        "symbols": (F.col("n_symbols") * 50 <= n, F.col("n_symbols") * 10 > n),
-        "repetition": (F.col("n_repeat_words") * 20 <= n * 3, F.col("n_repeat_words") * 10 > n * 3),
-        "lines": ((F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 5), F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        "capitals": (F.col("n_upper") * 20 <= letters * 3, F.col("n_upper") * 10 > letters * 4),
-        "word_length": ((F.col("word_chars") >= n * 3) & (F.col("word_chars") <= n * 8), (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 12)),
-        "frequent": (F.col("n_frequent") * 100 >= n * 8, (F.col("n_frequent") * 100 < n * 3) & (n >= 30)),
-        "sentences": ((F.col("n_ends") * 100 >= n) & (F.col("n_ends") * 100 <= n * 40), (F.col("n_ends") * 100 > n * 60) & (n >= 30)),
-    }
-    return {name: F.when(some | F.lit(name == "length"), vote(good, bad)).otherwise(0) for name, (good, bad) in rules.items()}
+    """The rules.  Most of them know one kind of bad text and abstain on everything else; two also vote for good.
 
+    A text without words gets a bad vote from ``length`` and no other.
+    """
+    n, letters = F.col("n_words"), F.col("n_upper") + F.col("n_lower")
+    bad = {
+        "length": n < 50,
+        "symbols": F.col("n_symbols") * 10 > n,
+        "repetition": F.col("n_repeat_words") * 10 > n * 3,
+        "lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 4,
+        "capitals": F.col("n_upper") * 10 > letters * 4,
+        "word_length": (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 12),
+        "frequent": (F.col("n_frequent") * 100 < n * 3) & (n >= 30),
+        "sentences": (F.col("n_ends") * 100 > n * 60) & (n >= 30),
+        "plain": F.lit(False),
+    }
+    good = {
+        "frequent": F.col("n_frequent") * 100 >= n * 8,
+        "plain": (F.col("n_symbols") * 50 <= n) & (F.col("n_upper") * 20 <= letters * 3) & (F.col("n_repeat_words") * 20 <= n * 3),
+    }
+    some = n > 0
+    return {
+        name: F.when(no & (some | F.lit(name == "length")), -1).when(good.get(name, F.lit(False)) & some, 1).otherwise(0)
+        for name, no in bad.items()
+    }
 
-class VoteModel:
-    """Prior and accuracies of the rules: how likely each voting rule is right on a good and on a bad document."""
 
-    def __init__(self, prior: float, on_good: list[float], on_bad: list[float]):
-        self.prior, self.on_good, self.on_bad = prior, on_good, on_bad
+class VoteModel:
+    """Share of good documents, and for each rule how often its votes are right."""
 
-    def weights(self, rule: int) -> tuple[float, float]:
-        """What a good and a bad vote of a rule add to the log-odds."""
-        g, b = self.on_good[rule], self.on_bad[rule]
-        return math.log(g / (1 - b)), math.log((1 - g) / b)
+    def __init__(self, prior: float, accuracy: Sequence[float]):
+        self.prior, self.accuracy = prior, list(accuracy)
 
-    def log_odds(self, pattern: Sequence[int]) -> float:
-        total = math.log(self.prior / (1 - self.prior))
-        for r, v in enumerate(pattern):
-            if v:
-                total += self.weights(r)[v < 0]
-        return total
+    def weight(self, rule: int) -> float:
+        """What a vote of the rule moves the log-odds."""
+        return math.log(self.accuracy[rule] / (1 - self.accuracy[rule]))
 
     def posterior(self, pattern: Sequence[int]) -> float:
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.log_odds(pattern)))))
+        total = math.log(self.prior / (1 - self.prior)) + sum(v * self.weight(r) for r, v in enumerate(pattern))
+        return 1 / (1 + math.exp(-total))
 
     def column(self, rules: Sequence[str]) -> Column:
         total = F.lit(math.log(self.prior / (1 - self.prior)))
         for r, name in enumerate(rules):
-            good, bad = self.weights(r)
-            total = total + F.when(F.col(name) > 0, good).when(F.col(name) < 0, bad).otherwise(0.0)
+            total = total + F.col(name) * F.lit(self.weight(r))
         return 1 / (1 + F.exp(-total))
 
 
-#: limits that keep the two classes from changing places or a rule from being taken for infallible
-LEAST, MOST, PRIOR_LEAST, PRIOR_MOST = 0.55, 0.995, 0.05, 0.95
+#: a rule is taken for better than chance and for fallible; the two classes cannot change places
+LEAST, MOST = 0.6, 0.99
+PRIOR_LEAST, PRIOR_MOST = 0.1, 0.9
+
 
+def fit_votes(patterns: Sequence[tuple[Sequence[int], int]], rules: int, steps: int = 100) -> VoteModel:
+    """Expectation maximisation over (votes, number of documents).
 
-def fit_votes(patterns: Sequence[tuple[Sequence[int], int]], rules: int, steps: int = 60) -> VoteModel:
-    """Expectation maximisation over (votes, number of documents).  Without documents the starting values remain."""
-    model = VoteModel(0.7, [0.8] * rules, [0.8] * rules)
+    Without documents, or for a rule that never votes, the starting values
+    remain.
+    """
+    model = VoteModel(0.7, [0.8] * rules)
     patterns = sorted((tuple(p), n) for p, n in patterns)
     for _ in range(steps if patterns else 0):
         good = [model.posterior(p) for p, _ in patterns]
-        held = lambda x, lo, hi: max(lo, min(hi, x))
-        everything = sum(n for _, n in patterns)
-        prior = held((sum(q * n for q, (_, n) in zip(good, patterns)) + 0.7) / (everything + 1), PRIOR_LEAST, PRIOR_MOST)
-        right = {1: [], -1: []}
-        for sign in (1, -1):
-            for r in range(rules):
-                share = [(q if sign > 0 else 1 - q) * n for q, (_, n) in zip(good, patterns)]
-                hit = sum(s for s, (p, _) in zip(share, patterns) if p[r] == sign)
-                cast = sum(s for s, (p, _) in zip(share, patterns) if p[r])
-                right[sign].append(held((hit + 1.6) / (cast + 2), LEAST, MOST))
-        model = VoteModel(prior, right[1], right[-1])
+        prior = sum(q * n for q, (_, n) in zip(good, patterns)) / sum(n for _, n in patterns)
+        accuracy = []
+        for r in range(rules):
+            cast = sum(n for p, n in patterns if p[r])
+            right = sum((q if p[r] > 0 else 1 - q) * n for q, (p, n) in zip(good, patterns) if p[r])
+            accuracy.append(max(LEAST, min(MOST, (right + 1.6) / (cast + 2))))
+        model = VoteModel(max(PRIOR_LEAST, min(PRIOR_MOST, prior)), accuracy)
     return model
 
 
