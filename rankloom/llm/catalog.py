@@ -3,6 +3,8 @@
 from rankloom.llm import (  # noqa: F401
     op1_decontamination,
     op2_sharding,
+    op3_chat,
+    op4_html,
     op8_quality,
     op9_url_filter,
 )
