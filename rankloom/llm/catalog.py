@@ -3,6 +3,7 @@
 from rankloom.llm import (  # noqa: F401
     op1_decontamination,
     op2_sharding,
+    op10_mixing,
     op3_chat,
     op4_html,
     op8_quality,
