@@ -6,6 +6,7 @@ from rankloom.llm import (  # noqa: F401
     op10_mixing,
     op3_chat,
     op4_html,
+    op5_near_duplicates,
     op6_language_id,
     op8_quality,
     op9_url_filter,
