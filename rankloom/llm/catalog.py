@@ -8,6 +8,7 @@ from rankloom.llm import (  # noqa: F401
     op4_html,
     op5_near_duplicates,
     op6_language_id,
+    op7_secrets,
     op8_quality,
     op9_url_filter,
 )
