@@ -49,3 +49,26 @@ def free_name(taken: Sequence[str], name: str) -> str:
     while name.lower() in low:
         name = "_" + name
     return name
+
+
+def join_rows(docs: DataFrame, keys: Sequence[str], other: DataFrame, how: str) -> DataFrame:
+    """Join on ``keys`` of ``docs`` and the first columns of ``other``; null equals null.
+
+    No name of ``other`` clashes with one of ``docs``: its keys are dropped
+    after a join that shows them, its other columns keep their names.
+    """
+    names = [free_name([*docs.columns, *other.columns], f"_key{i}") for i in range(len(keys))]
+    other = other.toDF(*names, *other.columns[len(keys) :])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return docs.join(other, same, how).drop(*names)
+
+
+#: bytes of a batch that goes to a Python worker
+BATCH_LIMIT = "8m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once by bytes, where the session has Spark's own, larger limit."""
+    if spark.conf.get(BATCH_CONF) == "67108864b":
+        spark.conf.set(BATCH_CONF, BATCH_LIMIT)

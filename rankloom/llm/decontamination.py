@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import lower_ascii, split_words
+from rankloom.llm.common import join_rows, lower_ascii, split_words
 from rankloom.operators.sizing import broadcast_if_small
 
 #: everything in ASCII that is neither a digit nor a small letter
@@ -59,7 +59,7 @@ def find_hits(docs: DataFrame, text: str, windows: DataFrame, keep: list[str] |
     that is null or has no words has no hits, and an empty ``windows`` gives
     none anywhere.
     """
-    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect())  # at most n numbers
+    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect()) or [1]  # at most n numbers
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "hits")]
     cut = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row") if keep else F.lit(None).alias("_row"),
@@ -70,7 +70,7 @@ def find_hits(docs: DataFrame, text: str, windows: DataFrame, keep: list[str] |
     fits = {k: F.col("_at") + k <= F.col("_n") for k in lengths}
     keys = [
         F.struct(F.lit(k).alias("len"), F.when(fits[k], window_hash(F.col("_words"), F.col("_at"), k)).alias("key"))
-        for k in lengths or [1]
+        for k in lengths
     ]
     if len(keys) > 1:
         spots = spots.withColumn("_k", F.explode(F.array(*keys)))
@@ -131,5 +131,4 @@ def remove_documents(docs: DataFrame, key: str, text: str, windows: DataFrame) -
     Rows that share a key (null counts as a value) are judged together.
     """
     hit = find_hits(docs, text, windows, [key]).where(F.size("hits") > 0)
-    bad = hit.select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col("_bad")), "left_anti")
+    return join_rows(docs, [key], hit.select(key).distinct(), "left_anti")

@@ -1,7 +1,7 @@
 """Main text of HTML pages by the distribution of line lengths.
 
 Markup is stripped to one line per block.  A line's length counts the text
-outside links; lines in menus, forms, adverts and the like have left with their
+outside links, or nothing if most of it is links; lines in menus, forms, adverts and the like have left with their
 markup.  The lengths are summed over a sliding window of lines: the text starts
 where the sum surges over a bound and ends where it dives to nothing, and all
 lines in between are kept.  Where a page names its article, lines outside have
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import small_batches
 #: lines in a window, and the characters that a surge takes
 WINDOW, SURGE = 3, 40
 
@@ -78,7 +79,7 @@ def role_of(tag: str, text: str) -> str:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside a named article) of every block that is not dropped."""
+    """(text, length, inside a named article) of every block that is not dropped."""
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     state = {"linked": 0, "out": 0, "in": 0, "a": 0}
@@ -89,7 +90,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((line, max(0, len(line) - state["linked"]), state["in"] > 0))
+                own = len(line) - state["linked"]
+                lines.append((line, own if own * 2 > len(line) else 0, state["in"] > 0))
             text.clear()
         state["linked"] = 0
 
@@ -182,6 +184,7 @@ def extract_pages(pages: DataFrame, html_column: str = "html", out: str = "text"
     A null, empty or blank page, or one without main text, has an empty text.
     A column already called like the output is replaced.
     """
+    small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c.lower() not in (html_column.lower(), out.lower())]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import lower_ascii
+from rankloom.llm.common import join_rows, lower_ascii, small_batches
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
 
@@ -55,7 +55,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tup
 
 
 def trigrams(parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = LETTERS[np.frombuffer(GAP.join(parts) + GAP, np.uint8)].astype(np.uint32)
+    """Buckets of the trigrams of all texts, each with blanks around it, and where each text begins."""
+    raw = LETTERS[np.frombuffer(GAP[:2] + GAP.join(parts) + GAP, np.uint8)].astype(np.uint32)
     code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - WIDTH.bit_length() + 1)
     bucket[code == 0x202020] = WIDTH
@@ -173,6 +174,7 @@ def identify(
     rejected.  Other columns must not be called lang, posterior or kept; rows
     are kept apart and in no order.
     """
+    small_batches(rows.sparkSession)
     others = [c for c in rows.columns if c not in ("declared", "host", "text")]
     rows = rows.select(
         *others, code_of(F.col("declared")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")
@@ -214,5 +216,4 @@ def keep_identified(docs: DataFrame, key: str, declared: str, host: str, text: s
     rows = docs.select(
         F.col(f"`{key}`").alias("_key"), F.col(f"`{declared}`").alias("declared"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")
     )
-    rejected = identify(rows).where(~F.col("kept")).select("_key").distinct()
-    return docs.join(rejected, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_anti")
+    return join_rows(docs, [key], identify(rows).where(~F.col("kept")).select("_key").distinct(), "left_anti")

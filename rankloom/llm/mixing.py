@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import NOT_GAP
+from rankloom.llm.common import NOT_GAP, free_name, join_rows
 from rankloom.operators.chunks import written_once
 
 BLOCK = 1024
@@ -188,7 +188,7 @@ def mix_documents(
     epochs = mixed.where("words > 0").groupBy("_s", "_bucket", "_nth", "epoch").agg(
         F.first("id", ignorenulls=True).alias("_id"), F.first("source", ignorenulls=True).alias("_source"), (F.sum("words") * 2 > F.first("size")).alias("most")
     )
-    copies = epochs.where("most").groupBy("_id", "_source").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_source"))
-    repeated = docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[f"`{c}`" for c in docs.columns])
+    name = free_name(docs.columns, "_copies")
+    copies = epochs.where("most").groupBy("_id", "_source").agg(F.count(F.lit(1)).cast("int").alias(name))
+    repeated = join_rows(docs, [key, source], copies, "inner")
+    return repeated.select(*[f"`{c}`" for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(name))).alias(name)).drop(name)

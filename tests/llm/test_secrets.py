@@ -1,0 +1,66 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.llm.secrets import candidates, coverage, find_in, fit_forest, frequent_words, judge, pair_scores, redact, vocabulary
+
+
+def labelled_docs(spark, n, seed):
+    """Half of the findings are keys; the others are digests, numbers and long names with a digit."""
+    draw, rows = random.Random(seed), []
+    for i in range(n):
+        key = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=draw.randint(24, 40))) + "7"
+        text, label = draw.choice(
+            [(f'set api_key = "{key}" and go', 1), (f"password: {key}", 1), (f"the sha256 checksum {draw.getrandbits(160):040x} of it", 0),
+             (f"order number {draw.randrange(10**19, 10**20)} came", 0), ("see averageresultcounter2 there", 0)]
+        )
+        rows.append((i, text, "src/app.py", label))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, path string, label int")
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    words = spark.createDataFrame([("average result counter order number there checksum password the and set came see",)] * 3, "text string")
+    counted = vocabulary(words, "text")
+    return frequent_words(counted), pair_scores(counted)
+
+
+def test_held_out_findings(spark, parts):
+    train, test = labelled_docs(spark, 400, 1), labelled_docs(spark, 300, 2)
+    found = lambda d: candidates(d, "doc_id", "text", "path", *parts).join(d.select(F.col("doc_id").alias("id"), "label"), "id")
+    judged = judge(found(test), fit_forest(found(train)))
+    assert judged.count() == 300
+    assert judged.where(F.col("secret") == (F.col("label") == 1)).count() >= 0.98 * 300
+
+
+def test_counts_cover_all_rows(spark):
+    docs = spark.createDataFrame([("Ab abc abc",), (None,), ("abc xyz1abc",)], "text string")
+    assert {r.word: r.n for r in vocabulary(docs, "text").collect()} == {"abc": 4, "xyz": 1}
+    pairs = pair_scores(vocabulary(docs, "text"))
+    assert set(pairs) == {"ab", "bc", "xy", "yz"} and pairs["ab"] > pairs["xy"]
+
+
+def test_candidates_and_spans():
+    text = 'x token = "04dbebab91ab85687d33" y 😀 4785380592391140 password: hunter2! wordsonlywithoutdigit'
+    found = find_in(text)
+    assert [(text[s : s + len(v)], n) for s, v, n, _ in found] == [("04dbebab91ab85687d33", "token"), ("4785380592391140", ""), ("hunter2!", "password")]
+    clean = redact(text, [(s, len(v)) for s, v, _, _ in found])
+    assert clean == 'x token = "[SECRET]" y 😀 [SECRET] password: [SECRET] wordsonlywithoutdigit'
+    assert redact(None, []) is None and find_in("") == []
+    assert coverage("TheOrder12", frozenset(["the", "order"])) == 1.0
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "a1" * 200_000, "token = " * 50_000, "=" * 300_000, "-a" * 50_000):
+        find_in(text)
+
+
+def test_odd_documents_and_one_label(spark, parts, odd_docs, no_docs):
+    docs = odd_docs.withColumn("text", F.concat("text", F.lit(" token=abcdef0123456789")))
+    found = candidates(docs, "doc_id", "text", None, *parts)
+    assert found.count() == odd_docs.where("text is not null").count()
+    assert fit_forest(found.withColumn("label", F.lit(1))) is None
+    assert judge(found, None).where("secret").count() == found.count()
+    assert candidates(no_docs, "doc_id", "text", "source", *parts).count() == 0
+    assert fit_forest(candidates(no_docs, "doc_id", "text", "source", *parts).withColumn("label", F.lit(1))) is None
