@@ -19,11 +19,12 @@ def channel_thresholds(
 
 
 def channel_class_means(maps: DataFrame, image: str, channel: str, value: str, label: str) -> DataFrame:
-    """Mean over a class's images of the per-image summed activation, per channel."""
+    """Mean over a class's images of the per-image summed activation, per channel; NULL is a class like any other."""
     v = F.col(value).cast("double")
-    images = maps.groupBy(label).agg(F.count_distinct(image).alias("_images"))
+    # images are told apart before anything is counted, so their rows combine in the first step
+    images = maps.select(F.col(label).alias("_l"), image).distinct().groupBy("_l").agg(F.count(image).alias("_images"))
     sums = maps.groupBy(label, channel).agg(F.sum(v).alias("_sum"))
-    return sums.join(images, label).select(label, channel, (F.col("_sum") / F.col("_images")).alias("mean"))
+    return sums.join(images, F.col(label).eqNullSafe(F.col("_l"))).select(label, channel, (F.col("_sum") / F.col("_images")).alias("mean"))
 
 
 def channel_class_belonging(

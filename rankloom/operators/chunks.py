@@ -24,25 +24,48 @@ CHUNK = "_chunk"
 PROBES = [i / 256 for i in range(257)]
 
 
+#: groups of input tasks that are sketched by themselves; their probes meet on the driver
+SKETCHES = 256
+
+
 def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
-    """Approximate cut points for ``parts`` ranges; only these numbers reach the driver.
+    """Approximate cut points for ``parts`` ranges of about equally many rows.
 
-    Small sketches per group of input tasks give 257 probe points each, and a
-    second sketch over the probes gives the cuts: no task merges the sketches
-    of all input tasks.  A value found at several cut points stays repeated in
-    the list (see ``has_heavy_values``).
+    Each group of input tasks gives 257 probe points of its own sketch and its
+    number of rows; the cuts are quantiles of all probes, each weighing its
+    share of those rows, so a few large input tasks and many small ones make no
+    difference.  At most 256 groups, hence 65,792 numbers, reach the driver.  A
+    value found at several cut points stays repeated (see ``has_heavy_values``).
     """
-    width = shuffle_width(df.sparkSession)
-    local = (
-        df.select(F.col(value).cast("double").alias("_v"), (F.spark_partition_id() % width).alias("_g"))
-        .groupBy("_g")
-        .agg(F.percentile_approx("_v", PROBES, 1_000).alias("_probes"))
-        .select(F.explode("_probes").alias("_v"))
-    )
-    probabilities = [i / parts for i in range(1, parts)]
-    found = local.agg(F.percentile_approx("_v", probabilities, max(10_000, 20 * parts))).first()[0]
+    groups = min(SKETCHES, shuffle_width(df.sparkSession))
+    local = df.select(F.col(value).cast("double").alias("_v"), (F.spark_partition_id() % groups).alias("_g"))
+    rows = local.groupBy("_g").agg(F.percentile_approx("_v", PROBES, 1_000).alias("probes"), F.count("_v").alias("n")).collect()
     # NaN sorts above every number, like infinity
-    return sorted(float("inf") if c != c else float(c) for c in found or [])
+    probes = sorted((float("inf") if v != v else float(v), r["n"]) for r in rows for v in r["probes"] or [])
+    total, seen, cuts = sum(n for _, n in probes), 0, []
+    for v, n in probes:
+        seen += n
+        while len(cuts) < parts - 1 and seen * parts >= (len(cuts) + 1) * total:
+            cuts.append(v)
+    return cuts
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
+    """Keys of the groups with more than one ``parts``-th of all rows: fewer than ``parts``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.count()
+    return [tuple(r[:-1]) for r in counts.where(F.col("_n") * parts > total).collect()]
+
+
+def in_groups(keys: Sequence[str], groups: Sequence[tuple]) -> Column:
+    """Whether a row belongs to one of the groups; null is a key like any other."""
+    found = F.lit(False)
+    for group in groups:
+        same = F.lit(True)
+        for key, value in zip(keys, group):
+            same = same & F.col(key).eqNullSafe(F.lit(value))
+        found = found | same
+    return found
 
 
 def has_heavy_values(cuts: Sequence[float]) -> bool:
@@ -107,22 +130,34 @@ def exact_quantiles(
     totals = totals.select(
         *keys,
         CHUNK,
+        "_n",
         F.coalesce(F.sum("_n").over(before_chunk(keys)), F.lit(0)).alias("_start"),
         F.sum("_n").over(group).alias("_total"),
     )
-    inside = F.coalesce(F.sum("_c").over(before_in_chunk(keys, "_v")), F.lit(0))
-    placed = hist.withColumn("_inside", inside).join(totals, [*keys, CHUNK])
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    spot = F.col("p") * (F.col("_total") - 1)
-    first = F.col("_start") + F.col("_inside")
-    holds = lambda rank: (rank >= first) & (rank < first + F.col("_c"))
-    hits = placed.withColumn("p", wanted).where(holds(F.floor(spot)) | holds(F.ceil(spot)))
+    # only the ranges that hold a wanted position are ordered: at most two for each percentile and group
+    spot = lambda p: p * (F.col("_total") - 1)
+    inside = lambda at: (at >= F.col("_start")) & (at < F.col("_start") + F.col("_n"))
+    wanted = F.filter(
+        F.array(*[F.lit(float(p)) for p in probabilities]), lambda p: inside(F.floor(spot(p))) | inside(F.ceil(spot(p)))
+    )
+    spots = totals.withColumn("_wanted", wanted).where(F.size("_wanted") > 0)
+    names = [f"_k{i}" for i in range(len(keys))]
+    spots = spots.toDF(*names, "_range", "_size", "_start", "_total", "_wanted").drop("_size")
+    same = F.col(CHUNK) == F.col("_range")
+    for key, name in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    held = hist.join(spots, same).drop("_range", *names)
+    first = F.col("_start") + F.coalesce(F.sum("_c").over(before_in_chunk(keys, "_v")), F.lit(0))
+    held = held.withColumn("_first", first)
+    holds = lambda at: (at >= F.col("_first")) & (at < F.col("_first") + F.col("_c"))
+    hits = held.withColumn("p", F.explode(F.filter("_wanted", lambda p: holds(F.floor(spot(p))) | holds(F.ceil(spot(p))))))
+    at = spot(F.col("p"))
     return (
         hits.groupBy(*keys, "p")
         .agg(
-            F.max(F.when(holds(F.floor(spot)), F.col("_v"))).alias("_lo"),
-            F.max(F.when(holds(F.ceil(spot)), F.col("_v"))).alias("_hi"),
-            F.max(spot - F.floor(spot)).alias("_f"),
+            F.max(F.when(holds(F.floor(at)), F.col("_v"))).alias("_lo"),
+            F.max(F.when(holds(F.ceil(at)), F.col("_v"))).alias("_hi"),
+            F.max(at - F.floor(at)).alias("_f"),
         )
         .select(*keys, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
     )

@@ -22,40 +22,43 @@ def lookup_embeddings(
 ) -> DataFrame:
     """Id list -> list of vectors in list order; an id missing from the table gives NULL there.
 
-    The re-collected list is as long as the id list, a contract constant.
+    An empty list stays empty and a NULL list NULL.  The re-collected list is as
+    long as the id list, a contract constant.  ``keys`` name each row and table
+    ids are unique, see ``dedup``.
     """
-    flat = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id"))
+    flat = df.select(*keys, F.col(ids).isNull().alias("_none"), F.posexplode_outer(ids).alias("_pos", "_id"))
     vectors = broadcast_if_small(table.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")))
     found = flat.join(vectors, "_id", "left")
-    packed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_vec"))).alias("_v"))
-    return packed.select(*keys, F.transform("_v", lambda s: s["_vec"]).alias(out))
+    place = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_vec"))
+    packed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("_v"), F.max("_none").alias("_none"))
+    return packed.select(*keys, F.when(~F.col("_none"), F.transform("_v", lambda s: s["_vec"])).alias(out))
 
 
 def sum_pool_sequence(
     df: DataFrame, keys: Sequence[str], ids: str, table: DataFrame, id_col: str, vec_col: str, out: str = "pooled"
 ) -> DataFrame:
-    """Sum of the vectors of all real ids (id > 0); padding adds nothing.
+    """Sum of the vectors of all real ids (id > 0); padding and unknown ids add nothing.
 
-    Vectors are summed as vectors with partial aggregation: no per-dimension
-    rows and no re-collected lists.
+    Every row stays: one whose list is NULL, empty, all padding or unknown has
+    a vector of zeros.  Vectors are summed as vectors with partial aggregation:
+    no per-dimension rows and no re-collected lists.
     """
-    flat = df.select(*keys, F.explode(ids).alias("_id")).where(F.col("_id") > 0)
+    flat = df.select(*keys, F.explode_outer(ids).alias("_id")).withColumn("_id", F.when(F.col("_id") > 0, F.col("_id")))
     vectors = table.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    summed = (
-        flat.join(broadcast_if_small(vectors), "_id")
-        .groupBy(*keys)
-        .agg(Summarizer.sum(array_to_vector(F.col("_vec"))).alias("_sum"))
-    )
+    width = vectors.agg(F.coalesce(F.max(F.size("_vec")), F.lit(0)).alias("n")).scalar()
+    found = flat.join(broadcast_if_small(vectors), "_id", "left")
+    found = found.withColumn("_vec", F.coalesce("_vec", F.array_repeat(F.lit(0.0), width)))
+    summed = found.groupBy(*keys).agg(Summarizer.sum(array_to_vector(F.col("_vec"))).alias("_sum"))
     return summed.select(*keys, vector_to_array("_sum").alias(out))
 
 
 def score_pairs(
     pairs: DataFrame, users: DataFrame, items: DataFrame, user_id: str, item_id: str, vec: str = "vec"
 ) -> DataFrame:
-    """Sigmoid of the dot product of the two towers' vectors, for the given pairs only."""
+    """Sigmoid of the dot product of the two towers' vectors, for the given pairs only; NULL where a vector is missing."""
     u = users.select(user_id, F.col(vec).cast("array<double>").alias("_u"))
     i = items.select(item_id, F.col(vec).cast("array<double>").alias("_i"))
-    joined = pairs.join(broadcast_if_small(u), user_id).join(broadcast_if_small(i), item_id)
+    joined = pairs.join(broadcast_if_small(u), user_id, "left").join(broadcast_if_small(i), item_id, "left")
     return joined.withColumn("score", sigmoid(arrays.dot(F.col("_u"), F.col("_i")))).drop("_u", "_i")
 
 

@@ -137,12 +137,18 @@ def minmax_scale_by_group(df: DataFrame, keys: Sequence[str], value: str, out: s
     """(v - min) / (max - min) within each group; a constant group gives 0.
 
     The two extremes are aggregated first (combining before the shuffle) and
-    joined back, so a huge group never has to sit in one window task.
+    joined back, so a huge group never has to sit in one window task.  NULL is
+    a key like any other.
     """
     v = F.col(value).cast("double")
     bounds = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span > 0, (v - F.col("_lo")) / span).when(v.isNotNull(), F.lit(0.0))
-    return df.join(broadcast_if_small(bounds), list(keys)).withColumn(out or value, scaled).drop("_lo", "_hi")
+    names = [f"_k{i}" for i in range(len(keys))]
+    same = F.lit(True)
+    for key, name in zip(keys, names):
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    joined = df.join(broadcast_if_small(bounds.toDF(*names, "_lo", "_hi")), same)
+    return joined.withColumn(out or value, scaled).drop("_lo", "_hi", *names)
 
 

@@ -18,6 +18,9 @@ from rankloom.operators.chunks import (
     before_in_chunk,
     exact_quantiles,
     has_heavy_values,
+    hot_groups,
+    in_groups,
+    number_rows,
     quantile_cuts,
     value_histogram,
     with_chunk,
@@ -33,25 +36,33 @@ def rank_sum(
 
     AUC = wins / (pos * neg).  Equal scores share their rank, so the result does
     not depend on row order.  Arithmetic is in doubles, so large groups cannot overflow.
-    ``cuts`` (see ``quantile_cuts``) may be shared by several calls on one table.
+    Only groups too large for one task are cut into ranges; all others are one
+    range each.  ``cuts`` (see ``quantile_cuts``) may be shared by several calls
+    on one table.
     """
     keys = list(keys)
     require_columns(df, [score, label, *keys])
     base = df.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    if cuts is None:
-        cuts = quantile_cuts(base, "_s", shuffle_width(df.sparkSession))
+    width = shuffle_width(df.sparkSession)
+    hot = hot_groups(base, keys, width) if keys else [()]
+    large = in_groups(keys, hot)
+    if not hot:
+        cuts = [0.0, 1.0]  # every group is ordered as a whole
+    elif cuts is None:
+        cuts = quantile_cuts(base.where(large), "_s", width)
     scored = F.col("_s").isNotNull()
     marks = {"_p": (F.col("_y") == 1.0) & scored, "_n": (F.col("_y") == 0.0) & scored, "_d": ~scored}
     if has_heavy_values(cuts):
         hist = value_histogram(base, keys, "_s", [F.count_if(c).cast("double").alias(n) for n, c in marks.items()], cuts)
+        hist = hist.withColumn(CHUNK, F.when(large, F.col(CHUNK)).otherwise(0))
         below = F.coalesce(F.sum("_n").over(before_in_chunk(keys, "_s")), F.lit(0.0))
         placed = hist.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
         wins = F.sum("_w")
     else:
         rows = with_chunk(base.withColumns({n: c.cast("double") for n, c in marks.items()}), "_s", cuts)
         # rows without a score have no range; they are only counted, wherever they are
-        anywhere = -1 - F.spark_partition_id() % shuffle_width(df.sparkSession)
-        rows = rows.withColumn(CHUNK, F.coalesce(F.col(CHUNK), anywhere))
+        anywhere = -1 - F.spark_partition_id() % width
+        rows = rows.withColumn(CHUNK, F.when(large, F.coalesce(F.col(CHUNK), anywhere)).when(F.col("_s").isNull(), -1).otherwise(0))
         ranked = rows.where((F.col("_p") + F.col("_n") + F.col("_d")) > 0)
         rank = F.rank().over(Window.partitionBy(*keys, CHUNK).orderBy("_s"))
         peers = F.count(F.lit(1)).over(Window.partitionBy(*keys, CHUNK, "_s"))
@@ -182,21 +193,35 @@ def compare_predictions(
 
 
 def rank_in_group(df: DataFrame, group: str, score: str) -> DataFrame:
-    """Tie-averaged ascending rank of every row in its group.
+    """All rows with their tie-averaged ascending rank in their group.
 
-    Ranks come from the (group, score) histogram, so a huge group is split
-    into ranges; rows get theirs by joining on (group, score).
+    Rows without a score have no rank; rows without a group form one.  A group
+    that fits a task is ranked by one window.  Only larger ones go through the
+    (group, score) histogram, cut into ranges, and a join on (group, score).
     """
-    base = df.where(F.col(score).isNotNull()).withColumn("_s", F.col(score).cast("double"))
+    require_columns(df, [group, score])
+    base, width = df.withColumn("_s", F.col(score).cast("double")), shuffle_width(df.sparkSession)
+    hot = hot_groups(base, [group], width)
+    large = in_groups([group], hot) & F.col("_s").isNotNull()
+    peers = F.count(F.lit(1)).over(Window.partitionBy(group, "_s"))
+    order = Window.partitionBy(group).orderBy(F.col("_s").asc_nulls_last())
+    small = base.where(~large).withColumn(
+        "avg_rank", F.when(F.col("_s").isNotNull(), F.rank().over(order) + (peers - 1) / F.lit(2.0))
+    )
+    small = small.select(*df.columns, "avg_rank")
+    if not hot:
+        return small
+    base = base.where(large)
     hist = value_histogram(base, [group], "_s", [F.count(F.lit(1)).alias("_c")])
     inside = F.coalesce(F.sum("_c").over(before_in_chunk([group], "_s")), F.lit(0))
     totals = hist.groupBy(group, CHUNK).agg(F.sum("_c").alias("_n"))
-    totals = totals.select(group, CHUNK, F.coalesce(F.sum("_n").over(before_chunk([group])), F.lit(0)).alias("_start"))
-    ranks = hist.withColumn("_inside", inside).join(totals, [group, CHUNK])
-    ranks = ranks.select(
-        group, "_s", (F.col("_start") + F.col("_inside") + (F.col("_c") + 1) / F.lit(2.0)).alias("avg_rank")
+    totals = totals.select(
+        F.col(group).alias("_g"), F.col(CHUNK).alias("_r"), F.coalesce(F.sum("_n").over(before_chunk([group])), F.lit(0)).alias("_start")
     )
-    return base.join(ranks, [group, "_s"]).select(*df.columns, "avg_rank")
+    ranks = hist.withColumn("_inside", inside).join(totals, F.col(group).eqNullSafe(F.col("_g")) & (F.col(CHUNK) == F.col("_r")))
+    ranks = ranks.select("_g", F.col("_s").alias("_v"), (F.col("_start") + F.col("_inside") + (F.col("_c") + 1) / F.lit(2.0)).alias("avg_rank"))
+    ranked = base.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col("_s").eqNullSafe(F.col("_v")))
+    return small.unionByName(ranked.select(*df.columns, "avg_rank"))
 
 
 def position_in_group(
@@ -204,19 +229,21 @@ def position_in_group(
 ) -> DataFrame:
     """One-based place of every scored row in its group, best score first.
 
-    Places are counted inside (group, value range) and shifted by the rows in
-    better ranges, so a huge group is spread over tasks.
+    Rows without a group or score are left out.  A group that fits a task is
+    numbered by one window; the rows of larger ones are sorted by range over
+    (group, score, ties), so even a group of one score is spread if ties differ.
     """
     require_columns(df, [group, score, *tie])
     rows = df.where(F.col(group).isNotNull()).withColumn("_s", F.col(score).cast("double")).where("_s IS NOT NULL")
-    rows = with_chunk(rows, "_s", quantile_cuts(rows, "_s", shuffle_width(df.sparkSession)))
-    better = Window.partitionBy(group).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(group, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    shifts = totals.select(group, CHUNK, F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_shift"))
     order = [F.col("_s").desc(), *[F.col(t).asc() for t in tie]]
-    inside = F.row_number().over(Window.partitionBy(group, CHUNK).orderBy(*order))
-    placed = rows.withColumn("_inside", inside).join(shifts, [group, CHUNK])
-    return placed.select(*df.columns, (F.col("_shift") + F.col("_inside")).alias(out))
+    hot = hot_groups(rows, [group], shuffle_width(df.sparkSession))
+    large = in_groups([group], hot)
+    small = rows.where(~large).withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
+    small = small.select(*df.columns, out)
+    if not hot:
+        return small
+    placed = number_rows(rows.where(large), order, [group], "_idx")
+    return small.unionByName(placed.select(*df.columns, (F.col("_idx") + 1).alias(out)))
 
 
 def topk_metrics(

@@ -248,18 +248,18 @@ def grid_search(
 
 
 def feature_importance(
-    model, spark, kind: str = "gain", feature_map: DataFrame | None = None, categories: Sequence[str] = (), shown: int = 100
+    model, spark, kind: str = "gain", feature_map: DataFrame | None = None, categories: Sequence[str] = ()
 ) -> DataFrame:
-    """(name, score, idx) of the most important slots.
+    """(name, score, idx) of every slot, the most important first; an unused slot has 0.
 
     ``gain``: the model's own importances; ``split``: how often a slot is used
     by a tree node.  A model is a small driver object, its node text included.
     """
     if kind == "gain":
-        values = {i: float(v) for i, v in enumerate(model.featureImportances.toArray()) if v > 0}
+        values = {i: float(v) for i, v in enumerate(model.featureImportances.toArray())}
     elif kind == "split":
         used = re.findall(r"If \(feature (\d+) ", model.toDebugString)
-        values = {}
+        values = dict.fromkeys(range(model.numFeatures), 0.0)
         for slot in used:
             values[int(slot)] = values.get(int(slot), 0.0) + 1.0
     else:
@@ -268,7 +268,7 @@ def feature_importance(
     if feature_map is None:
         feature_map = spark.createDataFrame([], "idx int, name string")
     named = name_slots(scores, feature_map, list(categories))
-    return named.orderBy(F.col("score").desc(), "name").limit(shown)
+    return named.orderBy(F.col("score").desc(), "name")
 
 
 def dump_trees(model, names: dict[int, str] | None = None) -> str:

@@ -286,9 +286,10 @@ def bucket_functions(spark, sf_dir):
 @query(
     "minmax_scale_by_group",
     """SELECT event_id, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END, 9) AS scaled FROM (
-  SELECT event_id, value, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events)""",
+  SELECT event_id, value, min(value) OVER (PARTITION BY k) AS lo, max(value) OVER (PARTITION BY k) AS hi
+  FROM (SELECT *, nullif(event_type, 'click') AS k FROM events))""",
 )
 def minmax_scale_by_group(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    rows = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"), "value")
     out = features.minmax_scale_by_group(rows, ["event_type"], "value", "scaled")
     return out.select("event_id", F.round("scaled", 9).alias("scaled"))

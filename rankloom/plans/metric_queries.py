@@ -174,18 +174,22 @@ def compare_predictions(spark, sf_dir):
 @query(
     "rank_in_group",
     """
-SELECT l_suppkey AS user_id, round(sum(r), 3) AS rank_total, round(max(r), 3) AS top_rank FROM (
-  SELECT l_suppkey, l_returnflag,
-         rank() OVER (PARTITION BY l_suppkey ORDER BY l_discount)
-         + (count(*) OVER (PARTITION BY l_suppkey, l_discount) - 1) / 2.0 AS r FROM lineitem)
-WHERE l_returnflag = 'R' GROUP BY 1""",
+WITH x AS (SELECT nullif(l_suppkey, 3) AS user_id, nullif(l_discount, 0.05) AS s, l_returnflag FROM lineitem),
+r AS (SELECT *, CASE WHEN s IS NOT NULL THEN rank() OVER (PARTITION BY user_id ORDER BY s NULLS LAST)
+                + (count(*) OVER (PARTITION BY user_id, s) - 1) / 2.0 END AS r FROM x)
+SELECT user_id, round(sum(r), 3) AS rank_total, round(max(r), 3) AS top_rank, count(*) - count(r) AS unranked
+FROM r WHERE l_returnflag = 'R' GROUP BY 1""",
 )
 def rank_in_group(spark, sf_dir):
-    ranked = rm.rank_in_group(predictions(spark, sf_dir).select("user_id", "probability", "label"), "user_id", "probability")
-    return (
-        ranked.where("label = 1")
-        .groupBy("user_id")
-        .agg(F.round(F.sum("avg_rank"), 3).alias("rank_total"), F.round(F.max("avg_rank"), 3).alias("top_rank"))
+    """One supplier stands for rows without a group, one discount for rows without a score."""
+    rows = predictions(spark, sf_dir).select(
+        F.nullif("user_id", F.lit(3)).alias("user_id"), F.nullif("probability", F.lit(0.05)).alias("probability"), "label"
+    )
+    ranked = rm.rank_in_group(rows, "user_id", "probability").where("label = 1")
+    return ranked.groupBy("user_id").agg(
+        F.round(F.sum("avg_rank"), 3).alias("rank_total"),
+        F.round(F.max("avg_rank"), 3).alias("top_rank"),
+        F.count_if(F.col("avg_rank").isNull()).alias("unranked"),
     )
 
 

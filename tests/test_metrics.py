@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import math
 
@@ -190,3 +191,39 @@ def test_compare_predictions_reports_coverage(spark):
     row = rm.compare_predictions(old, new, ["k"], "u").first()
     assert (row["in_both"], row["only_old"], row["only_new"]) == (2, 1, 1)
     assert (row["old_auc"], row["new_auc"]) == (1.0, 0.0)
+
+
+def test_cuts_weigh_input_tasks_by_their_rows(spark):
+    """One large and seven tiny input tasks: no range takes more than twice its share."""
+    big = spark.range(0, 200_000, 1, 1).select((F.col("id") * 7919 % 200_003).cast("double").alias("s"))
+    tiny = spark.range(0, 700, 1, 7).select((F.col("id") / 1e6 - 1).alias("s"))
+    df = big.union(tiny)
+    sizes = chunks.with_chunk(df, "s", chunks.quantile_cuts(df, "s", 8)).groupBy(chunks.CHUNK).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 2 * 200_700 / 8
+
+
+def test_only_hot_groups_are_cut(spark):
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5_000).alias("g"),
+        (F.col("id") * 31 % 977 / 977.0).alias("s"),
+        (F.col("id") * 17 % 5 < 2).cast("int").alias("y"),
+    )
+    assert chunks.hot_groups(df, ["g"], 8) == [(-1,)]
+    got = {r["g"]: r["auc"] for r in rm.auc_by_group(df, "g", "s", "y").collect()}
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r["g"], []).append((r["s"], r["y"]))
+    for g in (-1, 1, 7, 4_999):
+        pos = [s for s, y in rows[g] if y]
+        neg = sorted(s for s, y in rows[g] if not y)
+        if pos and neg:
+            won = sum(bisect.bisect_left(neg, s) + bisect.bisect_right(neg, s) for s in pos) / 2
+            assert abs(got[g] - won / (len(pos) * len(neg))) < 1e-12
+
+
+def test_tied_hot_group_keeps_positions(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("g"), F.lit(0.5).alias("s"), (F.col("id") * 7 % 20_000).alias("k"))
+    got = rm.position_in_group(df, "g", "s", ["k"])
+    assert got.where("position <> k + 1").count() == 0 and got.count() == 20_000
+    ranks = rm.rank_in_group(df.withColumn("g", F.nullif("g", F.lit("a"))), "g", "s").agg(F.min("avg_rank"), F.max("avg_rank"), F.count("g")).first()
+    assert tuple(ranks) == (10_000.5, 10_000.5, 0)
