@@ -32,9 +32,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import join_rows, small_batches
 from rankloom.llm.components import connected_components
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
@@ -50,7 +52,7 @@ DEPTH, WIDTH_BITS, CELLS = 2, 18, 1024
 SMOOTH = 0.1
 #: members of a bucket that are still compared pair by pair
 SMALL = 48
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 #: ids broadcast to pick out texts for the exact computation
 ID_LIMIT = 32 << 20
 
@@ -129,12 +131,13 @@ def shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Rows and texts of bounded size; a single text may exceed it."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        groups = np.cumsum([len(t or "") + 1 for t in texts]) // BATCH_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1), len(texts)]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False)
+        groups = np.cumsum(sizes + 1) // BATCH_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
             if a < b:
-                yield batch.slice(a, b - a), texts[a:b]
+                part = batch.slice(a, b - a)
+                yield part, part.column(column).to_pylist()
 
 
 def cells_of(values: np.ndarray) -> list[np.ndarray]:
@@ -286,8 +289,8 @@ def hopeful(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
 def vectors(docs: DataFrame, key: str, text: str, nodes: DataFrame, sketch: np.ndarray, documents: int) -> DataFrame:
     """(node, shingles, weights) of the wanted ``nodes`` (node, id of a row with that text)."""
     sent = docs.sparkSession.sparkContext.broadcast((sketch, documents))
-    wanted = broadcast_if_small(nodes.select(F.col("id").alias("_wanted")).distinct(), ID_LIMIT)
-    rows = docs.join(wanted, F.col(f"`{key}`").eqNullSafe(F.col("_wanted")), "left_semi").select(F.col(f"`{text}`").alias("text"))
+    wanted = broadcast_if_small(nodes.select("id").distinct(), ID_LIMIT)
+    rows = join_rows(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), ["id"], wanted, "left_semi").select("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = sent.value
@@ -375,6 +378,7 @@ def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> D
     and kept.  Texts of the same words are always together.  Of repeated rows
     (equal id and words) all but one are not kept.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sketch, documents = frequency_sketch(docs, text)
     rows = written_once(signatures(docs, key, text, sketch, documents).withColumn("row", F.monotonically_increasing_id()), "signatures")
     first_id = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "row"))
@@ -423,11 +427,10 @@ def deduplicate(docs: DataFrame, key: str, text: str, similar: float = SIMILAR)
     """
     judged = written_once(classes(docs, key, text, similar), "classes")
     by_key = judged.groupBy("id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    gone = broadcast_if_small(by_key.where("not _kept").select(F.col("id").alias("_id")), ID_LIMIT)
-    stay = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = by_key.where("_kept and _n > 1").select(F.col("id").alias("_id"))
+    gone = broadcast_if_small(by_key.where("not _kept").select("id"), ID_LIMIT)
+    stay = join_rows(docs, [key], gone, "left_anti")
+    repeated = by_key.where("_kept and _n > 1").select("id")
     if repeated.isEmpty():
         return stay
-    match = F.col(f"`{key}`").eqNullSafe(F.col("_id"))
-    once = stay.join(repeated, match, "left_semi").dropDuplicates([key, text])
-    return stay.join(repeated, match, "left_anti").unionByName(once)
+    once = join_rows(stay, [key], repeated, "left_semi").dropDuplicates([key, text])
+    return join_rows(stay, [key], repeated, "left_anti").unionByName(once)
