@@ -1,18 +1,22 @@
 """Training, scoring, grid search and explanation of tabular models on Spark ML.
 
-Configurations use the job's key names.  Keys that Spark's learners cannot
-honour raise instead of being ignored.
+Configurations use the job's key names.  What Spark's learners cannot honour
+raises if it would change the result much, and is logged if it is a limit that
+rarely binds (see ``reported``).
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import logging
+import math
 import re
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +43,37 @@ GBT_KEYS = {
     "minInfoGain": "minInfoGain",
     "seed": "seed",
 }
-# Penalties and limits without a counterpart: only the neutral value is accepted.
-NEUTRAL = {"lambda1": 0, "lambda2": 0, "alpha": 0, "lambda": 0, "gamma": 0, "minSumHessionInLeaf": 0, "minChildWeight": 0}
+# Penalties without a counterpart: only the neutral value is accepted.
+NEUTRAL = {"lambda1": 0, "lambda2": 0, "alpha": 0, "lambda": 0, "gamma": 0}
+# Limits without a counterpart: logged up to the value given, refused beyond it.
+RARELY_BINDING = {"minSumHessionInLeaf": 1e-2, "minChildWeight": 1}
+# Keys of a tree configuration that a linear ranker has no use for.
+RANKER_IGNORES = {
+    "maxDepth", "leaves", "featureFraction", "baggingFraction", "baggingFreq", "maxBin", "minDataInLeaf", "minSumHessionInLeaf",
+    "boostingType", "isUnbalance", "lambda1", "lambda2",
+}
+DEFAULT_LEAVES = 31
+#: share of the rows that early stopping watches when no ratio is set
+WATCHED = 0.1
+
+log = logging.getLogger(__name__)
+
+
+def reported(kind: str, message: str) -> None:
+    log.warning("%s: %s", kind, message)
+
+
+def tree_depth(depth: int | None, leaves: int | None) -> int:
+    """Depth for level-wise trees.
+
+    A depth below 1 means no limit; then, and where the leaf limit is the
+    tighter one, the depth is the least that holds the wanted leaves.
+    """
+    wanted = DEFAULT_LEAVES if leaves is None else leaves
+    by_leaves = max(1, math.ceil(math.log2(max(2, wanted))))
+    if depth is None or depth < 1:
+        return by_leaves
+    return depth if leaves is None else min(depth, by_leaves)
 
 
 def setting(cfg: dict, key: str, default=None):
@@ -62,6 +95,30 @@ def mark_categorical(df: DataFrame, features: str, cardinalities: dict[int, int]
     return df.withMetadata(features, {"ml_attr": attributes})
 
 
+def categorical_sizes(df: DataFrame, features: str) -> dict[int, int]:
+    """Number of values of each slot that the column metadata declares as categorical."""
+    attributes = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return {a["idx"]: a["num_vals"] for a in attributes if "num_vals" in a}
+
+
+def mark_category_slots(df: DataFrame, features: str, names: Sequence[str]) -> DataFrame:
+    """Declare the leading slots, one for each of ``names``, as categorical.
+
+    Sizes come from one aggregation over the category columns.  Columns with
+    fractions or values below 0 (an unseen value is -1) stay ordered and are
+    reported.
+    """
+    value = {n: F.col(n).cast("double") for n in names}
+    checks = [F.max(value[n]).alias(f"m{i}") for i, n in enumerate(names)]
+    checks += [F.min((value[n] >= 0) & (value[n] == F.floor(value[n]))).alias(f"w{i}") for i, n in enumerate(names)]
+    found = df.agg(*checks, F.first(vector_to_array(F.col(features))).alias("v")).first()
+    sizes = {i: int(found[f"m{i}"]) + 1 for i in range(len(names)) if found[f"w{i}"]}
+    for i, n in enumerate(names):
+        if i not in sizes:
+            reported("categories", f"{n} is not made of indices and stays ordered")
+    return mark_categorical(df, features, sizes, len(found["v"])) if found["v"] else df
+
+
 def weighted(df: DataFrame, cfg: dict, label: str) -> tuple[DataFrame, str | None]:
     """Apply the row weight and the positive-class weight of the configuration."""
     weight = setting(cfg, "weightCol")
@@ -83,33 +140,45 @@ def _feature_strategy(fraction: float) -> str:
 def train_gbt(df: DataFrame, cfg: dict, validation: str | None = None):
     """Binary boosted trees for ``lgb`` and ``xgb`` configurations.
 
-    Trees grow level by level; leaf count limits and L1/L2 penalties do not
-    exist in Spark's learner and raise when set to a binding value.
-    ``validation`` names a boolean column of rows used for early stopping.
+    Trees grow level by level, so ``maxDepth`` and ``leaves`` become one depth
+    (``tree_depth``).  Penalties raise when set; small limits on the Hessian are
+    logged.  A bagging frequency of 0 turns bagging off.  Early stopping and
+    ``trainTestRatio`` hold back rows by a hash; ``validation`` names a boolean
+    column to use instead.  Slots marked as categorical (``prepare``) are split
+    as categories, and the number of bins is raised to hold their values.
     """
     check_keys(
         cfg,
-        COMMON_KEYS | RUNTIME_KEYS | set(GBT_KEYS) | set(NEUTRAL)
+        COMMON_KEYS | RUNTIME_KEYS | set(GBT_KEYS) | set(NEUTRAL) | set(RARELY_BINDING)
         | {"objective", "boostingType", "leaves", "featureFraction", "baggingFreq", "isUnbalance", "autoScalePosRatio",
-           "scalePosWeight", "trainTestRatio"},
+           "scalePosWeight", "trainTestRatio", "earlyStoppingRounds"},
     )
     for key, neutral in NEUTRAL.items():
         if float(setting(cfg, key, neutral)) != neutral:
             raise ValueError(f"{key} is not supported by the boosted tree learner")
+    for key, most in RARELY_BINDING.items():
+        value = float(setting(cfg, key, 0))
+        if value > most:
+            raise ValueError(f"{key} above {most} is not supported by the boosted tree learner")
+        if value:
+            reported(cfg.get("model", "lgb"), f"{key}={value} is not applied")
     if setting(cfg, "objective", "binary") not in ("binary", "binary:logistic"):
         raise ValueError("only the binary objective is supported")
     if setting(cfg, "boostingType", "gbdt") != "gbdt":
         raise ValueError("only gbdt boosting is supported")
-    depth = int(setting(cfg, "maxDepth", 5))
-    leaves = setting(cfg, "leaves")
-    if leaves is not None and int(leaves) < 2**depth:
-        raise ValueError(f"leaves={leaves} would limit trees of depth {depth}; leaf-wise growth is not supported")
+    depth, leaves = setting(cfg, "maxDepth"), setting(cfg, "leaves")
+    cfg = {**cfg, "maxDepth": tree_depth(None if depth is None else int(depth), None if leaves is None else int(leaves))}
+    if not is_unset(cfg.get("baggingFreq")) and int(cfg["baggingFreq"]) == 0:
+        cfg["baggingFraction"] = 1.0
     features, label = setting(cfg, "featuresCol", "features"), setting(cfg, "labelCol", "label")
     rows, weight = weighted(df, cfg, label)
     params = {target: cfg[key] for key, target in GBT_KEYS.items() if not is_unset(cfg.get(key))}
     for name in ("maxDepth", "maxIter", "maxBins", "minInstancesPerNode", "seed"):
         if name in params:
             params[name] = int(params[name])
+    most_values = max([0, *categorical_sizes(df, features).values()])
+    if most_values > int(params.get("maxBins", 32)):
+        params["maxBins"] = most_values
     learner = GBTClassifier(
         featuresCol=features,
         labelCol=label,
@@ -119,6 +188,8 @@ def train_gbt(df: DataFrame, cfg: dict, validation: str | None = None):
     if weight:
         learner = learner.setWeightCol(weight)
     ratio = setting(cfg, "trainTestRatio")
+    if ratio is None and int(setting(cfg, "earlyStoppingRounds", 0)) > 0:
+        ratio = 1 - WATCHED
     if validation is None and ratio is not None and float(ratio) < 1.0:
         keys = [c for c in df.columns if c not in (features,)]
         rows = rows.withColumn("_validation", hash_fraction(keys) >= float(ratio))
@@ -161,7 +232,10 @@ def train_fm(df: DataFrame, cfg: dict):
 
 
 def train_ranker(df: DataFrame, cfg: dict):
-    check_keys(cfg, COMMON_KEYS | RUNTIME_KEYS | {"group", "maxPosition", "iterations", "learningRate", "objective"})
+    check_keys(cfg, COMMON_KEYS | RUNTIME_KEYS | RANKER_IGNORES | {"group", "maxPosition", "iterations", "learningRate", "objective"})
+    ignored = sorted(k for k in RANKER_IGNORES if not is_unset(cfg.get(k)))
+    if ignored:
+        reported("lgb_ranker", f"a linear ranker does not use {ignored}")
     return train_pairwise_ranker(
         df,
         group=cfg["group"],
@@ -195,7 +269,11 @@ def prepare(df: DataFrame, cfg: dict, add_category: bool = False) -> DataFrame:
     """Dense feature vectors, with the category columns in front when asked for."""
     features = setting(cfg, "featuresCol", "features")
     rows = densify(to_ml_vector(df, features), features)
-    return merge_category_features(rows, cfg.get("categoricalSlotNames") if add_category else None, features)
+    merged = merge_category_features(rows, cfg.get("categoricalSlotNames") if add_category else None, features)
+    names = split_names(cfg.get("categoricalSlotNames")) if add_category else []
+    if names and cfg.get("model") in ("lgb", "xgb"):
+        return mark_category_slots(merged, features, names)
+    return merged
 
 
 def score(model, df: DataFrame, variant: str = "named", leaf_col: str | None = None, features: str = "features") -> DataFrame:
@@ -208,12 +286,20 @@ def score(model, df: DataFrame, variant: str = "named", leaf_col: str | None = N
     return positive_probability(model.transform(df), variant)
 
 
+def typed(text: str):
+    """A number, true, false or null as JSON writes them; anything else stays text."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 def parameter_grid(cfg: dict, keys: Sequence[str]) -> list[dict]:
     """Every combination of the comma separated values of ``keys``; other settings stay as they are."""
     choices = [split_names(str(cfg[k])) if not is_unset(cfg.get(k)) else [None] for k in keys]
     fixed = {k: v for k, v in cfg.items() if k not in keys}
     return [
-        {**fixed, **{k: float(v) if "." in v else int(v) for k, v in zip(keys, combo) if v is not None}}
+        {**fixed, **{k: typed(v) for k, v in zip(keys, combo) if v is not None}}
         for combo in itertools.product(*choices)
     ]
 

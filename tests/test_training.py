@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def test_regression_recovers_the_coefficients(samples):
 
 
 @pytest.mark.parametrize(
-    "bad", [{"lambda1": 0.5}, {"leaves": 7}, {"objective": "regression"}, {"boostingType": "dart"}, {"depthMax": 3}]
+    "bad", [{"lambda1": 0.5}, {"minSumHessionInLeaf": 5}, {"objective": "regression"}, {"boostingType": "dart"}, {"depthMax": 3}]
 )
 def test_settings_that_cannot_be_honoured_raise(samples, bad):
     with pytest.raises(ValueError):
@@ -53,6 +54,54 @@ def test_unset_settings_are_ignored(samples):
         training.train(samples, {"model": "svm"})
 
 
+# every key of the jobs' own configurations, with their defaults
+LGB_FULL = {
+    "model": "lgb", "featuresCol": "features", "labelCol": "label", "objective": "binary", "boostingType": "gbdt", "metric": "auc",
+    "learningRate": 0.1, "maxDepth": -1, "trainingMetric": True, "barrierMode": False, "leaves": 31, "iterations": 3, "featureFraction": 1.0,
+    "baggingFraction": 0.8, "baggingFreq": 0, "maxBin": 255, "isUnbalance": False, "minDataInLeaf": 20, "minSumHessionInLeaf": 1e-3,
+    "lambda1": 0.0, "lambda2": 0.0, "categoricalSlotNames": "-", "weightCol": "-", "earlyStoppingRounds": 2, "workers": 4,
+}
+XGB_FULL = {
+    "model": "xgb", "featuresCol": "features", "labelCol": "label", "objective": "binary:logistic", "metric": "auc", "trainTestRatio": 0.9,
+    "learningRate": 0.1, "maxDepth": 4, "iterations": 3, "featureFraction": 1.0, "baggingFraction": 0.9, "treeMethod": "auto",
+    "scalePosWeight": 1.0, "autoScalePosRatio": 0, "minChildWeight": 1, "alpha": 0.0, "lambda": 0.0, "gamma": 0.0,
+    "categoricalSlotNames": "-", "weightCol": "-", "workers": 4,
+}
+
+
+@pytest.mark.parametrize("cfg", [LGB_FULL, XGB_FULL])
+def test_whole_configurations_run(samples, cfg):
+    scored = training.score(training.train(samples, cfg), samples)
+    assert auc(scored, "prob", "label").first()[0] > 0.75
+
+
+def test_whole_ranker_configuration_runs(samples):
+    cfg = {**LGB_FULL, "model": "lgb_ranker", "objective": "lambdarank", "group": "user_id", "maxPosition": 5}
+    del cfg["earlyStoppingRounds"]
+    training.train(samples.select("user_id", "label", vector_to_array("features").alias("features")), cfg)
+
+
+@pytest.mark.parametrize("depth, leaves, want", [(-1, 31, 5), (None, None, 5), (3, None, 3), (6, 8, 3), (2, 31, 2), (-1, 2, 1), (0, 33, 6)])
+def test_tree_depth(depth, leaves, want):
+    assert training.tree_depth(depth, leaves) == want
+
+
+def test_grid_values_are_typed():
+    grid = training.parameter_grid({"a": "1e-3,2", "b": "true,gbdt", "c": 5}, ["a", "b"])
+    assert [g["a"] for g in grid] == [0.001, 0.001, 2, 2] and [g["b"] for g in grid] == [True, "gbdt", True, "gbdt"]
+
+
+def test_job_preparation_marks_category_slots(spark):
+    """40 shops, more than the default bins; membership and not order decides."""
+    rows = [(float(c), -1.0 if i else 0.5, float(c % 7 in (1, 4)), Vectors.dense(0.0)) for c in range(40) for i in range(20)]
+    df = spark.createDataFrame(rows, ["shop", "odd", "label", "features"])
+    cfg = {"model": "lgb", "maxDepth": 1, "iterations": 1, "categoricalSlotNames": "shop,odd"}
+    ready = training.prepare(df, cfg, add_category=True)
+    assert training.categorical_sizes(ready, "features") == {0: 40}
+    model = training.train(ready, cfg)
+    assert auc(training.score(model, ready), "prob", "label").first()[0] == 1.0
+
+
 def test_leaf_column_and_variants(samples):
     model = training.train(samples, {**GBT, "iterations": 2})
     row = training.score(model, samples, leaf_col="leaf").first()
