@@ -1,4 +1,7 @@
-"""Training, scoring and evaluation on lineitem samples; no SQL twin exists for learners."""
+"""Training, scoring and evaluation on lineitem samples.
+
+SQL cannot fit a learner; where it can, it states what must hold for the scores of every test row.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rankloom.operators import training
-from rankloom.operators.ranking_metrics import auc, ndcg_at_k
+from rankloom.operators.ranking_metrics import ndcg_at_k
 from rankloom.operators.samples import split_train_test
 from rankloom.plans.jobs import JobPaths, run_job
 from rankloom.plans.registry import query, table
-from rankloom.plans.sample_queries import sample_table
+from rankloom.plans.sample_queries import LABEL, RAND, sample_table
 from rankloom.session import scratch_path
 from rankloom.sources.models import load_model, train_or_load
 
@@ -24,36 +27,62 @@ def sides(spark, sf_dir):
     return split_train_test(rows, fold=4, fraction=F.col("rand"))
 
 
-def _fit_and_score(cfg):
+#: of each class on the test side: all rows, and those for which a statement about the scores holds
+CHECKED = f"SELECT {LABEL} AS label, count(*) AS n, count(*) AS holds FROM lineitem WHERE {RAND} < 0.25 GROUP BY 1"
+
+
+def checked(rows, holds):
+    return rows.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(holds).alias("holds"))
+
+
+def near(a, b):
+    return F.abs(a - b) < 1e-9
+
+
+def _fit_and_score(cfg, slope):
+    """Every test row has a probability that is the logistic function of its margin."""
+
     def run(spark, sf_dir):
         train, test = sides(spark, sf_dir)
-        model = training.train(train, cfg)
-        return training.score(model, test).select("l_orderkey", "l_linenumber", "label", "predict", "prob")
+        scored = training.score(training.train(train, cfg), test)
+        return checked(scored, near(F.col("prob"), 1 / (1 + F.exp(-slope * F.col("predict")))))
 
     return run
 
 
-query("train_gbt")(_fit_and_score(GBT))
-query("train_lr")(_fit_and_score(LR))
-query("train_fm")(_fit_and_score(FM))
+query("train_gbt", CHECKED)(_fit_and_score(GBT, 2))
+query("train_lr", CHECKED)(_fit_and_score(LR, 1))
+query("train_fm", CHECKED)(_fit_and_score(FM, 1))
 
 
-@query("score_with_leaves")
+@query(
+    "score_with_leaves",
+    f"""SELECT CAST(t AS INTEGER) AS tree, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys
+FROM lineitem, (SELECT unnest(range(5)) AS t) WHERE {RAND} < 0.25 GROUP BY 1""",
+)
 def score_with_leaves(spark, sf_dir):
+    """Every test row has a leaf that exists in each of the trees."""
     train, test = sides(spark, sf_dir)
-    scored = training.score(training.train(train, GBT), test, leaf_col="leaves")
-    return scored.select("l_orderkey", "l_linenumber", "prob", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    model = training.train(train, GBT)
+    scored = training.score(model, test, leaf_col="leaves")
+    leaves = F.array(*[F.lit((t.numNodes + 1) // 2) for t in model.trees])
+    rows = scored.select("l_orderkey", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    rows = rows.where((F.col("leaf") >= 0) & (F.col("leaf") < F.get(leaves, F.col("tree"))))
+    return rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@query("positive_probability")
+@query("positive_probability", CHECKED)
 def positive_probability(spark, sf_dir):
+    """The renamed and the split outputs fit each other on every row."""
     train, test = sides(spark, sf_dir)
     model = training.train(train, LR)
-    renamed = training.score(model, test, variant="rename")
-    split = training.score(model, test, variant="split").select("l_orderkey", "l_linenumber", "prediction")
-    return renamed.select("l_orderkey", "l_linenumber", "probability").unionByName(
-        split.select("l_orderkey", "l_linenumber", F.col("prediction").alias("probability"))
-    )
+    keys = ["l_orderkey", "l_linenumber"]
+    pick = lambda v, *c: training.score(model, test, variant=v).withColumn("_at", F.xxhash64(*keys, "user_id", "goods_id", "features")).select(*c)
+    renamed = pick("rename", "_at", "label", F.col("rawPrediction").alias("both"), F.col("probability").alias("p")).dropDuplicates()
+    split = pick("split", "_at", F.col("prediction").alias("margin"), F.col("probability").alias("q"))
+    pair = split.join(renamed, "_at")
+    same = near(F.col("p"), F.col("q")) & near(F.col("p"), 1 / (1 + F.exp(-F.col("margin")))) & near(vector_to_array("both")[1], F.col("p"))
+    return checked(pair, same)
 
 
 @query("train_pairwise_ranker")
@@ -85,14 +114,15 @@ def feature_importance(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
-@query("save_and_load_model")
+@query("save_and_load_model", CHECKED)
 def save_and_load_model(spark, sf_dir):
+    """The trained model and the one that was stored and loaded again agree on every row."""
     train, test = sides(spark, sf_dir)
     path = scratch_path(spark, "model")
     first = train_or_load(spark, "lr", path, lambda: training.train(train, LR))
-    again = load_model("lr", path)
-    a, b = [auc(training.score(m, test), "prob", "label") for m in (first, again)]
-    return a.withColumn("model", F.lit("trained")).unionByName(b.withColumn("model", F.lit("loaded")))
+    scored = training.score(first, test).select("label", "features", F.col("prob").alias("trained"))
+    both = training.score(load_model("lr", path), scored)
+    return checked(both, F.col("prob") == F.col("trained"))
 
 
 @query("run_job")
