@@ -27,9 +27,3 @@ def split_names(value: str | Iterable[str] | None) -> list[str]:
             return []
         return [part.strip() for part in value.split(",") if part.strip()]
     return list(value)
-
-
-def single_value(df: DataFrame):
-    """The value of a one-row, one-column metric frame."""
-    row = df.first()
-    return None if row is None else row[0]

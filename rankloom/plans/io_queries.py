@@ -29,8 +29,9 @@ def daily_events(spark, sf_dir, layout):
     if layout == "hive":
         events.write.partitionBy("dt").parquet(root)
     else:
-        parts = events.select("*", F.date_format("dt", "yyyy").alias("y"), F.date_format("dt", "MM").alias("m"), F.date_format("dt", "dd").alias("d"))
-        parts.write.partitionBy("y", "m", "d").parquet(root)
+        # yyyy/MM/dd folders: what partitionBy wrote under "y=.../m=.../d=..." cannot be named so, hence one write a day
+        for (day,) in events.select("dt").distinct().orderBy("dt").collect():
+            events.where(F.col("dt") == F.lit(day)).drop("dt").coalesce(1).write.parquet(f"{root}/{day.strftime(readers.DAY_LAYOUTS[layout])}")
     return root
 
 
@@ -45,6 +46,13 @@ def read_date_range(spark, sf_dir):
     return df.groupBy("_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("read_date_range_nested", _RANGE_SQL)
+def read_date_range_nested(spark, sf_dir):
+    root = daily_events(spark, sf_dir, "nested")
+    df = readers.read_date_range(spark, root, "20240105", "20240120", with_date=True, layout="nested")
+    return df.groupBy("_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(
     "date_partitions",
     """

@@ -14,18 +14,30 @@ object array<struct<name: string, bndbox: struct<xmin: string, ymin: string, xma
 _corrupt_record string"""
 
 
-def read_object_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per annotated object; coordinates written as decimals are truncated to integers.
-
-    Files that do not parse are skipped.  Every object carries its own name.
-    """
-    raw = (
+def annotation_rows(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.format("xml")
         .option("rowTag", "annotation")
         .option("mode", "PERMISSIVE")
         .schema(ANNOTATION_SCHEMA)
         .load(path)
     )
+
+
+def unreadable_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, image, content) of what ``read_object_annotations`` has to leave out; image as far as it could be read."""
+    raw = annotation_rows(spark, path).select(F.input_file_name().alias("file"), "filename", "_corrupt_record")
+    bad = raw.where(F.col("_corrupt_record").isNotNull())
+    return bad.select("file", F.col("filename").alias("image"), F.col("_corrupt_record").alias("content"))
+
+
+def read_object_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """One row per annotated object; coordinates written as decimals are truncated to integers.
+
+    Files that do not parse are left out; ``unreadable_annotations`` lists them.
+    Every object carries its own name.
+    """
+    raw = annotation_rows(spark, path)
     parsed = raw.where(F.col("_corrupt_record").isNull()).select(
         "filename", "size", F.posexplode("object").alias("box_no", "o")
     )

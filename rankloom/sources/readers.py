@@ -66,7 +66,7 @@ def read_date_range(
 ) -> DataFrame:
     """All days begin..end inclusive (yyyyMMdd); a missing day is an error.
 
-    The hive layout prunes partitions; the others are one multi-path read.
+    Only the folders of these days are listed, whatever else the root holds.
     ``with_date`` adds ``_date`` (yyyyMMdd) taken from the file path.
     """
     days = date_list(begin, end)
@@ -75,7 +75,7 @@ def read_date_range(
     if missing:
         raise FileNotFoundError(f"{missing} not exists!")
     if layout == "hive":
-        df = spark.read.parquet(root).where(F.col("dt").between(F.lit(days[0]), F.lit(days[-1])))
+        df = spark.read.option("basePath", root).parquet(*paths)
         return df.withColumn("_date", F.date_format("dt", "yyyyMMdd")) if with_date else df
     df = spark.read.parquet(*paths)
     if not with_date:

@@ -41,24 +41,34 @@ def behaviour_counters(
     )
 
 
+def triggered(writer, available_now: bool):
+    """The writer for all that is there now, or with Spark's default trigger."""
+    return writer.trigger(availableNow=True) if available_now else writer
+
+
 def stream_behaviour_counters(
-    stream: DataFrame, keys: Sequence[str], kinds: dict[str, str], path: str, checkpoint: str, **options
+    stream: DataFrame, keys: Sequence[str], kinds: dict[str, str], path: str, checkpoint: str, available_now: bool = True, **options
 ) -> StreamingQuery:
-    """Append every closed window to a parquet table exactly once."""
+    """Append every closed window to a parquet table exactly once; ``available_now`` false runs on without end."""
     counters = behaviour_counters(stream, keys, kinds, **options)
     writer = counters.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(path)
+    return triggered(writer, available_now).start(path)
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far."""
+    """Rows dropped behind the watermark in the progress entries that the session keeps.
+
+    Spark counts them after rows of one key and window were combined, and keeps
+    ``spark.sql.streaming.numRecentProgressUpdates`` entries; a longer history
+    needs a listener that stores each entry.
+    """
     return sum(
         op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", [])
     )
 
 
 def stream_last_seen(
-    stream: DataFrame, keys: Sequence[str], root: str, checkpoint: str, ts: str = "ts", fold_every: int = 100
+    stream: DataFrame, keys: Sequence[str], root: str, checkpoint: str, ts: str = "ts", fold_every: int = 100, available_now: bool = True
 ) -> StreamingQuery:
     """Keep the latest event time per key; each micro-batch stores the keys it changed.
 
@@ -72,7 +82,7 @@ def stream_last_seen(
         table.write(batch_id, df)
         table.fold(batch_id, fold_every, lambda changes: _last_seen(changes, keys))
 
-    return writer.foreachBatch(store).trigger(availableNow=True).start()
+    return triggered(writer.foreachBatch(store), available_now).start()
 
 
 def _last_seen(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,6 +108,7 @@ def stream_recent_sequence(
     event_id: str = "event_id",
     salts: int = 8,
     fold_every: int = 100,
+    available_now: bool = True,
 ) -> StreamingQuery:
     """Keep the latest ``n`` items per key in keyed state.
 
@@ -137,7 +148,7 @@ def stream_recent_sequence(
         table.write(batch_id, df.withColumn("batch", F.lit(batch_id)))
         table.fold(batch_id, fold_every, lambda changes: _newest_state(changes, keys))
 
-    return writer.foreachBatch(store).trigger(availableNow=True).start()
+    return triggered(writer.foreachBatch(store), available_now).start()
 
 
 def _newest_state(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
