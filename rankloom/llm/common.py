@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +71,28 @@ BATCH_LIMIT = "8m"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker gets at once by bytes, where the session has Spark's own, larger limit."""
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: its functions run there by name."""
+    context = spark.sparkContext
+    if any("rankloom-src" in name for name in context._python_includes):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="rankloom-src-")) / "rankloom-src.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Make ready for Python workers.
+
+    They get the package, and batches are bounded by bytes where the session
+    has Spark's own, larger limit.
+    """
+    ship_package(spark)
     if spark.conf.get(BATCH_CONF) == "67108864b":
         spark.conf.set(BATCH_CONF, BATCH_LIMIT)
+
+
+small_batches = python_workers

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import small_batches
+from rankloom.llm.common import python_workers
 #: lines in a window, and the characters that a surge takes
 WINDOW, SURGE = 3, 40
 
@@ -184,7 +184,7 @@ def extract_pages(pages: DataFrame, html_column: str = "html", out: str = "text"
     A null, empty or blank page, or one without main text, has an empty text.
     A column already called like the output is replaced.
     """
-    small_batches(pages.sparkSession)
+    python_workers(pages.sparkSession)
     kept = [c for c in pages.columns if c.lower() not in (html_column.lower(), out.lower())]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import join_rows, lower_ascii, small_batches
+from rankloom.llm.common import join_rows, lower_ascii, python_workers
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
 
@@ -174,7 +174,7 @@ def identify(
     rejected.  Other columns must not be called lang, posterior or kept; rows
     are kept apart and in no order.
     """
-    small_batches(rows.sparkSession)
+    python_workers(rows.sparkSession)
     others = [c for c in rows.columns if c not in ("declared", "host", "text")]
     rows = rows.select(
         *others, code_of(F.col("declared")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")

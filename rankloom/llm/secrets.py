@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import small_batches
+from rankloom.llm.common import python_workers
 from rankloom.operators.chunks import written_once
 
 #: most frequent words that make the dictionary
@@ -142,7 +142,7 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None, words: fr
     Null texts have none; a missing path counts as empty.  Repeated rows give
     repeated candidates.
     """
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
     rows = docs.select(
         F.col(f"`{key}`").alias("id"),
