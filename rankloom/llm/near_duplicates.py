@@ -11,11 +11,13 @@ components of the pairs at or above the threshold.
 What keeps it bounded:
 
 * Texts with the same words become one node before anything is compared.
-* A bucket is not expanded into pairs.  Its members are compared with one
-  centre, the member that shares most buckets with others.  Only buckets that
-  are still in several components after that are looked at again: small ones
-  pair by pair across components, larger ones after they were divided by a
-  second band.
+* A bucket is never expanded into pairs.  Its members are compared with one
+  centre, the member that shares most buckets with others.  Buckets that are
+  still in several components after that are divided by a second band; in each
+  part, a member of the largest component drawn by lot is compared with those
+  of other components.  Work is linear in the members at either level; parts of
+  a false bucket fall apart, and similar texts share most bands, so they stay
+  together and meet many centres.
 * Document frequencies come from a count-min sketch of fixed size over all
   documents.  Frequencies matter as shares of all documents, and the sketch's
   error is a share too, so it does not grow with the corpus.
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import join_rows, small_batches
+from rankloom.llm.common import join_rows, python_workers
 from rankloom.llm.components import connected_components
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
@@ -50,8 +52,6 @@ HOPEFUL = 0.6
 DEPTH, WIDTH_BITS, CELLS = 2, 18, 1024
 #: a document frequency counts as a share of all documents, smoothed by this much
 SMOOTH = 0.1
-#: members of a bucket that are still compared pair by pair
-SMALL = 48
 BATCH_BYTES = 1_000_000
 #: ids broadcast to pick out texts for the exact computation
 ID_LIMIT = 32 << 20
@@ -338,36 +338,45 @@ def verified(pairs: DataFrame, vectors: DataFrame, similar: float) -> DataFrame:
     return rows.mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a bucket (bucket, node, score) with the bucket's centre."""
-    centre = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_c")).select("bucket", F.col("_c.node").alias("a"))
-    return members.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
-
-
-def bucket_members(nodes: DataFrame, keys: Column) -> DataFrame:
-    """(bucket, node, size, score): the members of all buckets with two nodes or more.
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(bucket, last, node, score): the members of all buckets with two nodes or more; ``last`` is the band's number.
 
     A node's score is how many others it meets, over all its buckets.
     """
-    rows = nodes.select("node", F.explode(keys).alias("bucket"))
+    rows = nodes.select("node", F.posexplode("bands").alias("last", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written_once(rows.join(sizes, "bucket"), "buckets")
     scores = rows.groupBy("node").agg(F.sum("size").alias("score"))
-    return rows.join(scores, "node")
+    return rows.join(scores, "node").select("bucket", "last", "node", "score")
+
+
+def star_pairs(members: DataFrame, order: Column) -> DataFrame:
+    """Each member of a bucket (bucket, node, label) with the one of greatest ``order``, where their labels differ."""
+    centre = members.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "node", "label")).alias("_c"))
+    centre = centre.select(F.col("bucket").alias("_b"), F.col("_c.node").alias("a"), F.col("_c.label").alias("_l"))
+    rows = members.join(centre, (F.col("bucket") == F.col("_b")) & (F.col("label") != F.col("_l")))
+    return rows.select("a", F.col("node").alias("b"))
 
 
 def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that lie in several components, with their ``label``."""
-    rows = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Members of the buckets that lie in several components, with the ``label`` and size (``alike``) of theirs."""
+    rows = members.join(labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "alike": F.coalesce("alike", F.lit(1))})
     several = rows.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
     return rows.join(several, "bucket", "left_semi")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components."""
-    left = members.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = members.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, "bucket").where("a < b and la <> lb").select("a", "b")
+def sized_components(edges: DataFrame) -> DataFrame:
+    """(node, label, alike): the component of each node and how many nodes it has."""
+    labels = connected_components(edges)
+    return labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).alias("alike")), "label")
+
+
+def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The buckets divided by every later band: (bucket, node, label, alike)."""
+    kept = members.select("bucket", F.col("last").alias("_last"), "node", "label", "alike").join(nodes.select("node", "bands"), "node")
+    later = F.explode(F.slice("bands", F.col("_last") + 2, BANDS)).alias("_key")
+    rows = kept.select("node", "label", "alike", "bucket", later)
+    return rows.select(F.xxhash64("bucket", "_key").alias("bucket"), "node", "label", "alike")
 
 
 def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
@@ -378,7 +387,7 @@ def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> D
     and kept.  Texts of the same words are always together.  Of repeated rows
     (equal id and words) all but one are not kept.  Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     sketch, documents = frequency_sketch(docs, text)
     rows = written_once(signatures(docs, key, text, sketch, documents).withColumn("row", F.monotonically_increasing_id()), "signatures")
     first_id = F.min(F.struct(F.col("id").isNull().alias("late"), "id", "row"))
@@ -394,17 +403,11 @@ def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> D
         wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("first.id").alias("id"))
         return written_once(verified(likely, vectors(docs, key, text, wanted, sketch, documents), similar), "edges")
 
-    members = written_once(bucket_members(nodes, F.col("bands")), "members")
-    found = edges(star_pairs(members))
-    labels = connected_components(found)
-    rest = written_once(undecided(members, labels), "undecided")
-    if not rest.isEmpty():
-        small = across(rest.where(F.col("size") <= SMALL))
-        large = rest.where(F.col("size") > SMALL).join(nodes.select("node", "bands"), "node")
-        divided = large.withColumn("_other", F.explode("bands")).where("_other <> bucket")
-        divided = divided.select(F.xxhash64("bucket", "_other").alias("bucket"), "node", "label")
-        more = edges(small.unionByName(across(divided)))
-        labels = connected_components(found.unionByName(more))
+    members = written_once(bucket_members(nodes), "members")
+    found = edges(star_pairs(members.withColumn("label", F.col("node")), F.col("score")))
+    rest = divided(undecided(members, sized_components(found)), nodes)
+    lot = F.struct("alike", F.xxhash64("bucket", "node"))
+    labels = connected_components(found.unionByName(edges(star_pairs(rest, lot))))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "n")
     least = named.groupBy("label").agg(F.min("first").alias("_best"), F.sum("n").alias("class_rows"))
     named = named.join(least, "label").select("node", "_best", "class_rows")
