@@ -14,6 +14,7 @@ of different conversations never do.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from rankloom.llm.common import python_workers
 # fixed values: the control strings of the template
 OPEN, TEXT, CLOSE = "[INST]", "[/INST]", "</s>"
 
@@ -34,8 +36,8 @@ FORMATTED = (
     "formatted string, n_turns long, input_ids array<int>, token_start array<int>, token_end array<int>, "
     "loss_mask array<boolean>, loss_start array<int>, loss_end array<int>"
 )
-#: characters encoded at a time
-BATCH_CHARS = 4_000_000
+#: characters encoded at a time; a longer conversation is encoded by itself
+BATCH_CHARS = 400_000
 
 
 def escape(text: str) -> str:
@@ -91,6 +93,7 @@ def masked_text(formatted: str, starts: Iterable[int], ends: Iterable[int], mask
 
 
 def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import AddedToken, Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -115,6 +118,7 @@ def format_conversations(
     without a conversation id form one conversation, repeated rows are kept.
     Other columns of ``rows`` are ignored; an empty table gives no rows.
     """
+    python_workers(rows.sparkSession)
     wanted = frozenset(learn)
     order = F.struct(
         F.col(f"`{turn}`").isNull().alias("late"),
