@@ -3,8 +3,8 @@
 A document is the bag of its five-word shingles, each weighing its count times
 an inverse document frequency.  Improved consistent weighted sampling draws
 shingles so that two documents draw the same one with the probability of their
-weighted Jaccard similarity; every band combines the draws of four parts of the
-shingles into one key, and documents that share a key become candidates.  Their
+weighted Jaccard similarity; every band combines four draws, each over all
+shingles, into one key, and documents that share a key become candidates.  Their
 similarity is then computed from all their shingles.  Groups are the connected
 components of the pairs at or above the threshold.
 
@@ -201,28 +201,24 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def samples(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
     """Draws (text, band, row) as 32-bit numbers; ``text`` is sorted and every text has a shingle.
 
-    In each band the shingles fall into ``ROWS`` parts by a hash, and each part
-    yields the shingle with the least a = c / (y e^r), together with its level
-    t: ln y = r (t - b), t = floor(ln weight / r + b).  An empty part yields
-    the greatest number.
+    Every draw is made over all shingles of the text: it is the shingle with
+    the least a = c / (y e^r), together with its level t: ln y = r (t - b),
+    t = floor(ln weight / r + b).
     """
     r_table, c_table, b_table = draws()
     starts = np.searchsorted(text, np.arange(texts))
     log_weight = np.log(weight)
-    low, none = np.uint64(0xFFFF), np.uint64(M64)
+    low = np.uint64(0xFFFF)
     out = np.empty((texts, BANDS, ROWS), np.uint32)
-    for band in range(BANDS):
-        bits = mix(value ^ np.uint64((BASE * (band + 1)) & M64))
+    for draw in range(BANDS * ROWS):
+        bits = mix(value ^ np.uint64((BASE * (draw + 1)) & M64))
         r, b = r_table[bits & low], b_table[(bits >> np.uint64(16)) & low]
         level = np.floor(log_weight / r + b)
         log_a = (c_table[(bits >> np.uint64(32)) & low] - r * (level - b) - r).astype(np.float32)
         raw = log_a.view(np.uint32)
         ordered = np.where(raw >> 31, ~raw, raw | np.uint32(1 << 31)).astype(np.uint64)
         name = ((bits ^ (level.astype(np.int64).astype(np.uint64) * np.uint64(ODD[1]))) * np.uint64(ODD[2])) >> np.uint64(32)
-        key = (ordered << np.uint64(32)) | name
-        part = ((bits >> np.uint64(48)) * np.uint64(ROWS)) >> np.uint64(16)
-        for row in range(ROWS):
-            out[:, band, row] = np.minimum.reduceat(np.where(part == row, key, none), starts) & np.uint64(0xFFFFFFFF)
+        out[:, draw // ROWS, draw % ROWS] = np.minimum.reduceat((ordered << np.uint64(32)) | name, starts) & np.uint64(0xFFFFFFFF)
     return out
 
 

@@ -130,3 +130,11 @@ def test_components(spark):
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 200: 1, 100: 100, 101: 100, 300: 300, 301: 300, 302: 300}
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+@pytest.mark.parametrize("heavy", ["buy now " * 200, "one two three " * 150, "deal " * 400])
+def test_few_heavy_shingles(spark, heavy):
+    """Most of the weight lies in up to three shingles, and all others differ."""
+    rows = [(g * 10 + i, f"word{g} " + heavy.replace(" ", f"{g} ") + prose(7000 + g * 10 + i, 12)) for g in range(6) for i in range(2)]
+    got = {r.id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
