@@ -11,13 +11,15 @@ components of the pairs at or above the threshold.
 What keeps it bounded:
 
 * Texts with the same words become one node before anything is compared.
-* A bucket is never expanded into pairs.  Its members are compared with one
-  centre, the member that shares most buckets with others.  Buckets that are
-  still in several components after that are divided by a second band; in each
-  part, a member of the largest component drawn by lot is compared with those
-  of other components.  Work is linear in the members at either level; parts of
-  a false bucket fall apart, and similar texts share most bands, so they stay
-  together and meet many centres.
+* A bucket is first compared with one centre, the member that shares most
+  buckets with others.  Buckets that are still in several components after that
+  are divided by a second band; in each part, a member of the largest component
+  drawn by lot is compared with those of other components.  This joins most of
+  what belongs together with work linear in the members.
+* What is still apart is then compared completely: all pairs of one bucket that
+  lie in different components, in cells of two bounded blocks of members.  No
+  row is made for a pair below the threshold.  First only the draws are
+  compared; the shingles are sent only of members with a hopeful partner.
 * Document frequencies come from a count-min sketch of fixed size over all
   documents.  Frequencies matter as shares of all documents, and the sketch's
   error is a share too, so it does not grow with the corpus.
@@ -53,6 +55,8 @@ DEPTH, WIDTH_BITS, CELLS = 2, 18, 1024
 #: a document frequency counts as a share of all documents, smoothed by this much
 SMOOTH = 0.1
 BATCH_BYTES = 1_000_000
+#: bytes of draws or shingles in a block of members; members of a bucket are compared block by block
+BLOCK_BYTES = 4 << 20
 #: ids broadcast to pick out texts for the exact computation
 ID_LIMIT = 32 << 20
 
@@ -375,6 +379,130 @@ def divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("bucket", "_key").alias("bucket"), "node", "label", "alike")
 
 
+def in_cells(members: DataFrame, size: Column) -> DataFrame:
+    """Members of buckets dealt into blocks of about ``BLOCK_BYTES``, and each to all cells of two blocks that hold its own.
+
+    ``part`` is the member's block, ``lo`` and ``hi`` are those of the cell: two
+    members of a bucket meet in one cell, those of one block in the cell of
+    that block alone.
+    """
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias("_blocks"))
+    rows = members.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumns({"lo": F.least("part", "_other"), "hi": F.greatest("part", "_other")}).drop("_other", "_blocks")
+
+
+def cell_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The cells of sorted batches, one after the other; the first three columns are bucket, lo and hi."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(i).to_numpy(False) for i in range(3)])
+        edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and name != tuple(names[:, a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            name = tuple(names[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def labels_in(cell: pa.Table) -> np.ndarray:
+    """Numbers of the components of a cell's members."""
+    return np.unique(np.array(cell.column("label").to_pylist(), object), return_inverse=True)[1]
+
+
+def partners(cell: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a cell with those it is to be compared with.
+
+    These have another ``label`` (read anew for each member) and, in a cell of
+    two blocks, lie in the other block; they share no earlier bucket with the
+    member and have enough equal draws.
+    """
+    n, (last, lo, hi) = cell.num_rows, (cell.column(c)[0].as_py() for c in ("last", "lo", "hi"))
+    part = cell.column("part").to_numpy()
+    bands = np.array(cell.column("earlier").to_pylist(), np.int64).reshape(n, last)
+    drawn = np.frombuffer(b"".join(cell.column("drawn").to_pylist()), np.uint8).reshape(n, -1)
+    for i in range(n):
+        mine = np.arange(i + 1, n) if lo == hi else np.flatnonzero(part == hi) if part[i] == lo else np.empty(0, np.int64)
+        mine = mine[label[mine] != label[i]]
+        mine = mine[(drawn[mine] == drawn[i]).mean(axis=1) >= HOPEFUL]
+        yield i, mine[~(bands[mine] == bands[i]).any(axis=1)]
+
+
+def shared_weights(mine: slice, others: np.ndarray, starts: np.ndarray, shingle: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The shared weight of one member of a cell with each of ``others``; ``dense`` is all zero before and after."""
+    dense[shingle[mine]] = weight[mine]
+    counts = starts[others + 1] - starts[others]
+    edges = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(starts[others] - edges, counts)
+    found = np.add.reduceat(np.minimum(dense[shingle[at]], weight[at]), edges)
+    dense[shingle[mine]] = 0
+    return found
+
+
+CELL = ["bucket", "lo", "hi"]
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def unmet(members: DataFrame) -> DataFrame:
+    """(bucket, node): members (bucket, last, node, label, earlier, drawn) with a partner to be compared with in that bucket."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cell_tables(batches):
+            wanted = np.zeros(cell.num_rows, bool)
+            for i, mine in partners(cell, labels_in(cell)):
+                if len(mine):
+                    wanted[i] = wanted[mine] = True
+            if wanted.any():
+                yield from cell.select(["bucket", "node"]).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    size = F.lit(128) + 8 * F.col("last") + F.length("drawn")
+    rows = in_cells(members, size).select(*CELL, "part", "last", "node", "label", "earlier", "drawn")
+    return in_order(rows).mapInArrow(work, "bucket long, node binary").distinct()
+
+
+def met(members: DataFrame, similar: float) -> DataFrame:
+    """Pairs at or above the threshold among members (as for ``unmet``, and their shingles and weights) of one bucket.
+
+    They join all components that any such pair joins; a cell gives no second
+    pair for two components it has joined.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cell_tables(batches):
+            cell = cell.combine_chunks()
+            lists = [cell.column(c).combine_chunks() for c in ("shingles", "weights")]
+            starts = np.append(0, np.cumsum(pc.list_value_length(lists[0]).to_numpy(False))).astype(np.int64)
+            names, shingle = np.unique(lists[0].flatten().to_numpy(), return_inverse=True)
+            weight = lists[1].flatten().to_numpy()
+            total, dense = np.add.reduceat(weight, starts[:-1]), np.zeros(len(names))
+            node, label = cell.column("node").to_pylist(), labels_in(cell)
+            for i, mine in partners(cell, label):
+                # bounded by bytes: the shingles of some partners at a time
+                groups = np.cumsum(starts[mine + 1] - starts[mine]) // (BLOCK_BYTES // 16)
+                for some in np.split(mine, np.flatnonzero(np.diff(groups)) + 1) if len(mine) else []:
+                    shared = shared_weights(slice(starts[i], starts[i + 1]), some, starts, shingle, weight, dense)
+                    alike = shared / (total[i] + total[some] - shared)
+                    near = np.flatnonzero((alike >= similar - 1e-12) & (label[some] != label[i]))
+                    if len(near):
+                        near = near[np.unique(label[some[near]], return_index=True)[1]]
+                        label[np.isin(label, label[some[near]])] = label[i]
+                        columns = [pa.array([node[i]] * len(near), pa.binary()), pa.array([node[k] for k in some[near]], pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(alike[near])], ["a", "b", "similarity"])
+
+    rows = in_cells(members, F.lit(256) + 16 * F.size("shingles"))
+    rows = rows.select(*CELL, "part", "last", "node", "label", "earlier", "drawn", "shingles", "weights")
+    return in_order(rows).mapInArrow(work, "a binary, b binary, similarity double")
+
+
 def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the least id of its class), class_rows and kept.
 
@@ -403,7 +531,16 @@ def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> D
     found = edges(star_pairs(members.withColumn("label", F.col("node")), F.col("score")))
     rest = divided(undecided(members, sized_components(found)), nodes)
     lot = F.struct("alike", F.xxhash64("bucket", "node"))
-    labels = connected_components(found.unionByName(edges(star_pairs(rest, lot))))
+    found = found.unionByName(edges(star_pairs(rest, lot)))
+    labels = sized_components(found)
+    apart = undecided(members, labels).join(nodes.select("node", "bands", "drawn"), "node")
+    apart = written_once(apart.select("bucket", "last", "node", "label", F.slice("bands", 1, F.col("last")).alias("earlier"), "drawn"), "apart")
+    wanted = written_once(unmet(apart), "unmet")
+    if not wanted.isEmpty():
+        firsts = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("first.id").alias("id"))
+        texts = written_once(vectors(docs, key, text, firsts, sketch, documents), "vectors")
+        apart = apart.join(wanted, ["bucket", "node"], "left_semi").join(texts, "node")
+        labels = connected_components(found.unionByName(written_once(met(apart, similar), "met")))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "n")
     least = named.groupBy("label").agg(F.min("first").alias("_best"), F.sum("n").alias("class_rows"))
     named = named.join(least, "label").select("node", "_best", "class_rows")

@@ -138,3 +138,29 @@ def test_few_heavy_shingles(spark, heavy):
     rows = [(g * 10 + i, f"word{g} " + heavy.replace(" ", f"{g} ") + prose(7000 + g * 10 + i, 12)) for g in range(6) for i in range(2)]
     got = {r.id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
+def test_pairs_inside_a_template_family(spark, monkeypatch):
+    """All share a template (0.7 to 0.75); each has one partner at about 0.82.  As in a comparison of all pairs, with one block and with many."""
+    import itertools
+    import math
+
+    rows, template = [], prose(500, 400)
+    for g in range(60):
+        mine = prose(20_000 + g, 22)
+        rows += [(2 * g + i, f"{template} {mine} " + prose(30_000 + 2 * g + i, 34)) for i in range(2)]
+    rows += [(1000 + i, prose(40_000 + i, 20)) for i in range(600)]
+    bags = {i: bag(t) for i, t in rows}
+    df = collections.Counter(s for b in bags.values() for s in b)
+    weight = {s: 1 + math.log(1.1 / (n / len(rows) + 0.1)) for s, n in df.items()}
+    total = {i: sum(n * weight[s] for s, n in b.items()) for i, b in bags.items()}
+    alike = {}
+    for a, b in itertools.combinations(range(120), 2):
+        shared = sum(min(n, bags[b][s]) * weight[s] for s, n in bags[a].items() if s in bags[b])
+        alike[a, b] = shared / (total[a] + total[b] - shared)
+    assert all(0.8 < v < 0.85 if b == a + 1 and a % 2 == 0 else 0.65 < v < 0.79 for (a, b), v in alike.items())
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for size in (nd.BLOCK_BYTES, 50_000):
+        monkeypatch.setattr(nd, "BLOCK_BYTES", size)
+        got = {r.id: r.class_id for r in nd.classes(docs, "doc_id", "text").collect()}
+        assert got == {i: i // 2 * 2 if i < 120 else i for i, _ in rows}
