@@ -21,7 +21,7 @@ from rankloom.operators.chunks import written_once
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose text has no letters or whose language stays uncertain."""
-    return keep_identified(docs, "doc_id", "lang", "source", "text")
+    return keep_identified(docs, "doc_id", "lang", "source", "text", by_row=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

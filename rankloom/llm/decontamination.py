@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import join_rows, lower_ascii, split_words
+from rankloom.llm.common import digest_of, free_name, join_rows, lower_ascii, split_words
 from rankloom.operators.sizing import broadcast_if_small
 
 #: everything in ASCII that is neither a digit nor a small letter
@@ -128,7 +128,9 @@ def remove_spans(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
 def remove_documents(docs: DataFrame, key: str, text: str, windows: DataFrame) -> DataFrame:
     """Rows of ``docs`` without any hit, all columns; the texts are not shuffled while the hits are few.
 
-    Rows that share a key (null counts as a value) are judged together.
+    Each row is judged by its own text, also where rows share a key or have none.
     """
-    hit = find_hits(docs, text, windows, [key]).where(F.size("hits") > 0)
-    return join_rows(docs, [key], hit.select(key).distinct(), "left_anti")
+    name = free_name(docs.columns, "_digest")
+    marked = docs.withColumn(name, digest_of(F.col(f"`{text}`")))
+    hit = find_hits(marked, text, windows, [key, name]).where(F.size("hits") > 0)
+    return join_rows(marked, [key, name], hit.select(f"`{key}`", name).distinct(), "left_anti").drop(name)

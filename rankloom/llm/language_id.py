@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import join_rows, lower_ascii, python_workers
+from rankloom.llm.common import digest_of, free_name, join_rows, lower_ascii, python_workers
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
 
@@ -207,13 +207,19 @@ def identify(
     return fused.select(*others, "lang", "posterior", kept.alias("kept"))
 
 
-def keep_identified(docs: DataFrame, key: str, declared: str, host: str, text: str) -> DataFrame:
+def keep_identified(docs: DataFrame, key: str, declared: str, host: str, text: str, by_row: bool = False) -> DataFrame:
     """Rows of ``docs`` that are not rejected, all columns.
 
-    Rows that share a key (null counts as a value) are judged together: all go
-    if one is rejected.
+    With ``by_row`` each row is judged by its own text, declaration and host.
+    Otherwise rows that share a key (null counts as a value) are judged
+    together: all go if one is rejected.
     """
-    rows = docs.select(
-        F.col(f"`{key}`").alias("_key"), F.col(f"`{declared}`").alias("declared"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")
+    name = free_name(docs.columns, "_digest")
+    marked = docs.withColumn(name, digest_of(*[F.col(f"`{c}`") for c in (declared, host, text)]))
+    rows = marked.select(
+        F.col(f"`{key}`").alias("_key"), F.col(name).alias("_digest"), F.col(f"`{declared}`").alias("declared"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")
     )
-    return join_rows(docs, [key], identify(rows).where(~F.col("kept")).select("_key").distinct(), "left_anti")
+    gone = identify(rows).where(~F.col("kept")).select("_key", "_digest").distinct()
+    if not by_row:
+        return join_rows(docs, [key], gone.select("_key").distinct(), "left_anti")
+    return join_rows(marked, [key, name], gone, "left_anti").drop(name)

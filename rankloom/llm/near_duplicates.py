@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import join_rows, python_workers
+from rankloom.llm.common import digest_of, free_name, join_rows, python_workers
 from rankloom.llm.components import connected_components
 from rankloom.operators.chunks import written_once
 from rankloom.operators.sizing import broadcast_if_small
@@ -245,9 +245,9 @@ def node_batches(hashes: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, sketch: np.ndarray, documents: int) -> DataFrame:
-    """(id, node, bands, drawn) of every row; a text without words has nulls."""
+    """(id, digest, node, bands, drawn) of every row; a text without words has nulls."""
     sent = docs.sparkSession.sparkContext.broadcast((sketch, documents))
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), digest_of(F.col(f"`{text}`")).alias("digest"))
     kind = dict(rows.dtypes)["id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +264,11 @@ def signatures(docs: DataFrame, key: str, text: str, sketch: np.ndarray, documen
                 for i, keys, bytes_ in zip(held.tolist(), band_keys(found), small):
                     bands[i], drawn[i] = keys, bytes_.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(node_batches(hashes, counts), pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.binary())],
-                ["id", "node", "bands", "drawn"],
+                [part.column(0), part.column(2), pa.array(node_batches(hashes, counts), pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(drawn, pa.binary())],
+                ["id", "digest", "node", "bands", "drawn"],
             )
 
-    return rows.mapInArrow(work, f"id {kind}, node binary, bands array<long>, drawn binary")
+    return rows.mapInArrow(work, f"id {kind}, digest binary, node binary, bands array<long>, drawn binary")
 
 
 def hopeful(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -503,14 +503,8 @@ def met(members: DataFrame, similar: float) -> DataFrame:
     return in_order(rows).mapInArrow(work, "a binary, b binary, similarity double")
 
 
-def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of ``docs``: id, class_id (the least id of its class), class_rows and kept.
-
-    In each class one row is kept: one with the least id, null ids last.  A
-    null text or one without words is like no other; it is a class of its own
-    and kept.  Texts of the same words are always together.  Of repeated rows
-    (equal id and words) all but one are not kept.  Other columns are ignored.
-    """
+def judged_rows(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
+    """``classes``, with the ``digest`` of each row's text."""
     python_workers(docs.sparkSession)
     sketch, documents = frequency_sketch(docs, text)
     rows = written_once(signatures(docs, key, text, sketch, documents).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -551,22 +545,35 @@ def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> D
         F.when(alone, F.col("id")).otherwise(F.col("_best.id")).alias("class_id"),
         F.when(alone, 1).otherwise(F.col("class_rows")).alias("class_rows"),
         (alone | (F.col("row") == F.col("_best.row"))).alias("kept"),
+        "digest",
     )
 
 
+def classes(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
+    """One row per row of ``docs``: id, class_id (the least id of its class), class_rows and kept.
+
+    In each class one row is kept: one with the least id, null ids last.  A
+    null text or one without words is like no other; it is a class of its own
+    and kept.  Texts of the same words are always together.  Of repeated rows
+    (equal id and words) all but one are not kept.  Other columns are ignored.
+    """
+    return judged_rows(docs, key, text, similar).drop("digest")
+
+
 def deduplicate(docs: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
     """Rows of ``docs`` without near duplicates, all columns: one document of each class stays.
 
-    Rows that share a key (null counts as a value) stay or go together: they
-    stay if one of them is kept, but of rows that are equal in key and text one
-    stays.
+    Each row stays or goes by its own text, also where rows share a key or have
+    none.  Of rows that are equal in key and text one stays.
     """
-    judged = written_once(classes(docs, key, text, similar), "classes")
-    by_key = judged.groupBy("id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    gone = broadcast_if_small(by_key.where("not _kept").select("id"), ID_LIMIT)
-    stay = join_rows(docs, [key], gone, "left_anti")
-    repeated = by_key.where("_kept and _n > 1").select("id")
+    judged = written_once(judged_rows(docs, key, text, similar), "classes")
+    same = judged.groupBy("id", "digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    name = free_name(docs.columns, "_digest")
+    marked = docs.withColumn(name, digest_of(F.col(f"`{text}`")))
+    gone = broadcast_if_small(same.where("not _kept").select("id", "digest"), ID_LIMIT)
+    stay = join_rows(marked, [key, name], gone, "left_anti")
+    repeated = same.where("_kept and _n > 1").select("id", "digest")
     if repeated.isEmpty():
-        return stay
-    once = join_rows(stay, [key], repeated, "left_semi").dropDuplicates([key, text])
-    return join_rows(stay, [key], repeated, "left_anti").unionByName(once)
+        return stay.drop(name)
+    once = join_rows(stay, [key, name], repeated, "left_semi").dropDuplicates([key, text])
+    return join_rows(stay, [key, name], repeated, "left_anti").unionByName(once).drop(name)

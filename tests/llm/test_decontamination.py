@@ -75,3 +75,10 @@ def test_removal(spark, odd_docs):
     text = {r.doc_id: r.text for r in cut.collect()}
     assert text[1] == " ".join(one[:10] + one[22:])
     assert text[3] is None and text[4] == "" and text[8] == "*** ### $$$"
+
+
+def test_rows_of_one_key_are_judged_apart(spark):
+    bad, rows = "a b c d e f g h i j k l", [(k, t) for k in (None, 1) for t in ("x y z a b c d e f g h i j k", "all clean", None)]
+    windows = benchmark_windows(spark.createDataFrame([(1, bad)], ITEMS), "item_id", "text")
+    left = remove_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", windows).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((k, t) for k in ("None", "1") for t in ("all clean", "None"))

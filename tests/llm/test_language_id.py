@@ -70,3 +70,10 @@ def test_held_out_accuracy(spark):
     got = identify(hidden).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").where("doc_id % 3 = 0")
     total, right = got.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("true")).cast("int"))).first()
     assert right / total >= 0.99
+
+
+def test_rows_of_one_key_are_judged_apart(rows):
+    same = rows.withColumn("id", F.when(F.col("id") % 2 == 0, 1))
+    left = keep_identified(same, "id", "declared", "host", "text", by_row=True)
+    verdicts = identify(rows.withColumn("whole", F.struct(*rows.columns))).where("kept").select("whole.declared", "whole.host", "whole.text")
+    assert left.count() == verdicts.count() > 40 and left.drop("id").exceptAll(verdicts).count() == 0

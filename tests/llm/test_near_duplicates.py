@@ -164,3 +164,10 @@ def test_pairs_inside_a_template_family(spark, monkeypatch):
         monkeypatch.setattr(nd, "BLOCK_BYTES", size)
         got = {r.id: r.class_id for r in nd.classes(docs, "doc_id", "text").collect()}
         assert got == {i: i // 2 * 2 if i < 120 else i for i, _ in rows}
+
+
+def test_rows_of_one_key_are_judged_apart(spark):
+    near = prose(60_001, 200)
+    rows = [(k, t) for k in (None, 5) for t in (near, near + " more", prose(60_002 + (k or 0), 200))] + [(7, near + " more"), (1, near)]
+    left = nd.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("1", near), ("None", prose(60_002, 200)), ("5", prose(60_007, 200))])
