@@ -8,14 +8,15 @@
   domain and the host, by grouped aggregation; each level is smoothed with the
   one above, and a row does not count for itself.
 
-The posterior is their normalised product.  Models and the table of
-declarations are bounded by the number of languages; the host table grows with
-the corpus and is joined, broadcast only while its measured size allows it.
+The posterior is their normalised product.  Every declared code is a language,
+at most 26^2 + 26^3 of them.  Models are trained and sent in blocks of
+languages; the tables of hosts and declarations are joined, broadcast only
+while their measured size allows it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ WIDTH = 1 << 14
 TEMPER = 1 / 3
 #: rows that a level of addresses weighs against what lies below
 STRENGTH = 10.0
-#: classes; declarations beyond the most frequent ones count as missing
-MOST_LANGUAGES = 256
+#: languages trained, sent and summed together; any number of blocks
+LANGUAGE_BLOCK = 256
 #: bytes worked on at a time
 BATCH_BYTES = 4_000_000
 
@@ -102,22 +103,27 @@ def train(rows: DataFrame, languages: Sequence[str]) -> np.ndarray:
     return model.astype(np.float32)
 
 
-def score(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def train_blocks(rows: DataFrame, languages: Sequence[str]) -> Iterator[np.ndarray]:
+    """The models of all languages, one block after the other."""
+    for at in range(0, len(languages), LANGUAGE_BLOCK):
+        yield train(rows, languages[at : at + LANGUAGE_BLOCK])
+
+
+def score(rows: DataFrame, models: Iterable[np.ndarray]) -> DataFrame:
     """``rows`` without the text, with ``_grams`` (trigrams that are not blank), ``_text`` (tempered
     log-likelihood of each language) and ``_share`` (the same as probabilities)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = [rows.sparkSession.sparkContext.broadcast(model) for model in models]
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
         for part, bucket, starts in text_batches(batches, len(kept)):
-            sums = np.stack([np.add.reduceat(level[bucket].astype(np.float64), starts) for level in table], axis=1)
+            sums = np.stack([np.add.reduceat(level[bucket].astype(np.float64), starts) for table in sent for level in table.value], axis=1)
             grams = np.add.reduceat((bucket < WIDTH).astype(np.int64), starts)
             sums *= TEMPER
             share = np.exp(sums - sums.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
-            at = np.arange(len(starts) + 1, dtype=np.int32) * len(table)
+            at = np.arange(len(starts) + 1, dtype=np.int32) * sums.shape[1]
             lists = [pa.ListArray.from_arrays(at, x.ravel()) for x in (sums, share)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(grams), *lists], [*kept, "_grams", "_text", "_share"])
 
@@ -126,6 +132,11 @@ def score(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
 def summed(df: DataFrame, keys: Sequence[str], column: str, n: int, rows: Column | str = "_n") -> DataFrame:
     """Element-wise sums of an array of ``n`` numbers, and of ``rows`` as ``_n``."""
+    if n > LANGUAGE_BLOCK:  # too many for one expression each
+        parts = df.select(*keys, F.col(rows).alias("_n") if isinstance(rows, str) else rows.alias("_n"), F.posexplode(column).alias("_at", "_x"))
+        parts = parts.groupBy(*keys, "_at").agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))
+        parts = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_all_at"), F.max("_n").alias("_n"))
+        return parts.select(*keys, F.transform("_all_at", lambda p: p["_x"]).alias(column), "_n")
     return df.groupBy(*keys).agg(F.array(*[F.sum(F.col(column)[i]) for i in range(n)]).alias(column), F.sum(rows).alias("_n"))
 
 
@@ -143,7 +154,7 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
     domains = summed(hosts, ["suffix", "domain"], "_share", n)
     suffixes = summed(domains, ["suffix"], "_share", n).withColumn("_all", F.lit(1))
     whole = summed(suffixes, ["_all"], "_share", n)
-    even = F.array(*[F.lit(1.0 / n)] * n)
+    even = F.array_repeat(F.lit(1.0 / n), n)
     prior = lambda above: smoothed(F.col("_share"), F.col("_n"), above)
     suffixes = suffixes.join(F.broadcast(whole.select("_all", prior(even).alias("_top"))), "_all")
     domains = domains.join(suffixes.select("suffix", prior(F.col("_top")).alias("_above")), "suffix")
@@ -151,19 +162,16 @@ def host_priors(scored: DataFrame, n: int) -> DataFrame:
     return hosts.join(domains, ["suffix", "domain"]).select("host", F.col("_share").alias("_host"), "_n", "_domain_prior")
 
 
-def declaration_weights(scored: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """(declared, log P(declared | language) for each language): at most one row a language."""
-    n = len(languages)
-    rows = summed(scored.where(F.col("declared").isNotNull()), ["declared"], "_share", n, F.lit(1)).collect()  # bounded by the languages
-    counts = np.array([r["_share"] for r in rows]).reshape(-1, n) + 0.5
-    logs = np.log(counts / counts.sum(axis=0, keepdims=True)) if len(rows) else counts
-    data = [(r["declared"], [float(x) for x in line]) for r, line in zip(rows, logs)]
-    return scored.sparkSession.createDataFrame(data, "declared string, _declares array<double>")
+def declaration_weights(scored: DataFrame, n: int) -> DataFrame:
+    """(declared, log P(declared | language) for each of the ``n`` languages): one row a language."""
+    rows = summed(scored.where(F.col("declared").isNotNull()), ["declared"], "_share", n, F.lit(1))
+    rows = written_once(rows.withColumn("_all", F.lit(1)), "declarations")
+    whole = summed(rows, ["_all"], "_share", n).select("_all", F.col("_share").alias("_whole"))
+    logs = F.zip_with("_share", "_whole", lambda c, t: F.log((c + 0.5) / (t + 0.5 * n)))
+    return rows.join(F.broadcast(whole), "_all").select("declared", logs.alias("_declares"))
 
 
-def identify(
-    rows: DataFrame, least: float = 0.5, wanted: Sequence[str] | None = None, most_languages: int = MOST_LANGUAGES
-) -> DataFrame:
+def identify(rows: DataFrame, least: float = 0.5, wanted: Sequence[str] | None = None) -> DataFrame:
     """``rows`` (declared, host, text and any others) without the text; with lang, posterior and kept.
 
     A row is rejected (``kept`` false) if its text has no letters, if no
@@ -179,21 +187,19 @@ def identify(
     rows = rows.select(
         *others, code_of(F.col("declared")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")
     )
-    common = rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()
-    languages = sorted(r["declared"] for r in common)
+    languages = sorted(r["declared"] for r in rows.where("declared is not null").select("declared").distinct().collect())
     if not languages:
         return rows.select(*others, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
     n = len(languages)
-    rows = rows.withColumn("declared", F.when(F.col("declared").isin(languages), F.col("declared")))
-    scored = written_once(score(rows, train(rows, languages)), "languages")
+    scored = written_once(score(rows, train_blocks(rows, languages)), "languages")
     hosts = broadcast_if_small(host_priors(scored, n))
     own = F.zip_with("_host", "_share", lambda c, s: F.greatest(c - s, F.lit(0.0)))
     fused = (
         scored.join(hosts, "host", "left")
-        .join(F.broadcast(declaration_weights(scored, languages)), "declared", "left")
+        .join(broadcast_if_small(declaration_weights(scored, n)), "declared", "left")
         .withColumn("_prior", F.when(F.col("host") != "", smoothed(own, F.col("_n") - 1, F.col("_domain_prior"))).otherwise(F.col("_domain_prior")))
     )
-    none = F.array(*[F.lit(0.0)] * n)
+    none = F.array_repeat(F.lit(0.0), n)
     logs = F.zip_with(
         F.zip_with("_text", "_prior", lambda t, p: t + F.log(p)), F.coalesce("_declares", none), lambda a, b: a + b
     )

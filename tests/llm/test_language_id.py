@@ -77,3 +77,14 @@ def test_rows_of_one_key_are_judged_apart(rows):
     left = keep_identified(same, "id", "declared", "host", "text", by_row=True)
     verdicts = identify(rows.withColumn("whole", F.struct(*rows.columns))).where("kept").select("whole.declared", "whole.host", "whole.text")
     assert left.count() == verdicts.count() > 40 and left.drop("id").exceptAll(verdicts).count() == 0
+
+
+def test_every_declared_language_counts(spark):
+    """More languages than a block holds, each with words of its own; rare ones are as good as frequent ones."""
+    codes = [a + b + c for a in "bcdfg" for b in "aeiouy" for c in "klmnprstvw"]
+    text = {c: f"{c}{c[::-1]} {c[1:]}{c} {c[::-1]}q " * 12 for c in codes}
+    data = [(i * 1000 + k, c, f"h.{c}", text[c]) for i, c in enumerate(codes) for k in range(2 if c != codes[-1] else 1)]
+    hidden = [(900_000 + i, None, "", text[c]) for i, c in enumerate(codes)]
+    got = {r.id: r for r in identify(spark.createDataFrame(data + hidden, "id int, declared string, host string, text string")).collect()}
+    assert len(codes) == 300 and all(got[i].lang == c and got[i].kept for i, c, _, _ in data)
+    assert [got[900_000 + i].lang for i in range(300)] == codes
