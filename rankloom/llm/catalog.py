@@ -4,6 +4,8 @@ from rankloom.llm import (  # noqa: F401
     op1_decontamination,
     op2_sharding,
     op10_mixing,
+    op11_periodic_runs,
+    op12_resampling,
     op3_chat,
     op4_html,
     op5_near_duplicates,
