@@ -6,6 +6,7 @@ from rankloom.llm import (  # noqa: F401
     op10_mixing,
     op11_periodic_runs,
     op12_resampling,
+    op13_substrings,
     op3_chat,
     op4_html,
     op5_near_duplicates,
