@@ -8,11 +8,45 @@ from rankloom.plans.behaviour_queries import ASOF_SQL, ITEM_SQL, KINDS, asof
 from rankloom.plans.registry import query, table
 from rankloom.session import scratch_path
 from rankloom.streaming import behaviour, learning
+from rankloom.streaming.panes import HOUR_US, CounterGroup, PaneTable, stream_counter_groups, window_slots
+from rankloom.streaming.versions import VersionedTable
 
 
-def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+#: slices of the table that arrive one after the other, and which events are held back to the last one
+ARRIVALS, HELD_BACK = 6, 17
+
+
+def arrivals(spark, sf_dir, held_back=False):
+    """All events, written as files that arrive in the order of time; ``held_back``: every 17th comes with the last ones.
+
+    One small job for each of the six slices; a slice has as many files as the
+    scan has tasks.
+    """
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    width = F.lit((last - first) // ARRIVALS + 1)
+    slot = F.floor((at - first) / width)
+    if held_back:
+        slot = F.when(F.col("event_id") % HELD_BACK == 0, ARRIVALS - 1).otherwise(slot)
+    root = scratch_path(spark, "arrivals")
+    for i in range(ARRIVALS):
+        events.where(slot == i).write.parquet(f"{root}/part={i}")
+    return root
+
+
+#: the slice an event arrives in
+PART_SQL = f"""((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))
+  // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) // {ARRIVALS} + 1))"""
+
+
+def file_stream(spark, schema, root):
+    """One file for each micro-batch, oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
+
+
+def event_stream(spark, sf_dir, held_back=False):
+    raw = file_stream(spark, table(spark, sf_dir, "events").schema, arrivals(spark, sf_dir, held_back))
     return raw.withColumns({"ts": F.col("ts").cast("timestamp"), "item": F.get_json_object("props", "$.k").cast("bigint")})
 
 
@@ -40,8 +74,26 @@ SELECT user_id, event_type, minutes,
 def stream_passtime(spark, sf_dir):
     root = scratch_path(spark, "last-seen")
     keys = ["user_id", "event_type"]
-    behaviour.stream_last_seen(event_stream(spark, sf_dir), keys, root, scratch_path(spark, "ckpt")).awaitTermination()
-    return behaviour.read_passtime(spark, root, keys, asof()).select(*keys, "minutes", "bucket")
+    stream = event_stream(spark, sf_dir)
+    behaviour.stream_passtime(stream, keys, root, scratch_path(spark, "ckpt"), salts=2, fold_every=2).awaitTermination()
+    return behaviour.read_elapsed(spark, root, keys, asof()).select(*keys, "minutes", "bucket")
+
+
+@query(
+    "stream_passtime_buckets",
+    """
+WITH w AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events),
+ l AS (SELECT user_id, event_type, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1, 2),
+ m AS (SELECT user_id, event_type, last_us, greatest(0, ((mark // 1000) * 1000 - last_us) // 60000000) AS minutes FROM l, w)
+SELECT user_id, event_type, last_us, CAST(CASE WHEN minutes < 1440 THEN minutes // 60 ELSE least(129600, minutes) // 1440 + 23 END AS INTEGER) AS bucket FROM m""",
+)
+def stream_passtime_buckets(spark, sf_dir):
+    """The elapsed-time bucket that timers have moved each key to, at the watermark after the last batch."""
+    root = scratch_path(spark, "buckets")
+    keys = ["user_id", "event_type"]
+    stream = event_stream(spark, sf_dir)
+    behaviour.stream_passtime(stream, keys, root, scratch_path(spark, "ckpt"), salts=2).awaitTermination()
+    return behaviour.read_buckets(spark, root, keys)
 
 
 @query(
@@ -56,8 +108,8 @@ LEFT JOIN r ON r.user_id = k.user_id AND r.event_type = k.event_type AND r.rn =
 def stream_recent_sequence(spark, sf_dir):
     root = scratch_path(spark, "recent")
     keys = ["user_id", "event_type"]
-    stream = event_stream(spark, sf_dir)
-    behaviour.stream_recent_sequence(stream, keys, "item", 20, root, scratch_path(spark, "ckpt"), salts=2).awaitTermination()
+    stream = event_stream(spark, sf_dir, held_back=True)
+    behaviour.stream_recent_sequence(stream, keys, "item", 20, root, scratch_path(spark, "ckpt"), salts=2, fold_every=3).awaitTermination()
     out = behaviour.read_recent_sequence(spark, root, keys, 20)
     return out.select(*keys, F.posexplode("sequence").alias("pos", "item"))
 
@@ -65,25 +117,37 @@ def stream_recent_sequence(spark, sf_dir):
 @query(
     "stream_extend_dictionary",
     f"""
-WITH v AS (SELECT 'event_type' AS col, trim(event_type) AS v FROM events UNION ALL SELECT 'item', CAST({ITEM_SQL} AS VARCHAR) FROM events)
-SELECT col AS "column", v AS value, row_number() OVER (PARTITION BY col ORDER BY n DESC, v) - 1 AS idx FROM (SELECT col, v, count(*) AS n FROM v GROUP BY 1, 2)""",
+WITH v AS (
+  SELECT 'event_type' AS col, trim(event_type) AS v, {PART_SQL} AS part FROM events
+  UNION ALL SELECT 'item', CAST({ITEM_SQL} AS VARCHAR), {PART_SQL} FROM events),
+ f AS (SELECT col, v, part, count(*) AS n, min(part) OVER (PARTITION BY col, v) AS first FROM v GROUP BY col, v, part)
+SELECT col AS "column", v AS value, row_number() OVER (PARTITION BY col ORDER BY first, n DESC, v) - 1 AS idx FROM f WHERE part = first""",
 )
 def stream_extend_dictionary(spark, sf_dir):
     root = scratch_path(spark, "dictionary")
     stream = event_stream(spark, sf_dir)
-    learning.stream_extend_dictionary(stream, ["event_type", "item"], root, scratch_path(spark, "ckpt")).awaitTermination()
+    learning.stream_extend_dictionary(stream, ["event_type", "item"], root, scratch_path(spark, "ckpt"), fold_every=2).awaitTermination()
     return learning.read_dictionary(spark, root).select("column", "value", "idx")
 
 
-@query(
-    "stream_train_lr",
-    f"""
-WITH s AS (SELECT value / 100 AS x0, {ITEM_SQL} / 100.0 AS x1, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS y FROM events),
- a AS (SELECT avg((0.5 - y) * x0) AS g0, avg((0.5 - y) * x1) AS g1, avg(0.5 - y) AS gb FROM s)
-SELECT round(-0.5 * g0, 6) AS w0, round(-0.5 * g1, 6) AS w1, round(-0.5 * gb, 6) AS intercept FROM a""",
-)
+def _lr_sql() -> str:
+    """One gradient step for each arriving slice, each from the weights of the one before."""
+    steps = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for i in range(ARRIVALS):
+        error = "1 / (1 + exp(-(a * x0 + b * x1 + c))) - y"
+        grad = lambda x: f"0.5 * avg(({error}) * {x})"
+        steps.append(
+            f"w{i + 1} AS (SELECT any_value(a) - {grad('x0')} AS a, any_value(b) - {grad('x1')} AS b, any_value(c) - {grad('1')} AS c FROM s, w{i} WHERE part = {i})"
+        )
+    return f"""
+WITH s AS (SELECT value / 100 AS x0, {ITEM_SQL} / 100.0 AS x1, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS y, {PART_SQL} AS part FROM events),
+{', '.join(steps)}
+SELECT round(a, 6) AS w0, round(b, 6) AS w1, round(c, 6) AS intercept FROM w{ARRIVALS}"""
+
+
+@query("stream_train_lr", _lr_sql())
 def stream_train_lr(spark, sf_dir):
-    """One gradient step from zero weights: every probability is one half, which SQL can follow."""
+    """A gradient step for each micro-batch, from the weights the one before has stored."""
     root = scratch_path(spark, "lr")
     rows = event_stream(spark, sf_dir).select(
         F.array(F.col("value") / 100, F.col("item") / 100.0).alias("features"),
@@ -91,7 +155,7 @@ def stream_train_lr(spark, sf_dir):
     )
     learning.stream_train_lr(rows, [0.0, 0.0], root, scratch_path(spark, "ckpt"), steps=1, step=0.5).awaitTermination()
     w = F.col("weights")
-    return spark.read.parquet(root).select(
+    return VersionedTable(spark, root).latest().select(
         F.round(w[0], 6).alias("w0"), F.round(w[1], 6).alias("w1"), F.round("intercept", 6).alias("intercept")
     )
 
@@ -106,4 +170,84 @@ def stream_moving_means(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
     root = scratch_path(spark, "means")
     learning.stream_moving_means(stream, "embedding", root, scratch_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(root).select("slot", F.round("value", 6).alias("value"))
+    return VersionedTable(spark, root).latest().select("slot", F.round("value", 6).alias("value"))
+
+
+# ---- fixed widths of the realtime groups: 48, 15 and 36 slots; kinds and windows (hours) are ours -----
+GROUPS = [
+    CounterGroup("category", "category", ["view", "click", "signup", "purchase"], [1, 2, 3, 6, 12, 24, 48, 72, 120, 168, 336, 720]),
+    CounterGroup("goods", "item", ["click", "signup", "purchase"], [1, 6, 24, 72, 168]),
+    CounterGroup("user_group", "zone", ["view", "click", "signup", "purchase"], [1, 3, 6, 12, 24, 72, 168, 336, 720]),
+]
+# -------------------------------------------------------------------------------------------------------
+KEY_SQL = {"category": f"CAST({ITEM_SQL} % 10 AS VARCHAR)", "goods": f"CAST({ITEM_SQL} AS VARCHAR)", "user_group": "CAST(user_id % 10 AS VARCHAR)"}
+LONG_SQL = " UNION ALL ".join(f"SELECT '{g}' AS grp, {k} AS key, epoch_us(ts) // {HOUR_US} AS pane, event_type FROM events" for g, k in KEY_SQL.items())
+ALL_KINDS = list(GROUPS[0].kinds)
+
+
+def counter_panes(spark, sf_dir):
+    stream = event_stream(spark, sf_dir, held_back=True)
+    stream = stream.withColumns({"category": F.col("item") % 10, "zone": F.col("user_id") % 10})
+    root = scratch_path(spark, "panes")
+    stream_counter_groups(stream, GROUPS, root, scratch_path(spark, "ckpt"), fold_every=2).awaitTermination()
+    return PaneTable(spark, root)
+
+
+def late_included(panes, closed):
+    """All counts: those of the panes and of the late rows, which are counted alike."""
+    late = panes.counted(panes.late_rows(), GROUPS, "event_type", "ts")
+    every = panes.read(closed).unionByName(late).groupBy("pane", "group", "key")
+    return every.agg(*[F.sum(k).alias(k) for k in ALL_KINDS])
+
+
+@query(
+    "stream_counter_panes",
+    f"""
+WITH l AS ({LONG_SQL})
+SELECT grp, key, pane, {', '.join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ALL_KINDS)} FROM l
+WHERE event_type IN ({', '.join(f"'{k}'" for k in ALL_KINDS)}) AND (pane + 1) * {HOUR_US} <= (SELECT epoch_us(max(ts)) - {HOUR_US} FROM events) GROUP BY 1, 2, 3""",
+)
+def stream_counter_panes(spark, sf_dir):
+    """Closed panes of the three groups together with the late rows: every event once."""
+    found = late_included(counter_panes(spark, sf_dir), closed=True)
+    return found.select(F.col("group").alias("grp"), "key", "pane", *ALL_KINDS)
+
+
+@query(
+    "stream_late_rows",
+    f"""
+WITH e AS (SELECT *, {PART_SQL} AS part, epoch_us(ts) AS us FROM events),
+ w AS (SELECT max(us) - {HOUR_US} AS mark FROM e WHERE part < {ARRIVALS - 1} AND event_id % {HELD_BACK} > 0)
+SELECT event_id, user_id, event_type FROM e, w WHERE event_id % {HELD_BACK} = 0 AND part < {ARRIVALS - 1} AND (us // {HOUR_US} + 1) * {HOUR_US} <= mark""",
+)
+def stream_late_rows(spark, sf_dir):
+    """The events that came after their pane was closed, stored as they came."""
+    return counter_panes(spark, sf_dir).late_rows().select("event_id", "user_id", "event_type")
+
+
+def _slots_sql() -> str:
+    asof = f"(SELECT epoch_us(max(ts)) // {HOUR_US} + 1 FROM events)"
+    parts = []
+    for g in GROUPS:
+        slots = ", ".join(
+            f"count(*) FILTER (WHERE event_type = '{k}' AND pane >= {asof} - {w})" for k in g.kinds for w in g.windows
+        )
+        parts.append(
+            f"SELECT '{g.name}' AS grp, key, unnest([{slots}]) AS value, unnest(range({g.width})) AS slot FROM l "
+            f"WHERE grp = '{g.name}' AND event_type IN ({', '.join(repr(k) for k in ALL_KINDS)}) AND pane >= {asof} - {max(g.windows)} GROUP BY key"
+        )
+    return f"WITH l AS ({LONG_SQL}) SELECT grp, key, CAST(slot AS INTEGER) AS slot, CAST(value AS BIGINT) AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("stream_counter_slots", _slots_sql())
+def stream_counter_slots(spark, sf_dir):
+    """The 48, 15 and 36 realtime slots of every key after the last batch, late rows included."""
+    panes = late_included(counter_panes(spark, sf_dir), closed=False)
+    mark = table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    found = None
+    for g in GROUPS:
+        rows = window_slots(panes, g, F.lit(mark // HOUR_US + 1)).select(
+            F.lit(g.name).alias("grp"), "key", F.posexplode("slots").alias("slot", "value")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found

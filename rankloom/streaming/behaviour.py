@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.functions.scalars import bucket_elapsed
 from rankloom.operators.behaviour import elapsed_minutes
+from rankloom.streaming.processors import PassTime, RecentItems, key_ddl, micros, salted, start_keyed
 from rankloom.streaming.versions import VersionedTable
 
 
@@ -97,6 +95,54 @@ def read_passtime(spark: SparkSession, root: str, keys: Sequence[str], asof: Col
     return last.withColumn("minutes", minutes).withColumn("bucket", bucket_elapsed(F.col("minutes")))
 
 
+def stream_passtime(
+    stream: DataFrame,
+    keys: Sequence[str],
+    root: str,
+    checkpoint: str,
+    ts: str = "ts",
+    event_id: str = "event_id",
+    lateness: str = "1 hour",
+    salts: int = 8,
+    fold_every: int = 100,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Keep the last event time of each key and store a row whenever its elapsed-time bucket moves.
+
+    Time is the watermark, ``lateness`` behind the latest event.  Rows behind
+    it still count: they cannot move a key's last event forward wrongly.  Rows
+    without a time are left out.  See ``read_buckets`` and ``read_elapsed``.
+    """
+    table, keys = VersionedTable(stream.sparkSession, root), list(keys)
+    rows = stream.withWatermark(ts, lateness).where(F.col(ts).isNotNull())
+    rows = rows.select(*keys, salted(event_id, salts).alias("salt"), micros(ts).alias("at"))
+    schema = f"{key_ddl(stream, keys)}, salt int, last_us bigint, bucket int, at_ms bigint"
+
+    def store(df: DataFrame, batch_id: int) -> None:
+        table.write(batch_id, df)
+        table.fold(batch_id, fold_every, lambda moves: _latest_move(moves, keys))
+
+    return start_keyed(rows, [*keys, "salt"], PassTime([*keys, "salt"]), schema, store, checkpoint, True, available_now)
+
+
+def _latest_move(moves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the last event time over all salts and the bucket it has reached."""
+    best = moves.groupBy(*keys).agg(F.max(F.struct("last_us", "bucket", "at_ms")).alias("m"))
+    return best.select(*keys, F.lit(0).alias("salt"), "m.*")
+
+
+def read_buckets(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, last_us, bucket): the elapsed-time bucket of each key at the watermark the stream has reached."""
+    return _latest_move(VersionedTable(spark, root).union_all(), keys).select(*keys, "last_us", "bucket")
+
+
+def read_elapsed(spark: SparkSession, root: str, keys: Sequence[str], asof: Column) -> DataFrame:
+    """Minutes and bucket since the last event of each key at ``asof``."""
+    last = _latest_move(VersionedTable(spark, root).union_all(), keys).select(*keys, F.timestamp_micros("last_us").alias("last_ts"))
+    minutes = elapsed_minutes(F.col("last_ts"), asof)
+    return last.withColumn("minutes", minutes).withColumn("bucket", bucket_elapsed(F.col("minutes")))
+
+
 def stream_recent_sequence(
     stream: DataFrame,
     keys: Sequence[str],
@@ -109,61 +155,57 @@ def stream_recent_sequence(
     salts: int = 8,
     fold_every: int = 100,
     available_now: bool = True,
+    expire_days: float | None = None,
+    lateness: str = "1 hour",
 ) -> StreamingQuery:
-    """Keep the latest ``n`` items per key in keyed state.
+    """Keep the latest ``n`` items per key in list state.
 
     State is kept per (key, salt): a key with very many events is shared by
     ``salts`` tasks, each holding at most n entries plus the chunk at hand.
+    With ``expire_days`` a timer empties a state whose newest event lies that
+    far behind the watermark.  Rows without a time are left out; a NULL item
+    stays a NULL in the sequence.
     """
-    table = VersionedTable(stream.sparkSession, root)
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
-    entries = "at array<bigint>, id array<bigint>, item array<bigint>"
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = set(zip(*state.get)) if state.exists else set()
-        for chunk in chunks:
-            kept.update(zip(chunk["at"].tolist(), chunk["id"].tolist(), chunk["item"].tolist()))
-            if len(kept) > n:
-                kept = set(heapq.nlargest(n, kept))
-        columns = tuple(list(c) for c in zip(*sorted(kept, reverse=True)))
-        state.update(columns)
-        yield pd.DataFrame([[*key, *columns]], columns=[*keys, "salt", "at", "id", "item"])
-
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = stream.select(
+    table, keys = VersionedTable(stream.sparkSession, root), list(keys)
+    source = stream.where(F.col(ts).isNotNull())
+    if expire_days is not None:
+        source = stream.withWatermark(ts, lateness).where(F.col(ts).isNotNull())
+    rows = source.select(
         *keys,
-        F.pmod(F.xxhash64(event_id), F.lit(salts)).cast("int").alias("salt"),
-        micros.alias("at"),
+        salted(event_id, salts).alias("salt"),
+        micros(ts).alias("at"),
         F.col(event_id).cast("bigint").alias("id"),
-        F.col(item).cast("bigint").alias("item"),
+        F.coalesce(F.col(item).cast("bigint"), F.lit(0)).alias("item"),
+        F.col(item).isNotNull().cast("int").alias("known"),
     )
-    sequences = rows.groupBy(*keys, "salt").applyInPandasWithState(
-        update, f"{key_ddl}, salt int, {entries}", entries, "update", GroupStateTimeout.NoTimeout
-    )
-    writer = sequences.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    names = [*keys, "salt"]
+    processor = RecentItems(names, n, None if expire_days is None else int(expire_days * 86_400_000_000))
+    schema = f"{key_ddl(stream, keys)}, salt int, at array<bigint>, id array<bigint>, item array<bigint>, known array<int>"
 
     def store(df: DataFrame, batch_id: int) -> None:
         table.write(batch_id, df.withColumn("batch", F.lit(batch_id)))
         table.fold(batch_id, fold_every, lambda changes: _newest_state(changes, keys))
 
-    return triggered(writer.foreachBatch(store), available_now).start()
+    return start_keyed(rows, names, processor, schema, store, checkpoint, expire_days is not None, available_now)
+
+
+STATE_COLUMNS = ("at", "id", "item", "known")
 
 
 def _newest_state(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last stored state of every (key, salt)."""
-    newest = changes.groupBy(*keys, "salt").agg(F.max_by(F.struct("at", "id", "item", "batch"), "batch").alias("s"))
+    newest = changes.groupBy(*keys, "salt").agg(F.max_by(F.struct(*STATE_COLUMNS, "batch"), "batch").alias("s"))
     return newest.select(*keys, "salt", "s.*")
 
 
 def read_recent_sequence(spark: SparkSession, root: str, keys: Sequence[str], n: int, out: str = "sequence") -> DataFrame:
-    """Merge the salted states: latest ``n`` items per key, newest first, 0-padded."""
+    """Merge the salted states: latest ``n`` items per key, newest first, 0-padded.  Expired keys have no row."""
     changes = VersionedTable(spark, root).union_all()
-    flat = _newest_state(changes, keys).select(*keys, F.inline(F.arrays_zip("at", "id", "item")))
+    flat = _newest_state(changes, keys).select(*keys, F.inline(F.arrays_zip(*STATE_COLUMNS)))
     order = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("id").desc())
     top = flat.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
-    packed = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rn", "item"))).alias("_s"))
+    held = F.struct("_rn", F.when(F.col("known") == 1, F.col("item")).alias("item"))
+    packed = top.groupBy(*keys).agg(F.sort_array(F.collect_list(held)).alias("_s"))
     ids = F.transform("_s", lambda s: s["item"])
     return packed.select(
         *keys, F.concat(ids, F.array_repeat(F.lit(0).cast("bigint"), F.lit(n) - F.size("_s"))).alias(out)
@@ -173,9 +215,12 @@ def read_recent_sequence(spark: SparkSession, root: str, keys: Sequence[str], n:
 __all__ = [
     "behaviour_counters",
     "late_rows",
+    "read_buckets",
+    "read_elapsed",
     "read_passtime",
     "read_recent_sequence",
     "stream_behaviour_counters",
     "stream_last_seen",
+    "stream_passtime",
     "stream_recent_sequence",
 ]
