@@ -26,7 +26,8 @@ def planted(text: Column, doc_id: Column) -> Column:
 
     words = split_words(text, GAP)
     chosen = (h % 10 == 0) & F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return F.when(chosen, repeated(words)).otherwise(text)
+    once = F.get(F.transform(F.array(words), repeated), F.lit(0))  # the words are cut once, not for each place
+    return F.when(chosen, once).otherwise(text)
 
 
 @query("op11_periodic_runs")
