@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from rankloom.checks import require_columns
 from rankloom.functions import arrays
 from rankloom.functions.scalars import sigmoid
-from rankloom.operators.sizing import broadcast_if_small
+from rankloom.operators.sizing import broadcast_if_small, measured_bytes
 
 
 def lookup_embeddings(
@@ -62,8 +64,60 @@ def score_pairs(
     return joined.withColumn("score", sigmoid(arrays.dot(F.col("_u"), F.col("_i")))).drop("_u", "_i")
 
 
-#: scores held at a time while a cell is multiplied out
+#: scores held at a time while blocks are multiplied out
 CELL_SCORES = 4_000_000
+#: items in a block that is skipped as a whole, and bytes of items that are shipped to every task
+ITEM_BLOCK, ITEM_BYTES = 4_096, 128 << 20
+#: room for rounding in the comparison of a bound with a score
+SLACK = 1e-9
+
+
+@dataclass(frozen=True)
+class ItemBlocks:
+    """Items by falling length of their vectors, in blocks; ``bounds`` are the greatest lengths in each."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+    bounds: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, ids: np.ndarray, matrix: np.ndarray, size: int = ITEM_BLOCK) -> ItemBlocks:
+        length = np.linalg.norm(matrix, axis=1)
+        order = np.lexsort((ids, -length))
+        return cls(ids[order], matrix[order], length[order][::size], size)
+
+
+def best_of(vectors: np.ndarray, items: ItemBlocks, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(vector, item, score) of the ``k`` best items of each vector, best first (ties: smaller id), and how many
+    (vector, block) pairs were skipped.
+
+    By the inequality of Cauchy and Schwarz no score in a block exceeds the
+    vector's length times the block's bound; once that is below a vector's k-th
+    score, this and all later blocks are skipped for it.
+    """
+    n, skipped = len(vectors), 0
+    length = np.linalg.norm(vectors, axis=1)
+    row, ids, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    floor = np.full(n, -np.inf)
+    for b, bound in enumerate(items.bounds):
+        open_ = np.flatnonzero(length * bound * (1 + SLACK) + SLACK >= floor)
+        skipped += n - len(open_)
+        if not len(open_):
+            skipped += n * (len(items.bounds) - b - 1)
+            break
+        part = slice(b * items.size, (b + 1) * items.size)
+        found = vectors[open_] @ items.matrix[part].T
+        at, col = np.nonzero(found >= floor[open_][:, None])
+        row, ids = np.concatenate([row, open_[at]]), np.concatenate([ids, items.ids[part][col]])
+        score = np.concatenate([score, found[at, col]])
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < k
+        row, ids, score, place = row[kept], ids[kept], score[kept], place[kept]
+        floor[row[place == k - 1]] = score[place == k - 1]
+    return row, ids, score, skipped
 
 
 def top_items(
@@ -75,9 +129,47 @@ def top_items(
     vec: str = "vec",
     users_per_cell: int = 20_000,
     items_per_cell: int = 50_000,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """Exact k best items per user by dot product (ties: smaller item id).
 
+    While the item vectors measure at most ``item_bytes``, they are shipped to
+    every task once and users pass by where they lie: no shuffle, and most
+    blocks of items are skipped by their bound.  More items than that are dealt
+    into cells, see ``top_items_by_cell``.  A user or item without a vector has
+    no rows.
+    """
+    users, items = users.where(F.col(vec).isNotNull()), items.where(F.col(vec).isNotNull())
+    held = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(vec).cast("array<double>").alias("iv"))
+    if measured_bytes(held) > item_bytes:
+        return top_items_by_cell(users, items, k, user_id, item_id, vec, users_per_cell, items_per_cell)
+    table = held.toArrow()
+    ids = table.column("i").to_numpy()
+    matrix = table.column("iv").combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.empty((0, 0))
+    sent = users.sparkSession.sparkContext.broadcast(ItemBlocks.of(ids, matrix))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = sent.value
+        step = max(1, CELL_SCORES // blocks.size)
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(blocks.ids) else 0, step):
+                part = batch.slice(start, step)
+                vectors = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                row, found, score, _ = best_of(vectors, blocks, k)
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                columns = [part.column(0).take(pa.array(row)), pa.array(found), pa.array(score), pa.array(rank.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["u", "i", "s", "rank"])
+
+    rows = users.select(F.col(user_id).cast("bigint").alias("u"), F.col(vec).cast("array<double>").alias("uv"))
+    found = rows.mapInArrow(best, "u bigint, i bigint, s double, rank int")
+    return found.select(F.col("u").alias(user_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
+
+
+def top_items_by_cell(
+    users: DataFrame, items: DataFrame, k: int, user_id: str, item_id: str, vec: str, users_per_cell: int, items_per_cell: int
+) -> DataFrame:
+    """``top_items`` for items too many for one task.
+
     Users and items are hashed into blocks; every (user block, item block) cell
     is one bounded task that multiplies two matrices and keeps k rows per
     user, so no user-item pair table ever exists.  A final per-user cut merges

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.arrays import array_sum
 from rankloom.operators.channels import channel_thresholds
 
 # Class order and the fine part names of each coarse part.
@@ -26,6 +25,8 @@ MAMMAL_PARTS = {
 }
 TAILED_MAMMALS = ["cat", "dog"]
 ASSOCIATION_IOU = 0.2
+#: places in a word of a packed mask
+WORD = 64
 
 
 def coarse_parts(category: str) -> dict[str, list[str]]:
@@ -36,11 +37,45 @@ def coarse_parts(category: str) -> dict[str, list[str]]:
     return MAMMAL_PARTS
 
 
+def pack_mask(mask: Column) -> Column:
+    """A flattened binary mask as 64-bit words; the last holds what is left, in its low bits."""
+    words = F.ceil(F.size(mask) / WORD).cast("int")
+    one = lambda w: F.aggregate(
+        F.slice(mask, w * WORD + 1, WORD), F.lit(0).cast("bigint"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR((v > 0).cast("bigint"))
+    )
+    numbers = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, one)
+
+
+def unpack_mask(words: Column, size: Column) -> Column:
+    """The first ``size`` places of a packed mask of that size, as 0 and 1."""
+
+    def bit(at: Column) -> Column:
+        word = F.floor(at / WORD).cast("int")
+        left = F.least(F.lit(WORD), size - word * WORD) - 1 - at % WORD
+        return F.call_function("shiftright", F.get(words, word), left.cast("int")).bitwiseAND(F.lit(1)).cast("int")
+
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, bit)
+
+
+def merge_words(one: Column, two: Column) -> Column:
+    """OR of two packed masks; a word that one of them lacks counts as empty."""
+    none = F.lit(0).cast("bigint")
+    return F.zip_with(one, two, lambda a, b: F.coalesce(a, none).bitwiseOR(F.coalesce(b, none)))
+
+
+def packed_iou(f: Column, p: Column) -> Column:
+    """Intersection over union of two packed masks of one size; 0 without overlap."""
+    count = lambda c: F.aggregate(c, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+    inter = count(F.zip_with(f, p, lambda a, b: a.bitwiseAND(b)))
+    union = count(F.zip_with(f, p, lambda a, b: a.bitwiseOR(b)))
+    return F.when(inter == 0, F.lit(0.0)).otherwise(inter / union)
+
+
 def mask_iou(f: Column, p: Column) -> Column:
     """Intersection over union of two flattened binary masks; 0 without overlap."""
-    inter = array_sum(F.zip_with(f, p, lambda a, b: (a * b).cast("double")))
-    union = array_sum(F.zip_with(f, p, lambda a, b: ((a + b) > 0).cast("double")))
-    return F.when(inter == 0, F.lit(0.0)).otherwise(inter / union)
+    return packed_iou(pack_mask(f), pack_mask(p))
 
 
 def association_score(
@@ -58,13 +93,15 @@ def association_score(
         flat = maps.select("channel", F.explode("values").alias("value"))
         thresholds = channel_thresholds(flat, rate=rate)
     active = maps.join(thresholds, "channel").select(
-        "image",
-        "channel",
-        F.transform("values", lambda v: ((v.cast("double") - F.col("threshold")) > 0).cast("int")).alias("active"),
+        "image", "channel", pack_mask(F.transform("values", lambda v: ((v.cast("double") - F.col("threshold")) > 0).cast("int"))).alias("active")
     )
-    overlap = active.join(masks.select("image", "part", "mask"), "image")
-    hit = (mask_iou(F.col("active"), F.col("mask")) > min_iou).cast("double")
-    rates = overlap.groupBy("channel", "part").agg(F.avg(hit).alias("rate"))
+    # the parts of an image travel together and packed: a map meets them in one row
+    parts = masks.select("image", F.struct("part", pack_mask(F.col("mask")).alias("words")).alias("p"))
+    parts = parts.groupBy("image").agg(F.collect_list("p").alias("parts"))
+    hit = lambda p: (packed_iou(F.col("active"), p["words"]) > min_iou).cast("double")
+    hits = F.transform("parts", lambda p: F.struct(p["part"].alias("part"), hit(p).alias("hit")))
+    overlap = active.join(parts, "image").select("channel", F.inline(hits))
+    rates = overlap.groupBy("channel", "part").agg(F.avg("hit").alias("rate"))
     return rates.groupBy("channel").agg(F.max("rate").alias("association"))
 
 
@@ -81,22 +118,24 @@ def _mapping(df: DataFrame) -> DataFrame:
 def merge_part_masks(masks: DataFrame) -> DataFrame:
     """(image, category, coarse, mask): OR of the fine masks; an absent coarse part is all zeros.
 
-    ``masks``: (image, category, part, mask).  Parts outside the mapping are ignored.
+    ``masks``: (image, category, part, mask).  Parts outside the mapping are
+    ignored, but their image and category have rows.  Masks move as packed
+    words, and only once: an image's few parts meet in its row, equal ones
+    combined before they move.
     """
-    mapping = _mapping(masks)
-    cells = masks.join(F.broadcast(mapping), ["category", "part"]).select(
-        "image", "category", "coarse", F.posexplode("mask").alias("pos", "v")
-    )
-    merged = cells.groupBy("image", "category", "coarse", "pos").agg(F.max((F.col("v") > 0).cast("int")).alias("v"))
-    packed = merged.groupBy("image", "category", "coarse").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("mask")
+    mapping = _mapping(masks).groupBy("category").agg(
+        F.collect_set("coarse").alias("_all"), F.collect_list(F.struct("part", "coarse")).alias("_known")
     )
-    wanted = masks.groupBy("image", "category").agg(F.max(F.size("mask")).alias("_w"))
-    wanted = wanted.join(F.broadcast(mapping.select("category", "coarse").distinct()), "category")
-    full = wanted.join(packed, ["image", "category", "coarse"], "left")
-    return full.select(
-        "image", "category", "coarse", F.coalesce("mask", F.array_repeat(F.lit(0), F.col("_w"))).alias("mask")
+    rows = masks.join(F.broadcast(mapping), "category")  # six rows
+    coarse = F.get(F.filter("_known", lambda k: k["part"] == F.col("part")), F.lit(0))["coarse"]
+    words = F.when(coarse.isNotNull(), F.struct(coarse.alias("coarse"), pack_mask(F.col("mask")).alias("words")))
+    found = rows.groupBy("image", "category").agg(
+        F.collect_set(words).alias("_parts"), F.max(F.size("mask")).alias("_w"), F.first("_all").alias("_all")
     )
+    full = found.select("image", "category", "_parts", "_w", F.explode("_all").alias("coarse"))
+    mine = F.filter("_parts", lambda p: p["coarse"] == F.col("coarse"))
+    merged = F.aggregate(F.transform(mine, lambda p: p["words"]), pack_mask(F.array_repeat(F.lit(0), F.col("_w"))), merge_words)
+    return full.select("image", "category", "coarse", unpack_mask(merged, F.col("_w")).alias("mask"))
 
 
 def normalize_boxes(boxes: DataFrame) -> DataFrame:

@@ -46,18 +46,18 @@ def sequences(spark, sf_dir):
 WITH {_SEQ_SQL},
 u AS (SELECT DISTINCT user_id FROM r),
 f AS (SELECT u.user_id, p.pos, coalesce(s.item, 0) AS item FROM u CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS pos) p
-      LEFT JOIN s ON s.user_id = u.user_id AND s.pos = p.pos WHERE u.user_id % 5 > 1),
+      LEFT JOIN s ON s.user_id = u.user_id AND s.pos = p.pos),
 l AS (SELECT user_id, list(struct_pack(k := pos, e := e.embedding) ORDER BY pos) AS v FROM f LEFT JOIN embeddings e ON e.vec_id = f.item GROUP BY 1),
 d AS (SELECT user_id, unnest(v).k AS pos, unnest(v).e AS e FROM l)
 SELECT user_id, CAST(30 AS INTEGER) AS n, CAST(pos AS INTEGER) AS pos, CAST(i - 1 AS INTEGER) AS dim, round(CAST(e[i] AS DOUBLE), 6) AS v
 FROM d, (SELECT unnest(generate_series(1, 64)) AS i) WHERE e IS NOT NULL
 UNION ALL SELECT user_id, CAST(30 AS INTEGER), CAST(pos AS INTEGER), NULL, NULL FROM d WHERE e IS NULL
-UNION ALL SELECT user_id, CAST(CASE WHEN user_id % 5 = 0 THEN 0 END AS INTEGER), NULL, NULL, NULL FROM u WHERE user_id % 5 <= 1""",
+UNION ALL SELECT -1, 0, NULL, NULL, NULL UNION ALL SELECT -2, NULL, NULL, NULL, NULL""",
 )
 def lookup_embeddings(spark, sf_dir):
-    """Some users have an empty list and some none; all slots of all vectors are compared."""
-    ids = F.when(F.col("user_id") % 5 == 0, F.array().cast("array<bigint>")).when(F.col("user_id") % 5 > 1, F.col("ids"))
-    rows = sequences(spark, sf_dir).withColumn("ids", ids)
+    """All users, and two more rows: one with an empty list, one without a list; all slots of all vectors are compared."""
+    odd = spark.createDataFrame([(-1, []), (-2, None)], "user_id bigint, ids array<bigint>")
+    rows = sequences(spark, sf_dir).unionByName(odd)
     out = emb.lookup_embeddings(rows, ["user_id"], "ids", vectors(spark, sf_dir), "vec_id", "embedding")
     rows = out.select("user_id", F.when(F.col("vectors").isNotNull(), F.size("vectors")).alias("n"), F.posexplode_outer("vectors").alias("pos", "vec"))
     return rows.select("user_id", "n", "pos", F.posexplode_outer("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
@@ -68,16 +68,16 @@ def lookup_embeddings(spark, sf_dir):
     f"""
 WITH {_SEQ_SQL},
 x AS (SELECT s.user_id, unnest(generate_series(0, 63)) AS dim, CAST(unnest(e.embedding) AS DOUBLE) AS v FROM s JOIN embeddings e ON e.vec_id = s.item
-      WHERE s.item > 0 AND s.user_id % 5 > 0)
+      WHERE s.item > 0)
 SELECT u.user_id, CAST(d.dim AS INTEGER) AS dim, round(coalesce(sum(v), 0), 6) + 0.0 AS v
 FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS dim) d LEFT JOIN x ON x.user_id = u.user_id AND x.dim = d.dim
-GROUP BY 1, 2""",
+GROUP BY 1, 2
+UNION ALL SELECT k, CAST(unnest(generate_series(0, 63)) AS INTEGER), 0.0 FROM (VALUES (-1), (-2), (-3)) AS o(k)""",
 )
 def sum_pool_sequence(spark, sf_dir):
-    """Every fifth user has only padding and unknown ids."""
-    rows = sequences(spark, sf_dir)
-    unknown = F.transform("ids", lambda i: F.when(i % 2 == 0, F.lit(0)).otherwise(F.lit(10**9)))
-    rows = rows.withColumn("ids", F.when(F.col("user_id") % 5 == 0, unknown).otherwise(F.col("ids")))
+    """All users, and three more rows: only padding and unknown ids, an empty list, no list."""
+    odd = spark.createDataFrame([(-1, [0, 10**9, 0, -4]), (-2, []), (-3, None)], "user_id bigint, ids array<bigint>")
+    rows = sequences(spark, sf_dir).unionByName(odd)
     out = emb.sum_pool_sequence(rows, ["user_id"], "ids", vectors(spark, sf_dir), "vec_id", "embedding")
     return out.select("user_id", F.posexplode("pooled").alias("dim", "v")).withColumn("v", F.round("v", 6) + 0.0)
 
@@ -85,14 +85,15 @@ def sum_pool_sequence(spark, sf_dir):
 @query(
     "score_pairs",
     f"""
-WITH p AS (SELECT DISTINCT user_id, {ITEM_SQL} AS item FROM events)
+WITH p AS (SELECT DISTINCT user_id, {ITEM_SQL} AS item FROM events UNION ALL VALUES (-1, 3), (3, -1), (-1, -1))
 SELECT p.user_id, p.item AS item_id, round(1 / (1 + exp(-list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]))), 6) AS score
-FROM p LEFT JOIN embeddings u ON u.vec_id = p.user_id AND u.vec_id % 7 > 0 LEFT JOIN embeddings i ON i.vec_id = p.item""",
+FROM p LEFT JOIN embeddings u ON u.vec_id = p.user_id LEFT JOIN embeddings i ON i.vec_id = p.item""",
 )
 def score_pairs(spark, sf_dir):
-    """Every seventh user has no vector."""
+    """All pairs, and three more with a user or an item that has no vector."""
     pairs = behaviour_log(spark, sf_dir).select("user_id", F.col("item").alias("item_id")).distinct()
-    users = vectors(spark, sf_dir).where("vec_id % 7 > 0").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vec"))
+    pairs = pairs.unionByName(spark.createDataFrame([(-1, 3), (3, -1), (-1, -1)], "user_id bigint, item_id bigint"))
+    users = vectors(spark, sf_dir).select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vec"))
     items = vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
     out = emb.score_pairs(pairs, users, items, "user_id", "item_id")
     return out.select("user_id", "item_id", F.round("score", 6).alias("score"))

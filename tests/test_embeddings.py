@@ -57,8 +57,9 @@ def brute_top(users, items, k):
     return out
 
 
-@pytest.mark.parametrize("cells", [(1000, 1000), (7, 5), (3, 100)])
+@pytest.mark.parametrize("cells", [None, (1000, 1000), (7, 5), (3, 100)])
 def test_top_items_equals_brute_force_for_any_cell_size(spark, monkeypatch, cells):
+    dealt = {} if cells is None else {"users_per_cell": cells[0], "items_per_cell": cells[1], "item_bytes": 0}
     monkeypatch.setattr(emb, "CELL_SCORES", 13)
     rng = np.random.default_rng(1)
     users = [(i, rng.integers(-2, 3, 4).astype(float)) for i in range(20)]
@@ -66,11 +67,36 @@ def test_top_items_equals_brute_force_for_any_cell_size(spark, monkeypatch, cell
     u = spark.createDataFrame([(i, v.tolist()) for i, v in users], "user_id bigint, vec array<double>")
     t = spark.createDataFrame([(i, v.tolist()) for i, v in items], "item_id bigint, vec array<double>")
     got = {}
-    for r in emb.top_items(u, t, 4, users_per_cell=cells[0], items_per_cell=cells[1]).orderBy("user_id", "rank").collect():
+    for r in emb.top_items(u, t, 4, **dealt).orderBy("user_id", "rank").collect():
         got.setdefault(r["user_id"], []).append(r["item_id"])
     assert got == brute_top(users, items, 4)
 
 
+def test_blocks_that_cannot_beat_the_kth_score_are_skipped():
+    rng = np.random.default_rng(9)
+    items = rng.normal(size=(2000, 8)) * np.geomspace(10, 0.01, 2000)[:, None]
+    users = np.concatenate([rng.normal(size=(50, 8)), np.zeros((1, 8))])
+    blocks = emb.ItemBlocks.of(np.arange(2000), items, 64)
+    row, ids, score, skipped = emb.best_of(users, blocks, 5)
+    want = brute_top(list(enumerate(users)), list(enumerate(items)), 5)
+    assert {u: ids[row == u].tolist() for u in range(51)} == want
+    assert np.allclose(score, [users[u] @ items[i] for u, i in zip(row, ids)])
+    # nearly all of 32 blocks fall away for every user but the one that scores 0 with all items
+    assert len(blocks.bounds) == 32 and skipped > 50 * 20
+    assert emb.best_of(users[:0], blocks, 5)[0].tolist() == []
+
+
+def test_users_are_not_moved_and_empty_sides_have_no_rows(spark):
+    schema = "{} bigint, vec array<double>"
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (1, [0.0, 1.0])], schema.format("user_id"))
+    items = spark.createDataFrame([(7, [1.0, 2.0]), (8, None), (9, [3.0, 0.5])], schema.format("item_id"))
+    found = emb.top_items(users, items, 1)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.user_id, r.item_id, r.score) for r in found.collect()) == [(1, 7, 2.0), (1, 9, 3.0)]
+    assert emb.top_items(users, items.where("item_id = 8"), 3).collect() == []
+    assert emb.top_items(users.where("user_id = 2"), items, 3).collect() == []
+
+
 def test_pooling_ignores_padding_and_lookup_keeps_order(spark):
     table = spark.createDataFrame([(0, [9.0, 9.0]), (1, [1.0, 2.0]), (2, [10.0, 20.0])], "id bigint, vec array<double>")
     seq = spark.createDataFrame([("u", [2, 1, 2, 0, 0, 77])], "user string, ids array<bigint>")
@@ -102,6 +128,28 @@ def test_part_masks_fill_missing_parts(spark):
     assert sorted(k[1] for k in got if k[0] == 2) == ["bleg", "fleg", "head", "torso"]
 
 
+def test_packed_masks_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, rng.integers(0, 2, n).tolist(), rng.integers(0, 2, n).tolist()) for n in (0, 1, 63, 64, 65, 128, 200)]
+    df = spark.createDataFrame(rows, "n int, f array<int>, p array<int>").withColumns({"a": masks.pack_mask(F.col("f")), "b": masks.pack_mask(F.col("p"))})
+    merged = masks.unpack_mask(masks.merge_words(F.col("a"), F.col("b")), F.col("n"))
+    for r in df.withColumns({"back": masks.unpack_mask(F.col("a"), F.col("n")), "both": merged, "iou": masks.packed_iou(F.col("a"), F.col("b"))}).collect():
+        assert len(r.a) == -(-r.n // 64) and r.back == r.f
+        assert r.both == [max(x, y) for x, y in zip(r.f, r.p)]
+        inter, union = sum(x * y for x, y in zip(r.f, r.p)), sum(max(x, y) for x, y in zip(r.f, r.p))
+        assert abs(r.iou - (inter / union if inter else 0)) < 1e-12
+
+
+def test_part_masks_move_once_and_packed(spark):
+    rows = [(1, "bird", "head", [1, 0]), (1, "bird", "beak", [0, 1, 1]), (1, "bird", "beak", [0, 1, 1]), (3, "cat", "hoof", [1])]
+    df = spark.createDataFrame(rows, "image int, category string, part string, mask array<int>")
+    merged = masks.merge_part_masks(df)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image") == 1 and "posexplode" not in plan
+    got = {(r["image"], r["coarse"]): r["mask"] for r in merged.collect()}
+    assert got[(1, "tail")] == [0, 0, 0] and got[(3, "head")] == [0] and len(got) == 4 + 5
+
+
 def test_boxes(spark):
     rows = [(1, "dog", 0, 10, 0, 5, 50, 20, 20), (1, "dog", 1, 0, 0, 10, 10, 20, 20), (1, "dog", 2, 30, -4, 10, 4, 20, 20), (2, "cat", 0, 3, 3, 3, 9, 20, 20)]
     boxes = spark.createDataFrame(rows, "image int, category string, box_no int, xmin int, ymin int, xmax int, ymax int, width int, height int")
