@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import Model
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import query, table
-from rankloom.llm.secrets import fit_forest, judge, scanned
+from rankloom.llm.secret_labels import by_form, planted_findings
+from rankloom.llm.secrets import Words, candidates, corpus_words, fit_forest, judge, stored_candidates
 
 
-def label() -> Column:
-    """Labels for the findings that speak for themselves; the given tables have none by hand.
-
-    1: a value of letters and digits in quotes under a secret's name.  0: a
-    value without such a name that is a plain number, or mostly dictionary
-    words, or beside a word like ``sha256``.  Null: not labelled.
-    """
-    mixed = (F.col("digits") > 0.1) & (F.col("digits") < 0.95)
-    plain = (F.col("digits") >= 0.95) | (F.col("covered") > 0.6) | (F.col("named_plain") + F.col("near_plain") > 0)
-    return F.when((F.col("named_secret") > 0) & (F.col("quoted") > 0) & mixed, 1).when((F.col("named_secret") == 0) & plain, 0)
+def trained(docs: DataFrame, found: DataFrame, words: Words, seed: int = 1) -> Model:
+    """The forest for a corpus without labels: planted findings, and candidates whose form proves them."""
+    planted = planted_findings(docs, "text", "source", seed=seed)
+    mine = candidates(planted, "planted", "text", "path", words, ["label"]).where(F.col("value") == F.col("id"))
+    columns = [c for c in found.columns if c != "id"]
+    return fit_forest(mine.select(*columns, "label").unionByName(by_form(found).select(*columns, "label")))
 
 
 @query("op7_secrets")
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scanned(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    judged = judge(found, fit_forest(found.withColumn("label", label())))
+    docs = table(spark, sf_dir, "documents")
+    words = corpus_words(docs, "text")
+    found = stored_candidates(docs, "doc_id", "text", "source", words)
+    judged = judge(found, trained(docs, found, words))
     return judged.select(
         F.col("id").alias("doc_id"), "start", "length", "name", F.sha2("value", 256).alias("value_sha256"), "probability", "secret"
     )

@@ -33,21 +33,24 @@ from rankloom.operators.chunks import written_once
 DICTIONARY = 5_000
 #: labelled rows that the forest is fitted on, those with the least hashes
 MOST_LABELLED = 20_000
-TREES, DEPTH, SEED = 20, 6, 7
+TREES, DEPTH, SEED = 40, 8, 7
 
 # fixed values: words beside a secret and beside something that only looks like one
-SECRET_WORDS = frozenset("token secret password passwd pwd apikey api_key key access_key private_key auth bearer credential credentials".split())
+SECRET_WORDS = frozenset("userinfo begin token secret password passwd pwd apikey api_key key access_key private_key auth bearer credential credentials".split())
 PLAIN_WORDS = frozenset("sha sha1 sha256 md5 commit checksum digest hash uuid guid id phone tel card isbn serial order version date".split())
 TEST_PATHS = frozenset("test tests testing example examples sample samples mock fixture fixtures demo doc docs".split())
 
+#: a run of key-like characters with a digit, and the name it is assigned to
 CANDIDATE = re.compile(
-    r"(?:(?<![A-Za-z0-9_\-])(?P<name>[A-Za-z][A-Za-z0-9_\-]{0,60})[\"']?[ \t]{0,8}(?::=|[=:])[ \t]{0,8})?(?P<quote>[\"'`]?)(?P<value>(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2})"
-)
-ASSIGNED = re.compile(
-    r"(?i)\b(?P<name>[a-z0-9_\-]{0,60}(?:token|secret|passwo?r?d|pwd|api_?-?key|access_?key|private_?key))[\"']?[ \t]{0,8}(?::=|[=:])[ \t]{0,8}(?P<quote>[\"'`]?)(?P<value>[^\s\"'`]{6,})"
+    r"(?:(?<![A-Za-z0-9_\-])(?P<name>[A-Za-z][A-Za-z0-9_\-]*+)[\"']?[ \t]*+(?::=|[=:])[ \t]*+)?(?P<quote>[\"'`]?)(?P<value>(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+(?:\.[A-Za-z0-9+/_\-]{16,}+)*+={0,2})"
 )
+ASSIGNMENT = re.compile(r"(?<![A-Za-z0-9_\-])(?P<name>[A-Za-z0-9_\-]++)[\"']?[ \t]*+(?::=|[=:])[ \t]*+(?P<quote>[\"'`]?)")
+SECRET_NAME = re.compile(r"(?i)(?:token|secret|passwo?r?d|pwd|api_?-?key|access_?key|private_?key)$")
+ASSIGNED_VALUE = re.compile(r"[^\s\"'`]{6,}")
+#: a password between user and host of an address
+USERINFO = re.compile(r"(?i)://[^\s/:@\"'<>]++:(?P<value>[^\s/:@\"'<>]{4,}+)@")
 NEIGHBOURS = 3
-AROUND = 80
+AROUND = 1_000
 WORD = re.compile(r"[A-Za-z0-9_]+")
 
 FEATURES = [
@@ -125,9 +128,13 @@ def describe(value: str, name: str, quote: str, before: str, after: str, path: s
 def find_in(text: str) -> list[tuple[int, str, str, str]]:
     """(start, value, name, quote) of the candidates of a text, in order and without overlaps."""
     found = {}
-    for pattern in (ASSIGNED, CANDIDATE):
-        for m in pattern.finditer(text):
-            found.setdefault(m.start("value"), (m.start("value"), m["value"], m["name"] or "", m["quote"] or ""))
+    for m in ASSIGNMENT.finditer(text):
+        if SECRET_NAME.search(m["name"]) and (v := ASSIGNED_VALUE.match(text, m.end())):
+            found.setdefault(v.start(), (v.start(), v[0], m["name"], m["quote"]))
+    for m in CANDIDATE.finditer(text):
+        found.setdefault(m.start("value"), (m.start("value"), m["value"], m["name"] or "", m["quote"] or ""))
+    for m in USERINFO.finditer(text):
+        found.setdefault(m.start("value"), (m.start("value"), m["value"], "userinfo", ""))
     out, end = [], -1
     for item in sorted(found.values(), key=lambda f: (f[0], -len(f[1]))):
         if item[0] >= end:
@@ -136,21 +143,33 @@ def find_in(text: str) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def candidates(docs: DataFrame, key: str, text: str, path: str | None, words: frozenset[str], pairs: dict[str, float]) -> DataFrame:
-    """One row per candidate: id, start and length in code points, name, value and its features.
+#: frequent words and pair scores
+Words = tuple[frozenset[str], dict[str, float]]
+
+
+def corpus_words(docs: DataFrame, text: str) -> Words:
+    """The most frequent words and the scores of letter pairs, counted over all documents."""
+    counted = written_once(vocabulary(docs, text), "vocabulary")
+    return frequent_words(counted), pair_scores(counted)
+
+
+def candidates(docs: DataFrame, key: str, text: str, path: str | None, known: Words, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per candidate: id, start and length in code points, name, value, its features, and the columns ``keep``.
 
     Null texts have none; a missing path counts as empty.  Repeated rows give
     repeated candidates.
     """
     python_workers(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.select(
         F.col(f"`{key}`").alias("id"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         (F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
+        *[F.col(f"`{c}`") for c in keep],
     )
     kind = dict(rows.dtypes)["id"]
     names = ["id", *(c.split()[0] for c in FOUND.split(", "))]
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, scores = sent.value
@@ -167,25 +186,33 @@ def candidates(docs: DataFrame, key: str, text: str, path: str | None, words: fr
                     found.append((start, len(value), name, value, *features))
             columns = list(zip(*found)) or [()] * (len(names) - 1)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * len(FEATURES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], names)
+            rows_ = pa.array(at, pa.int64())
+            more = [c.take(rows_) for c in batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), *map(pa.array, columns, kinds), *more], [*names, *keep])
 
-    return rows.mapInArrow(work, f"id {kind}, {FOUND}")
+    return rows.mapInArrow(work, f"id {kind}, {FOUND}{kept}")
 
 
-def fit_forest(labelled: DataFrame, most: int = MOST_LABELLED) -> Model | None:
-    """A forest from candidates with ``label`` 0 or 1 (other labels are left out); none unless both occur."""
-    rows = labelled.where(F.col("label").isin(0, 1)).withColumn("_h", F.xxhash64("value", "start", "label"))
-    rows = written_once(rows.orderBy("_h", "value").limit(most).select(*FEATURES, F.col("label").cast("double").alias("label")), "labelled")
+def fit_forest(labelled: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """A forest from candidates with ``label`` 0 or 1 (other labels are left out).
+
+    Of each label the ``most`` distinct values with the least hashes take part,
+    so copies of one finding count once and a rare label is never crowded out.
+    Without both labels there is nothing to learn, which is an error.
+    """
+    rows = labelled.where(F.col("label").isin(0, 1)).withColumn("_h", F.xxhash64("value"))
+    one = rows.groupBy("label", "value").agg(F.min(F.struct("_h", *FEATURES)).alias("r")).select("label", "value", "r.*")
+    parts = [one.where(F.col("label") == n).orderBy("_h", "value").limit(most) for n in (0, 1)]
+    rows = parts[0].unionByName(parts[1]).select(*FEATURES, F.col("label").cast("double").alias("label"))
+    rows = written_once(rows, "labelled")
     if rows.select("label").distinct().count() < 2:
-        return None
+        raise ValueError("findings of both labels are needed")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", cacheNodeIds=False).fit(rows)
 
 
-def judge(found: DataFrame, forest: Model | None, threshold: float = 0.5) -> DataFrame:
-    """Candidates with ``probability`` and ``secret``; without a forest nothing is removed."""
-    if forest is None:
-        return found.withColumn("probability", F.lit(1.0)).withColumn("secret", F.lit(True))
+def judge(found: DataFrame, forest: Model, threshold: float = 0.5) -> DataFrame:
+    """Candidates with ``probability`` and ``secret``."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)
     rows = forest.copy({forest.featuresCol: "_features"}).transform(rows)
     rows = rows.withColumn("probability", F.round(vector_to_array("probability")[1], 9))
@@ -203,9 +230,6 @@ def redact(text: str | None, spans: Sequence[tuple[int, int]], mark: str = "[SEC
     return "".join([*parts, text[at:]])
 
 
-def scanned(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
-    """Stored candidates of all documents, with features from the words of all documents."""
-    counted = written_once(vocabulary(docs, text), "vocabulary")
-    return written_once(candidates(docs, key, text, path, frequent_words(counted), pair_scores(counted)), "candidates")
-
-
+def stored_candidates(docs: DataFrame, key: str, text: str, path: str | None, known: Words) -> DataFrame:
+    """Candidates of all documents, stored once for training and judging."""
+    return written_once(candidates(docs, key, text, path, known), "candidates")
