@@ -200,3 +200,14 @@ def number_rows(
     runs = runs.select(*within, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     numbered = placed.join(F.broadcast(runs), [*within, "_part"])
     return numbered.withColumn(out, F.col("_start") + F.col("_pos") - F.col("_first")).select(*df.columns, out)
+
+
+def positions(df: DataFrame, out: str = "position") -> DataFrame:
+    """Zero-based numbers of the rows as they lie: partition by partition, in the order within each."""
+    bits = 33
+    placed = written_once(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumns({"_part": F.shiftright("_at", bits), "_pos": F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))  # one row a partition
+    return placed.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_pos")).select(*df.columns, out)

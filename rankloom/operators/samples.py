@@ -188,6 +188,11 @@ def union_by_name(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
+def order_by_score(df: DataFrame, score: str, ties: Sequence[str]) -> DataFrame:
+    """Best score first, missing scores last; equal ones by ``ties``.  A range sort over all partitions."""
+    return df.orderBy(F.col(score).desc_nulls_last(), *ties)
+
+
 def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int = 11) -> DataFrame:
     """Reproducible shuffle: order by a seeded hash of the key."""
     return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys)

@@ -204,3 +204,44 @@ def read_multi_labels(spark, sf_dir):
     lines.write.text(path)
     rows = annotations.read_multi_labels(spark, path, multi=True)
     return rows.select("image", F.array_join("labels", " ").alias("labels"))
+
+
+@query(
+    "read_class_lists",
+    """SELECT l_linestatus AS split, l_returnflag AS category, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS images
+FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2""",
+)
+def read_class_lists(spark, sf_dir):
+    """One list for each class and split, written from all rows; flags 1, 0 and -1."""
+    root = scratch_path(spark, "lists")
+    flag = F.when(F.col("l_quantity") > 25, "1").when(F.col("l_quantity") > 20, "0").otherwise("-1")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.concat_ws("  ", F.col("l_orderkey").cast("string"), flag).alias("value")
+    )
+    for category in "ANR":
+        for split in "FO":
+            mine = (F.col("l_returnflag") == category) & (F.col("l_linestatus") == split)
+            rows.where(mine).select("value").write.text(f"{root}/{category}_{split}.txt")
+    found = annotations.read_class_lists(spark, root)
+    return found.groupBy("split", "category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("image").cast("bigint")).alias("images"))
+
+
+FOLDERS = ["bird", "cat", "cow", "dog", "horse", "sheep", "tree"]
+
+
+@query(
+    "read_labelled_dirs",
+    f"""SELECT category, CAST(list_position({FOLDERS!r}, category) - 1 AS INTEGER) AS label, 4 AS files, count(*) AS n
+FROM (SELECT ({FOLDERS!r})[l_linenumber] AS category FROM lineitem) WHERE category <> 'tree' GROUP BY 1""",
+)
+def read_labelled_dirs(spark, sf_dir):
+    """All rows in folders by class, four files each; a folder of no class is left out."""
+    root = scratch_path(spark, "folders")
+    rows = table(spark, sf_dir, "lineitem").withColumn("value", F.col("l_orderkey").cast("string"))
+    for number, category in enumerate(FOLDERS, 1):
+        rows.where(F.col("l_linenumber") == number).select("value").repartition(4).write.text(f"{root}/{category}")
+    files = annotations.read_labelled_dirs(spark, root)
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    name = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+)$", 1).alias("file")
+    found = files.select("category", "label", name("path")).join(lines.select(name("path"), "n"), "file", "left")
+    return found.groupBy("category", "label").agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("n").alias("n"))

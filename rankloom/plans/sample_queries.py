@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import arrays, scalars, vectors
 from rankloom.operators import encoders, joins, samples
+from rankloom.operators.chunks import positions
 from rankloom.plans.metric_queries import LABEL
 from rankloom.plans.registry import query, table
+from rankloom.session import scratch_path
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 RAND = "(CAST((CAST(l_orderkey AS HUGEINT) * 2654435761) % 1000 AS DOUBLE) / 1000)"
@@ -118,12 +120,24 @@ def head_split(spark, sf_dir):
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@query("file_split", "SELECT 1 AS sides, count(*) AS n FROM lineitem")
+@query("file_split", "SELECT 16 AS files, 0 AS on_both_sides, true AS split, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem")
 def file_split(spark, sf_dir):
-    """A one-file table falls wholly on one side; the row total never changes."""
-    train, valid = samples.file_split(table(spark, sf_dir, "lineitem"), 0.2)
-    both = train.select(F.lit("train").alias("side")).unionByName(valid.select(F.lit("valid").alias("side")))
-    return both.agg(F.count_distinct("side").cast("int").alias("sides"), F.count(F.lit(1)).alias("n"))
+    """Sixteen files of all rows: each falls wholly on one side, both sides have some, and no row is lost."""
+    root = scratch_path(spark, "files")
+    table(spark, sf_dir, "lineitem").repartition(16).write.parquet(root)
+    sides = samples.file_split(spark.read.parquet(root), 0.5)
+    name = F.col("_metadata.file_name").alias("file")
+    train, valid = (df.select(F.lit(n).alias("side"), name, "l_orderkey") for n, df in zip(("train", "valid"), sides))
+    files = train.unionByName(valid).groupBy("file").agg(
+        F.count_distinct("side").alias("sides"), F.max("side").alias("side"), F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys")
+    )
+    return files.agg(
+        F.count(F.lit(1)).cast("int").alias("files"),
+        F.count_if(F.col("sides") > 1).cast("int").alias("on_both_sides"),
+        (F.count_distinct("side") == 2).alias("split"),
+        F.sum("n").alias("n"),
+        F.sum("keys").alias("keys"),
+    )
 
 
 @query(
@@ -237,11 +251,13 @@ def top_n(spark, sf_dir):
 
 @query(
     "order_by_score",
-    "SELECT l_orderkey, l_linenumber, l_discount AS probability FROM lineitem ORDER BY l_discount DESC, l_orderkey, l_linenumber",
+    """SELECT l_orderkey, l_linenumber, l_discount AS probability,
+row_number() OVER (ORDER BY l_discount DESC, l_orderkey, l_linenumber) - 1 AS position FROM lineitem""",
 )
 def order_by_score(spark, sf_dir):
+    """Every row with the place it has come to."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("probability"))
-    return rows.orderBy(F.col("probability").desc(), "l_orderkey", "l_linenumber")
+    return positions(samples.order_by_score(rows, "probability", ["l_orderkey", "l_linenumber"]))
 
 
 @query(
@@ -265,15 +281,36 @@ def union_by_name(spark, sf_dir):
     return samples.union_by_name(customers, suppliers)
 
 
-@query("shuffle_rows", "SELECT o_orderkey FROM orders")
+@query(
+    "shuffle_rows",
+    "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, CAST(sum(n) AS BIGINT) AS places, true AS moved, true AS again FROM (SELECT o_orderkey, row_number() OVER () - 1 AS n FROM orders)",
+)
 def shuffle_rows(spark, sf_dir):
-    return samples.shuffle_rows(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    """All keys once and all places once; hardly a row stays where it would be by key, and a second run gives the same places."""
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    run = lambda df, out: positions(samples.shuffle_rows(df, ["o_orderkey"]), out)
+    sorted_ = positions(keys.orderBy("o_orderkey"), "sorted")
+    both = run(keys, "one").join(run(keys.repartition(7), "two"), "o_orderkey").join(sorted_, "o_orderkey")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_orderkey").alias("keys"),
+        F.sum("one").alias("places"),
+        (F.avg((F.col("one") != F.col("sorted")).cast("int")) > 0.9).alias("moved"),
+        (F.count_if(F.col("one") != F.col("two")) == 0).alias("again"),
+    )
 
 
-@query("repartition_for_training", f"SELECT {LABEL} AS label, count(*) AS n FROM lineitem GROUP BY 1")
+@query("repartition_for_training", "SELECT 16 AS partitions, true AS even, true AS held, count(*) AS n FROM lineitem")
 def repartition_for_training(spark, sf_dir):
+    """Sixteen partitions of about the same size, held in memory until they are released."""
     even = samples.repartition_for_training(sample_table(spark, sf_dir).select("label"), 16)
-    return even.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    try:
+        sizes = even.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        row = sizes.agg(F.count(F.lit(1)), F.max("n") <= 1.1 * F.avg("n") + 8, F.sum("n")).first()
+        held = even.storageLevel.useMemory and even.storageLevel.useDisk
+    finally:
+        even.unpersist()
+    return spark.createDataFrame([(row[0], row[1], held, row[2])], "partitions int, even boolean, held boolean, n bigint")
 
 
 # ---------------------------------------------------------------- dictionaries

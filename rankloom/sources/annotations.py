@@ -54,13 +54,16 @@ def read_object_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_class_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(split, image, category) from files ``<category>_<split>.txt`` with lines ``image flag``; flag 1 only."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)_([^_]+)\.txt$", 1)
-    split = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)_([^_]+)\.txt$", 2)
+    """(split, image, category) from lists ``<category>_<split>.txt`` with lines ``image flag``; flag 1 only.
+
+    A list is a file or a folder of files; other files are left out.
+    """
+    whole = r"/([^/]+)_([^/_]+)\.txt(?:/[^/]*)?$"
+    part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), whole, i)
     words = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.option("pathGlobFilter", "*_*.txt").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).where(part(1) != "")
     return lines.where(F.element_at(words, -1) == "1").select(
-        split.alias("split"), words[0].alias("image"), name.alias("category")
+        F.url_decode(part(2)).alias("split"), words[0].alias("image"), F.url_decode(part(1)).alias("category")
     )
 
 
