@@ -44,8 +44,8 @@ from rankloom.operators.sizing import broadcast_if_small
 from rankloom.session import shuffle_width
 
 WINDOW, GRAM = 50, 16
-#: windows in a slice; words of the slices in a shard; different slices of a key that stay together
-LONGEST, SHARD_WORDS, HOT = 64, 1 << 16, 64
+#: windows in a slice; words of the slices in a shard; different slices of a key that stay together, about as many as fill a shard
+LONGEST, SHARD_WORDS, HOT = 64, 1 << 16, 1024
 #: bytes of keys, of automata and of spans that are broadcast
 BROADCAST_BYTES, SPAN_BYTES = 64 << 20, 64 << 20
 #: what a word takes in an automaton at most (two states, three transitions, a code); usual bytes of a word and its space
