@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.session import scratch_path, shuffle_width
 
@@ -51,21 +52,28 @@ def quantile_cuts(df: DataFrame, value: str, parts: int) -> list[float]:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], parts: int) -> list[tuple]:
-    """Keys of the groups with more than one ``parts``-th of all rows: fewer than ``parts``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
+    """Keys of the groups with more than one ``parts``-th of all rows: fewer than ``parts``.
+
+    One scan of ``df``; the counts of the groups are stored and read twice.
+    """
+    counts = written_once(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     return [tuple(r[:-1]) for r in counts.where(F.col("_n") * parts > total).collect()]
 
 
-def in_groups(keys: Sequence[str], groups: Sequence[tuple]) -> Column:
-    """Whether a row belongs to one of the groups; null is a key like any other."""
-    found = F.lit(False)
-    for group in groups:
-        same = F.lit(True)
-        for key, value in zip(keys, group):
-            same = same & F.col(key).eqNullSafe(F.lit(value))
-        found = found | same
-    return found
+def flag_groups(df: DataFrame, keys: Sequence[str], groups: Sequence[tuple], out: str = "_hot") -> DataFrame:
+    """``df`` with a flag for the rows of ``groups``; null is a key like any other.
+
+    The groups (fewer than there are shuffle partitions) are joined as a
+    broadcast table, so a row costs one lookup however many they are.
+    """
+    if not keys or not groups:
+        return df.withColumn(out, F.lit(bool(groups)))
+    names = [f"_hot{i}" for i in range(len(keys))]
+    schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
+    wanted = df.sparkSession.createDataFrame([tuple(g) for g in groups], schema).withColumn(out, F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return df.join(F.broadcast(wanted), same, "left").withColumn(out, F.coalesce(out, F.lit(False))).drop(*names)
 
 
 def has_heavy_values(cuts: Sequence[float]) -> bool:

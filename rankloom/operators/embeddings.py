@@ -17,6 +17,7 @@ from rankloom.checks import require_columns
 from rankloom.functions import arrays
 from rankloom.functions.scalars import sigmoid
 from rankloom.operators.sizing import broadcast_if_small, measured_bytes
+from rankloom.session import shuffle_width
 
 
 def lookup_embeddings(
@@ -250,52 +251,88 @@ def pairwise_interaction(embeddings: Column, dim: int) -> Column:
     return F.transform(fm_second_order(embeddings, dim), lambda v: v / n)
 
 
-def column_means(df: DataFrame, column: str) -> np.ndarray:
-    """Per-slot means; only as many numbers as the vector has slots reach the driver."""
-    vector = array_to_vector(F.col(column).cast("array<double>"))
-    return np.array(df.select(Summarizer.mean(vector).alias("m")).first()[0].toArray())
+MOMENTS = "grp int, n bigint, mean array<double>, spread array<double>"
 
 
-def group_covariance(
-    df: DataFrame, column: str, m: int, epsilon: float = 1e-3, means: Sequence[float] | None = None
-) -> DataFrame:
-    """(grp, i, j, cov): covariance inside each group of ``m`` neighbouring slots,
-    shrunk to (1 - eps) C + eps I.
+def merged_moments(parts: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, means and centred products of each group from those of its parts, which may come in any order."""
+    held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    for grp, n, mean, spread in parts:
+        if grp in held:
+            m, old, products = held[grp]
+            gap = mean - old
+            products = products + spread + np.outer(gap, gap) * (m * n / (m + n))
+            held[grp] = (m + n, old + gap * (n / (m + n)), products)
+        elif n:
+            held[grp] = (n, mean, spread)
+    return held
 
-    Each task turns its rows into one m x m product per group; Spark adds the
-    products up.
+
+def group_moments(df: DataFrame, column: str, m: int) -> DataFrame:
+    """(grp, n, mean, spread) of each group of ``m`` neighbouring slots; ``spread`` is the m x m matrix of centred products.
+
+    One pass: every task centres its rows on its own means, and the parts are
+    merged in two levels, first by about the square root of the tasks, so that
+    no task takes a part from every other.  Rows without a vector are left out.
     """
     require_columns(df, [column])
-    center = np.asarray(means) if means is not None else column_means(df, column)
-    groups = len(center) // m
-    if groups * m != len(center):
-        raise ValueError(f"{len(center)} slots do not split into groups of {m}")
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((groups, m, m)), 0
-        for batch in batches:
-            if len(batch):
-                x = (np.stack(batch["x"].to_numpy()) - center).reshape(-1, groups, m)
-                total += np.einsum("ngi,ngj->gij", x, x)
-                n += len(x)
-        if n:
-            yield pd.DataFrame(
-                {"grp": np.arange(groups), "n": np.full(groups, n), "gram": [g.ravel() for g in total]}
-            )
-
-    partial = df.select(F.col(column).cast("array<double>").alias("x")).mapInPandas(
-        products, "grp int, n bigint, gram array<double>"
-    )
-    summed = partial.groupBy("grp").agg(
-        F.sum("n").alias("n"), Summarizer.sum(array_to_vector(F.col("gram"))).alias("gram")
-    )
-    cell = summed.select("grp", "n", F.posexplode(vector_to_array("gram")).alias("at", "g"))
+    spark = df.sparkSession
+    rows = df.select(F.col(column).cast("array<double>").alias("x")).where(F.col("x").isNotNull())
+
+    def out(held: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        if held:
+            yield pd.DataFrame([(g, n, mean, spread.ravel()) for g, (n, mean, spread) in held.items()], columns=["grp", "n", "mean", "spread"])
+
+    def centred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            for batch in batches:
+                if len(batch):
+                    x = np.stack(batch["x"].to_numpy())
+                    if x.shape[1] % m:
+                        raise ValueError(f"{x.shape[1]} slots do not split into groups of {m}")
+                    x = x.reshape(len(x), -1, m)
+                    means = x.mean(axis=0)
+                    x = x - means
+                    spread = np.einsum("ngi,ngj->gij", x, x)
+                    yield from ((g, len(x), means[g], spread[g]) for g in range(len(means)))
+
+        yield from out(merged_moments(parts()))
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = (
+            (int(g), int(n), np.asarray(mean), np.asarray(spread).reshape(m, m))
+            for batch in batches
+            for g, n, mean, spread in zip(batch["grp"], batch["n"], batch["mean"], batch["spread"])
+        )
+        yield from out(merged_moments(parts))
+
+    width = shuffle_width(spark)
+    partial = rows.mapInPandas(centred, MOMENTS)
+    middle = partial.withColumn("_salt", F.spark_partition_id() % max(2, round(width**0.5))).repartition(width, "grp", "_salt")
+    return middle.drop("_salt").mapInPandas(merged, MOMENTS).repartition("grp").mapInPandas(merged, MOMENTS)
+
+
+def covariance_of(moments: DataFrame, m: int, epsilon: float = 1e-3, means: Sequence[float] | None = None) -> DataFrame:
+    """(grp, i, j, cov) of stored or computed moments, about their means or the given ones."""
+    cell = moments.select("grp", "n", "mean", F.posexplode("spread").alias("at", "g"))
     i, j = F.floor(F.col("at") / m).cast("int"), (F.col("at") % m).cast("int")
-    raw = F.col("g") / (F.col("n") - 1)
-    shrunk = raw * (1.0 - epsilon) + F.when(i == j, F.lit(epsilon)).otherwise(0.0)
+    products = F.col("g")
+    if means is not None:
+        given = F.array(*[F.lit(float(v)) for v in means])
+        off = lambda k: F.get("mean", k) - F.get(given, F.col("grp") * m + k)
+        products = products + F.col("n") * off(i) * off(j)
+    shrunk = products / (F.col("n") - 1) * (1.0 - epsilon) + F.when(i == j, F.lit(epsilon)).otherwise(0.0)
     return cell.select("grp", i.alias("i"), j.alias("j"), shrunk.alias("cov"))
 
 
+def group_covariance(
+    df: DataFrame, column: str, m: int, epsilon: float = 1e-3, means: Sequence[float] | None = None
+) -> DataFrame:
+    """(grp, i, j, cov): covariance inside each group of ``m`` neighbouring slots,
+    shrunk to (1 - eps) C + eps I.  See ``group_moments``."""
+    return covariance_of(group_moments(df, column, m), m, epsilon, means)
+
+
 class Whitening:
     """Per-group whitening: subtract the mean, multiply by the inverse square root of the covariance.
 
@@ -341,13 +378,10 @@ class Whitening:
     def fit(
         df: DataFrame, column: str, m: int, kind: str = "zca", epsilon: float = 1e-3, iterations: int = 5
     ) -> Whitening:
-        means = column_means(df, column)
-        groups = len(means) // m
-        covariance = np.zeros((groups, m, m))
-        for row in group_covariance(df, column, m, epsilon, means).collect():  # groups * m * m numbers
-            covariance[row["grp"], row["i"], row["j"]] = row["cov"]
+        rows = sorted(group_moments(df, column, m).collect())  # m * (m + 1) numbers for each group
+        covariance = [np.array(r["spread"]).reshape(m, m) / (r["n"] - 1) * (1 - epsilon) + epsilon * np.eye(m) for r in rows]
         roots = np.stack([Whitening.inverse_root(c, kind, epsilon, iterations) for c in covariance])
-        return Whitening(means, roots)
+        return Whitening(np.concatenate([np.array(r["mean"]) for r in rows]), roots)
 
     def transform(self, df: DataFrame, column: str, out: str = "whitened") -> DataFrame:
         means, matrices = self.means, self.matrices

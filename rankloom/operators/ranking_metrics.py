@@ -18,8 +18,8 @@ from rankloom.operators.chunks import (
     before_in_chunk,
     exact_quantiles,
     has_heavy_values,
+    flag_groups,
     hot_groups,
-    in_groups,
     number_rows,
     quantile_cuts,
     value_histogram,
@@ -45,21 +45,21 @@ def rank_sum(
     base = df.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
     width = shuffle_width(df.sparkSession)
     hot = hot_groups(base, keys, width) if keys else [()]
-    large = in_groups(keys, hot)
+    large = F.col("_hot")
     if not hot:
         cuts = [0.0, 1.0]  # every group is ordered as a whole
     elif cuts is None:
-        cuts = quantile_cuts(base.where(large), "_s", width)
+        cuts = quantile_cuts(flag_groups(base, keys, hot).where(large), "_s", width)
     scored = F.col("_s").isNotNull()
     marks = {"_p": (F.col("_y") == 1.0) & scored, "_n": (F.col("_y") == 0.0) & scored, "_d": ~scored}
     if has_heavy_values(cuts):
         hist = value_histogram(base, keys, "_s", [F.count_if(c).cast("double").alias(n) for n, c in marks.items()], cuts)
-        hist = hist.withColumn(CHUNK, F.when(large, F.col(CHUNK)).otherwise(0))
+        hist = flag_groups(hist, keys, hot).withColumn(CHUNK, F.when(large, F.col(CHUNK)).otherwise(0))
         below = F.coalesce(F.sum("_n").over(before_in_chunk(keys, "_s")), F.lit(0.0))
         placed = hist.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
         wins = F.sum("_w")
     else:
-        rows = with_chunk(base.withColumns({n: c.cast("double") for n, c in marks.items()}), "_s", cuts)
+        rows = with_chunk(flag_groups(base, keys, hot).withColumns({n: c.cast("double") for n, c in marks.items()}), "_s", cuts)
         # rows without a score have no range; they are only counted, wherever they are
         anywhere = -1 - F.spark_partition_id() % width
         rows = rows.withColumn(CHUNK, F.when(large, F.coalesce(F.col(CHUNK), anywhere)).when(F.col("_s").isNull(), -1).otherwise(0))
@@ -202,7 +202,8 @@ def rank_in_group(df: DataFrame, group: str, score: str) -> DataFrame:
     require_columns(df, [group, score])
     base, width = df.withColumn("_s", F.col(score).cast("double")), shuffle_width(df.sparkSession)
     hot = hot_groups(base, [group], width)
-    large = in_groups([group], hot) & F.col("_s").isNotNull()
+    base = flag_groups(base, [group], hot)
+    large = F.col("_hot") & F.col("_s").isNotNull()
     peers = F.count(F.lit(1)).over(Window.partitionBy(group, "_s"))
     order = Window.partitionBy(group).orderBy(F.col("_s").asc_nulls_last())
     small = base.where(~large).withColumn(
@@ -237,7 +238,8 @@ def position_in_group(
     rows = df.where(F.col(group).isNotNull()).withColumn("_s", F.col(score).cast("double")).where("_s IS NOT NULL")
     order = [F.col("_s").desc(), *[F.col(t).asc() for t in tie]]
     hot = hot_groups(rows, [group], shuffle_width(df.sparkSession))
-    large = in_groups([group], hot)
+    rows = flag_groups(rows, [group], hot)
+    large = F.col("_hot")
     small = rows.where(~large).withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint"))
     small = small.select(*df.columns, out)
     if not hot:

@@ -66,6 +66,10 @@ SPARSE_CONCATENATED = [
 SPARSE_SEPARATE = [("cspu_id", "cspu_idx"), ("supplier_id", "supplier_idx"), ("back_lv2", "level2_idx")]
 
 VOCABULARY = {
+    "buy_time": 50,
+    "is_click": 2,
+    "is_cart": 2,
+    "is_buy": 2,
     "level1_idx": 100,
     "level2_idx": 500,
     "level3_idx": 2000,
@@ -80,10 +84,6 @@ VOCABULARY = {
     "week": 10,
     "hour": 30,
     "is_week": 3,
-    "buy_time": 50,
-    "is_click": 2,
-    "is_cart": 2,
-    "is_buy": 2,
 }
 
 # (part of realtime_features, width, vocabulary width of each slot); None = not used

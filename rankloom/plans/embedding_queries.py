@@ -159,6 +159,23 @@ for _kind in emb.Whitening.KINDS:
     query(f"whitening_{_kind}")(_whitened(_kind))
 
 
+@query(
+    "whitening_identity",
+    f"""
+SELECT kind, CAST(grp AS INTEGER) AS grp, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS cov
+FROM (SELECT unnest({list(emb.Whitening.KINDS)!r}) AS kind), range(4) g(grp), range(16) a(i), range(16) b(j) WHERE (SELECT count(*) FROM embeddings) > 16""",
+)
+def whitening_identity(spark, sf_dir):
+    """The covariance of whitened vectors is the identity, to two places, for every kind."""
+    rows = vectors(spark, sf_dir).select(F.transform("embedding", lambda v: v * 100.0).alias("x"))
+    found = None
+    for kind in emb.Whitening.KINDS:
+        white = emb.Whitening.fit(rows, "x", 16, kind, 1e-6, 40).transform(rows, "x")
+        one = emb.group_covariance(white, "whitened", 16, 0.0).select(F.lit(kind).alias("kind"), "grp", "i", "j", (F.round("cov", 2) + 0.0).alias("cov"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 # ------------------------------------------------------------------ channels and masks
 
 

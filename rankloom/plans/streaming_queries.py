@@ -251,3 +251,31 @@ def stream_counter_slots(spark, sf_dir):
         )
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+def _moving_cov_sql() -> str:
+    """Three arriving parts of the embeddings; each moves what the ones before have left."""
+    part = "vec_id * 3 // (SELECT max(vec_id) + 1 FROM embeddings)"
+    long = f"(SELECT vec_id, {part} AS part, unnest(generate_series(0, 63)) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+    moved = lambda x: f"0.9 * (0.9 * {x(0)} + 0.1 * {x(1)}) + 0.1 * {x(2)}"
+    eye = "CASE WHEN x.c = y.c THEN 0.001 ELSE 0 END"
+    cov = moved(lambda k: f"(0.999 * covar_samp(x.v, y.v) FILTER (WHERE x.part = {k}) + {eye})")
+    mean = moved(lambda k: f"avg(v) FILTER (WHERE part = {k})")
+    return f"""
+WITH a AS {long}
+SELECT CAST(x.c // 16 AS INTEGER) AS grp, CAST(x.c % 16 AS INTEGER) AS i, CAST(y.c % 16 AS INTEGER) AS j, round({cov}, 6) + 0.0 AS value
+FROM a x JOIN a y ON x.vec_id = y.vec_id AND x.c // 16 = y.c // 16 GROUP BY x.c, y.c
+UNION ALL SELECT CAST(c // 16 AS INTEGER), CAST(c % 16 AS INTEGER), -1, round({mean}, 6) + 0.0 FROM a GROUP BY c"""
+
+
+@query("stream_moving_covariance", _moving_cov_sql())
+def stream_moving_covariance(spark, sf_dir):
+    """Moving means and covariances over three micro-batches."""
+    rows = table(spark, sf_dir, "embeddings")
+    top = rows.agg(F.max("vec_id") + 1).first()[0]
+    root = scratch_path(spark, "vectors-in")
+    for k in range(3):
+        rows.where(F.floor(F.col("vec_id") * 3 / top) == k).write.parquet(f"{root}/part={k}")
+    state = scratch_path(spark, "covariance")
+    learning.stream_moving_covariance(file_stream(spark, rows.schema, root), "embedding", 16, state, scratch_path(spark, "ckpt"), 0.9).awaitTermination()
+    return VersionedTable(spark, state).latest().select("grp", "i", "j", (F.round("value", 6) + 0.0).alias("value"))

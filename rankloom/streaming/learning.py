@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.functions import arrays
 from rankloom.functions.scalars import sigmoid
-from rankloom.operators.embeddings import moving_stats
+from rankloom.operators.chunks import written_once
+from rankloom.operators.embeddings import covariance_of, group_moments, moving_stats
 from rankloom.operators.encoders import new_entries
 from rankloom.streaming.versions import VersionedTable
 
@@ -139,3 +140,22 @@ def stream_moving_means(
         table.write(batch_id, moving_stats(table.latest(below=batch_id), slot_means(batch, features), ["slot"], momentum))
 
     return start_batches(stream, handler, checkpoint)
+
+
+def stream_moving_covariance(
+    stream: DataFrame, features: str, m: int, root: str, checkpoint: str, momentum: float = 0.99, epsilon: float = 1e-3, fold_every: int = 100
+) -> StreamingQuery:
+    """Exponential moving mean and shrunk covariance of groups of ``m`` slots: one version per micro-batch.
+
+    A row is (grp, i, j, value); means have j = -1.  Each batch is read once.
+    A batch of one row, or none, moves nothing.
+    """
+    table = VersionedTable(stream.sparkSession, root)
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        moments = written_once(group_moments(batch, features, m).where("n > 1"), "moments")
+        means = moments.select("grp", F.posexplode("mean").alias("i", "value")).withColumn("j", F.lit(-1))
+        both = covariance_of(moments, m, epsilon).withColumnRenamed("cov", "value").unionByName(means)
+        table.write(batch_id, moving_stats(table.latest(below=batch_id), both, ["grp", "i", "j"], momentum))
+
+    return start_batches(stream, handler, checkpoint)
