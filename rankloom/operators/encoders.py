@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.checks import require_columns
-from rankloom.operators.chunks import number_rows
+from rankloom.operators.chunks import number_rows, written_once
 from rankloom.operators.samples import dedup
 from rankloom.operators.sizing import BROADCAST_LIMIT, ROW_OVERHEAD, broadcast_if_small
+from rankloom.session import scratch_path, shuffle_width
 
 UNKNOWN = -1
 
@@ -96,29 +97,76 @@ def dictionary_bytes(dictionary: DataFrame, columns: Sequence[str]) -> dict[str,
     return {r["column"]: int(r["n"]) for r in rows}
 
 
+def within_budget(sizes: dict[str, int], columns: Sequence[str], budget: int) -> list[str]:
+    """The columns whose dictionaries are broadcast: the smallest first, while all together stay within the budget."""
+    chosen, used = [], 0
+    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), c)):
+        used += sizes.get(c, 0)
+        if used > budget:
+            break
+        chosen.append(c)
+    return chosen
+
+
 def encode_columns(
     df: DataFrame, dictionary: DataFrame, columns: Sequence[str], broadcast_limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
     """Replace each value by its number; unseen and NULL become -1.
 
-    A column whose entries measure at most ``broadcast_limit`` bytes is looked
-    up in place, without moving the data; a larger one is a shuffled join in
-    which adaptive execution splits the partitions of very frequent values.
+    Columns whose dictionaries together measure at most ``broadcast_limit``
+    bytes are looked up in place, without moving the data.  All others are
+    looked up at once, see ``encode_long``: two moves of the data however many
+    columns there are.
     """
     require_columns(df, columns)
-    order = df.columns
     sizes = dictionary_bytes(dictionary, columns)
-    for c in columns:
+    small = within_budget(sizes, columns, broadcast_limit)
+    order, large = df.columns, [c for c in columns if c not in small]
+    if large:
+        df = encode_long(df, dictionary, large)
+    for c in small:
         entries = dictionary.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("idx").alias("_idx")
         )
-        if sizes.get(c, 0) <= broadcast_limit:
-            entries = F.broadcast(entries)
-        df = df.withColumn("_key", trimmed(c)).join(entries, F.col("_key") == F.col("_value"), "left")
+        df = df.withColumn("_key", trimmed(c)).join(F.broadcast(entries), F.col("_key") == F.col("_value"), "left")
         df = df.withColumn(c, F.coalesce("_idx", F.lit(UNKNOWN).cast("bigint"))).drop("_key", "_value", "_idx")
     return df.select(*order)
 
 
+def encode_long(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``encode_columns`` by one join: a row for each (row, column, value), and one regrouping by row.
+
+    The rest of a row travels with its first value only.  Rows are numbered
+    and stored first, so that a repeated task gives them the same numbers.
+    A dictionary that is bucketed by column and value (``save_bucketed``) does
+    not move.  Very frequent values are split by adaptive execution.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    rows = written_once(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    payload = F.struct(*[F.col(c) for c in rest], F.lit(0).alias("_"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), trimmed(c).alias("value"), F.lit(i).alias("at")) for i, c in enumerate(columns)])
+    long = rows.select("_row", payload.alias("_rest"), F.inline(cells))
+    long = long.withColumn("_rest", F.when(F.col("at") == 0, F.col("_rest")))
+    # the entries are few columns of text and number; the rows keep their side of the join
+    entries = dictionary.select(F.col("column").alias("_c"), F.col("value").alias("_v"), F.col("idx").alias("_idx"))
+    found = long.join(entries, (F.col("column") == F.col("_c")) & (F.col("value") == F.col("_v")), "left")
+    codes = [F.max(F.when(F.col("at") == i, F.col("_idx"))).alias(c) for i, c in enumerate(columns)]
+    packed = found.groupBy("_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *codes)
+    unknown = [F.coalesce(c, F.lit(UNKNOWN).cast("bigint")).alias(c) for c in columns]
+    return packed.select(*[F.col("_rest").getField(c).alias(c) for c in rest], *unknown).select(*df.columns)
+
+
+def save_bucketed(dictionary: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """Store a dictionary as a table bucketed and sorted by column and value, ready for joins in which it does not move.
+
+    Its files lie in a fresh scratch folder.
+    """
+    spark = dictionary.sparkSession
+    writer = dictionary.select("column", "value", "idx").write.bucketBy(buckets or shuffle_width(spark), "column", "value")
+    writer.sortBy("column", "value").option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 class FrequencyEncoder:
     """fit / transform / extend over a chosen set of columns."""
 

@@ -6,11 +6,15 @@ item = props.k; windows end at 2024-01-31.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from rankloom.operators import behaviour as bh
+from rankloom.operators.daily_counts import RollingCounts
 from rankloom.plans.contract import HORIZONS, LONG_LENGTH, SHORT_LENGTH, TOTAL_HORIZONS
 from rankloom.plans.registry import query, table
+from rankloom.session import scratch_path
 
 ASOF_TEXT = "2024-01-31 00:00:00"
 KINDS = {"imp": "view", "click": "click", "cart": "signup", "buy": "purchase"}
@@ -173,3 +177,30 @@ def passtime(spark, sf_dir):
 def gap_minutes(spark, sf_dir):
     out = bh.gap_minutes(table(spark, sf_dir, "events"), ["user_id", "event_type"], tie=["event_id"])
     return out.select("event_id", "gap")
+
+
+#: days rolled one by one before the windows end
+ROLLED, ROLL_HORIZONS = 20, [1, 3, 7, 14, 30]
+_ROLLED_COUNTS = ", ".join(
+    f"count(*) FILTER (WHERE event_type = '{v}' AND ts >= {ASOF_SQL} - INTERVAL {h} DAY) AS {n}_{h}d" for h in ROLL_HORIZONS for n, v in KINDS.items()
+)
+
+
+@query(
+    "rolled_counts",
+    f"""SELECT user_id, {_ROLLED_COUNTS} FROM events
+WHERE ts < {ASOF_SQL} AND ts >= {ASOF_SQL} - INTERVAL 30 DAY AND event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY 1""",
+)
+def rolled_counts(spark, sf_dir):
+    """Counts that were moved day by day for twenty days; each step reads the events of its day alone."""
+    events = table(spark, sf_dir, "events")
+    counts = RollingCounts(spark, scratch_path(spark, "rolled"), ["user_id"], KINDS, ROLL_HORIZONS)
+    last = date.fromisoformat(ASOF_TEXT[:10]) - timedelta(days=1)
+    first = last - timedelta(days=ROLLED)
+    for back in range(max(ROLL_HORIZONS)):
+        if last - timedelta(days=back) <= first:
+            counts.count_day(events, last - timedelta(days=back))
+    counts.rebuild(first)
+    for k in range(1, ROLLED + 1):
+        rolled = counts.roll(events, first + timedelta(days=k))
+    return rolled.select("user_id", *[F.col(n).cast("bigint").alias(n) for n in counts.names()])

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions.scalars import position_discount as discount
-from rankloom.operators import losses, ranking_metrics as rm
+from rankloom.operators import losses, ranking_metrics as rm, sketches
+from rankloom.operators.chunks import written_once
 from rankloom.operators.samples import dedup
 from rankloom.plans.registry import query, table
 
@@ -283,6 +284,52 @@ def score_deciles_approx(spark, sf_dir):
     return rm.score_deciles(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
+_SKETCHED = ["l_extendedprice", "l_quantity", "l_discount"]
+_SLICES = "strftime(l_shipdate, '%Y-%m') BETWEEN '1995-06' AND '2000-03'"
+
+
+def stored_sketches(spark, sf_dir):
+    """One row of sketches for each month and column, stored; then those of the wanted months merged."""
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("month")
+    rows = table(spark, sf_dir, "lineitem").select(month, *_SKETCHED, "l_partkey")
+    stored = written_once(sketches.sketch_columns(rows, ["month"], _SKETCHED, ["l_partkey"]), "sketches")
+    wanted = F.col("month").between("1995-06", "2000-03")
+    return sketches.merge_sketches(stored.where(wanted)), rows.where(wanted)
+
+
+@query(
+    "stored_sketch_deciles",
+    f"""SELECT c AS "column", p, (SELECT count(*) FROM lineitem WHERE {_SLICES}) AS n, true AS within
+FROM (SELECT unnest({_SKETCHED!r}) AS c), (SELECT unnest(range(1, 10)) / 10.0 AS p)""",
+)
+def stored_sketch_deciles(spark, sf_dir):
+    """Every decile's true rank range comes within the sketch's error of the decile asked for."""
+    merged, rows = stored_sketches(spark, sf_dir)
+    merged = written_once(merged, "merged")
+    found = sketches.sketched_quantiles(merged, [i / 10 for i in range(1, 10)])
+    values = {(r["column"], r["p"]): r["value"] for r in found.collect()}  # nine numbers for each column
+    pairs = [sketches.rank_between(F.col(c), F.lit(v)) for (c, _), v in values.items()]
+    ranks = rows.agg(*[x.alias(f"{side}{i}") for i, pair in enumerate(pairs) for side, x in zip("lh", pair)]).first()
+    within = [
+        (c, p, ranks[f"l{i}"] - sketches.RANK_ERROR <= p <= ranks[f"h{i}"] + sketches.RANK_ERROR) for i, (c, p) in enumerate(values)
+    ]
+    checked = spark.createDataFrame(within, "column string, p double, within boolean")
+    return checked.join(merged.select("column", "n"), "column").select("column", "p", "n", "within")
+
+
+@query(
+    "stored_sketch_distinct",
+    f"SELECT unnest({[*_SKETCHED, 'l_partkey']!r}) AS \"column\", true AS within FROM (SELECT count(*) FROM lineitem)",
+)
+def stored_sketch_distinct(spark, sf_dir):
+    """Estimated numbers of distinct values come within the sketch's error of the exact ones."""
+    merged, rows = stored_sketches(spark, sf_dir)
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in [*_SKETCHED, "l_partkey"]])
+    exact = exact.unpivot([], [*_SKETCHED, "l_partkey"], "column", "exact")
+    both = sketches.sketched_distinct(merged).join(exact, "column")
+    return both.select("column", (F.abs(F.col("distinct_values") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact") + 1).alias("within"))
+
+
 @query(
     "describe_scores",
     """SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std,

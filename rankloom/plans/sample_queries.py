@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -346,6 +348,22 @@ def encode_columns(spark, sf_dir):
     return encoders.FrequencyEncoder(PART_COLUMNS).fit(part).transform(part)
 
 
+@query(
+    "encode_columns_long",
+    f"""
+WITH d AS {PART_DICTIONARY}
+SELECT p_partkey, b.idx AS p_brand, t.idx AS p_type, n.idx AS p_name FROM part
+LEFT JOIN d b ON b.col = 'p_brand' AND b.v = trim(p_brand)
+LEFT JOIN d t ON t.col = 'p_type' AND t.v = trim(p_type)
+LEFT JOIN d n ON n.col = 'p_name' AND n.v = trim(p_name)""",
+)
+def encode_columns_long(spark, sf_dir):
+    """The same without any broadcast: one join with a bucketed dictionary for all columns, one regrouping."""
+    part = table(spark, sf_dir, "part").select("p_partkey", *PART_COLUMNS)
+    known = encoders.save_bucketed(encoders.fit_dictionary(part, PART_COLUMNS), f"dictionary_{uuid.uuid4().hex}")
+    return encoders.encode_columns(part, known, PART_COLUMNS, 0)
+
+
 _OLD = "l_shipdate < TIMESTAMP '1996-06-01'"
 _LINE_LONG = """(SELECT 'l_orderkey' AS col, CAST(l_orderkey AS VARCHAR) AS v, l_shipdate FROM lineitem
  UNION ALL SELECT 'l_partkey', CAST(l_partkey AS VARCHAR), l_shipdate FROM lineitem)"""

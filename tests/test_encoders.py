@@ -55,6 +55,29 @@ def test_encoding_is_the_same_with_and_without_broadcast(spark, tmp_path, limit)
     assert sorted(map(tuple, plan.collect())) == [(-1, 1), (0, 0), (1, -1), (2, 1)]
 
 
+def test_fifty_columns_move_the_rows_twice(spark, tmp_path):
+    names = [f"c{i}" for i in range(50)]
+    rows = [(k, *[None if (k + i) % 7 == 0 else f" v{(k * i) % 5}" for i in range(50)], {"x": k}) for k in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(["key int", *[f"{n} string" for n in names], "rest map<string,int>"]))
+    known = encoders.save_bucketed(encoders.fit_dictionary(df.where("key % 3 > 0"), names), "fifty_columns")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    dealt = encoders.encode_columns(df, known, names, 0)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "BroadcastExchange" not in plan
+    want = {r["key"]: r.asDict(True) for r in encoders.encode_columns(df, known, names).collect()}
+    assert {r["key"]: r.asDict(True) for r in dealt.collect()} == want and dealt.columns == df.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.sql("DROP TABLE fifty_columns")
+
+
+def test_the_broadcast_budget_covers_all_columns_together():
+    sizes = {f"c{i}": 10 * i for i in range(50)}
+    chosen = encoders.within_budget(sizes, list(sizes), 100)
+    assert chosen == ["c0", "c1", "c2", "c3", "c4"] and sum(sizes[c] for c in chosen) <= 100
+    assert encoders.within_budget(sizes, list(sizes), 10**6) == sorted(sizes, key=lambda c: (sizes[c], c))
+
+
 def test_first_extension_starts_at_zero_and_columns_are_independent(spark):
     df = spark.createDataFrame([("x", "p"), ("x", "q"), ("y", "q")], "a string, b string")
     got = entries(encoders.extend_dictionary(df, None, ["a", "b"]))
