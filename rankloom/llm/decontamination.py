@@ -1,12 +1,15 @@
 """Benchmark decontamination: find benchmark passages in training texts by their word n-grams.
 
 A window is ``n`` consecutive words of a benchmark item, or all words of a
-shorter item.  The hashes of all windows form the broadcast set; every document
-is cut into words once, each position's hash is looked up in the set, and a
-match counts only after the words themselves were compared.  Everything is
+shorter item.  The hashes of all windows, eight bytes each, form the broadcast
+set; every document is cut into words once and each position's hash is looked
+up in it.  Only the few positions found there have their words put together and
+compared with the window's: a match counts after that.  Everything is
 expressions inside generated code: one scan, one slim shuffle of (document,
-hits) rows.  The set is broadcast only while its measured size allows it; a
-larger one becomes a shuffled join on the hash.
+hits) rows.  The set is broadcast only while its measured size allows it; for a
+larger one (hash, document, position) rows meet the hashes in a shuffled join,
+and the words are looked at again only where documents have candidates.  Items
+are joined last, once for each window that a document holds.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import digest_of, free_name, join_rows, lower_ascii, split_words
-from rankloom.operators.sizing import broadcast_if_small
+from rankloom.operators.chunks import written_once
+from rankloom.operators.sizing import BROADCAST_LIMIT, broadcast_if_small, measured_bytes
 
 #: everything in ASCII that is neither a digit nor a small letter
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,45 +55,83 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, n: int = WINDO
     )
 
 
-def find_hits(docs: DataFrame, text: str, windows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+#: bytes of window hashes that are broadcast
+SET_LIMIT = BROADCAST_LIMIT
+
+
+def window_text(words: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
+
+
+def position_hashes(lengths: list[int]) -> Column:
+    """(len, key) for every window length at the position ``_at`` of ``_words``; no key where the text ends before."""
+    fits = lambda k: F.col("_at") + k <= F.col("_n")
+    return F.array(*[F.struct(F.lit(k).alias("len"), F.when(fits(k), window_hash(F.col("_words"), F.col("_at"), k)).alias("key")) for k in lengths])
+
+
+def candidate_hits(cut: DataFrame, hashes: DataFrame, lengths: list[int], limit: int) -> DataFrame:
+    """``cut`` (_row, _id, _words, _n) as (_row, _id, _n, _at, _len, _text): the windows whose hash is known, with their words.
+
+    A text without any has one row without a position.
+    """
+    if measured_bytes(hashes) <= limit:
+        spots = cut.select("*", F.posexplode_outer("_words").alias("_at", "_word"))
+        one = position_hashes(lengths)
+        spots = spots.withColumn("_k", one[0] if len(lengths) == 1 else F.explode(one))
+        spots = spots.select("_row", "_id", "_words", "_n", "_at", F.col("_k.key").alias("_hash"), F.col("_k.len").alias("_long"))
+        known = F.broadcast(hashes.withColumn("_known", F.lit(True)))
+        found = spots.join(known, (F.col("_hash") == F.col("_key")) & (F.col("_long") == F.col("_len")), "left")
+        found = found.where(F.col("_known") | F.col("_at").isNull() | (F.col("_at") == 0)).withColumn("_i", F.col("_at"))
+    else:
+        cut = written_once(cut, "cut")  # so that both uses see the same numbers
+        spots = cut.select("_id", "_words", "_n", F.posexplode("_words").alias("_at", "_word"))
+        spots = spots.select("_id", "_at", F.inline(position_hashes(lengths))).where("key IS NOT NULL")
+        # the rows that are dealt out hold two numbers and a position, never the text
+        spots = spots.join(hashes, (F.col("key") == F.col("_key")) & (F.col("len") == F.col("_len")), "left_semi")
+        places = spots.groupBy("_id").agg(F.collect_list(F.struct("_at", "len")).alias("_places"))
+        found = cut.join(places, "_id", "left").select("_row", "_id", "_words", "_n", F.posexplode_outer("_places").alias("_i", "_p"))
+        found = found.select("_row", "_id", "_words", "_n", F.col("_p._at").alias("_at"), F.col("_p.len").alias("_long"), F.col("_p").isNotNull().alias("_known"), "_i")
+    known = F.coalesce("_known", F.lit(False))
+    text = F.when(known, window_text(F.col("_words"), F.col("_at"), F.col("_long")))
+    once = F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_row"))  # the other columns travel with the first row of a text
+    return found.select(once.alias("_row"), "_id", "_n", F.when(known, F.col("_at")).alias("_at"), F.when(known, F.col("_long")).alias("_long"), text.alias("_text"))
+
+
+def find_hits(docs: DataFrame, text: str, windows: DataFrame, keep: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``n_words`` and ``hits``: (start, length, items) of each matching window.
 
     Rows are kept apart even if they are equal.  ``keep`` names the columns to
     carry (default: all); a column called like an output is replaced.  A text
     that is null or has no words has no hits, and an empty ``windows`` gives
-    none anywhere.
+    none anywhere.  Hashes of windows beyond ``limit`` bytes are not broadcast.
     """
-    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect()) or [1]  # at most n numbers
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_words", "hits")]
+    names = [f"c{i}" for i in range(len(keep))]
+    limit = SET_LIMIT if limit is None else limit
+    windows = written_once(windows, "windows")
+    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect()) or [1]  # at most n numbers
     cut = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row") if keep else F.lit(None).alias("_row"),
+        F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.lit(0).alias("_")).alias("_row"),
         F.monotonically_increasing_id().alias("_id"),
         normal_words(F.col(text)).alias("_words"),
-    )
-    spots = cut.select("_row", "_id", "_words", F.size("_words").alias("_n"), F.posexplode_outer("_words").alias("_at", "_word"))
-    fits = {k: F.col("_at") + k <= F.col("_n") for k in lengths}
-    keys = [
-        F.struct(F.lit(k).alias("len"), F.when(fits[k], window_hash(F.col("_words"), F.col("_at"), k)).alias("key"))
-        for k in lengths
-    ]
-    if len(keys) > 1:
-        spots = spots.withColumn("_k", F.explode(F.array(*keys)))
-    else:
-        spots = spots.withColumn("_k", keys[0])
-    spots = spots.select("*", F.col("_k.key").alias("_hash"), F.col("_k.len").alias("_long"))
-    same = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_long")), " ") == F.col("_window")
-    found = spots.join(
-        broadcast_if_small(windows), (F.col("_hash") == F.col("_key")) & (F.col("_long") == F.col("_len")) & same, "left"
-    )
-    # the first position keeps a row for documents without any hit
-    found = found.where(F.col("_window").isNotNull() | F.col("_at").isNull() | (F.col("_at") == 0))
-    hit = F.struct(F.col("_at").alias("start"), F.col("_len").alias("length"), F.col("_items").alias("items"))
+    ).withColumn("_n", F.size("_words"))
+    found = candidate_hits(cut, windows.select("_key", "_len").distinct(), lengths, limit)
+    # the words themselves are compared here; a window's place in the table stands for it from now on
+    texts = broadcast_if_small(windows.select(F.col("_window").alias("_w"), F.col("_len").alias("_l"), F.md5("_window").alias("_name")), limit)
+    found = found.join(texts, (F.col("_text") == F.col("_w")) & (F.col("_long") == F.col("_l")), "left")
+    hit = F.when(F.col("_name").isNotNull(), F.struct(F.col("_at").alias("start"), F.col("_long").alias("length"), F.col("_name").alias("name")))
     rows = found.groupBy("_id").agg(
-        F.first("_row", ignorenulls=True).alias("_row"),
-        F.max(F.col("_n").cast("bigint")).alias("n_words"),
-        F.array_sort(F.collect_list(F.when(F.col("_window").isNotNull(), hit))).alias("hits"),
+        F.first("_row", ignorenulls=True).alias("_row"), F.max(F.col("_n").cast("bigint")).alias("n_words"), F.collect_list(hit).alias("_hits")
     )
-    return rows.select(*[F.col("_row").getField(c).alias(c) for c in keep], "n_words", "hits")
+    rows = written_once(rows, "hits")
+    # items of the distinct windows of each text that has some
+    held = rows.where(F.size("_hits") > 0).select("_id", F.explode(F.array_distinct(F.transform("_hits", lambda h: h["name"]))).alias("_name"))
+    items = windows.select(F.md5("_window").alias("_name"), "_items").groupBy("_name").agg(F.flatten(F.collect_list("_items")).alias("_items"))
+    held = held.join(broadcast_if_small(items, limit), "_name").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_items"))).alias("_of"))
+    rows = rows.join(held, "_id", "left")
+    named = F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"), F.element_at("_of", h["name"]).alias("items")))
+    hits = F.when(F.size("_hits") > 0, F.array_sort(named)).otherwise(F.array().cast("array<struct<start:int,length:int,items:array<string>>>"))
+    return rows.select(*[F.col("_row").getField(n).alias(c) for c, n in zip(keep, names)], "n_words", hits.alias("hits"))
 
 
 def covered_words(hits: Column) -> Column:
@@ -119,10 +161,12 @@ def without_hits(text: Column, hits: Column) -> Column:
 
 
 def remove_spans(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, with every hit cut out of the text."""
-    found = find_hits(docs, text, windows)
-    clean = F.when(F.size("hits") > 0, without_hits(F.col(text), F.col("hits"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*[c for c in docs.columns if c in found.columns])
+    """All rows and columns of ``docs``, whatever they are called, with every hit cut out of the text."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    held = names[docs.columns.index(text)]
+    found = find_hits(docs.toDF(*names), held, windows)
+    clean = F.when(F.size("hits") > 0, without_hits(F.col(held), F.col("hits"))).otherwise(F.col(held))
+    return found.withColumn(held, clean).select(*names).toDF(*docs.columns)
 
 
 def remove_documents(docs: DataFrame, key: str, text: str, windows: DataFrame) -> DataFrame:

@@ -141,7 +141,9 @@ def planted_findings(docs: DataFrame, text: str, path: str | None, hosts: int =
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         (F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit("")).alias("path"),
     )
-    rows = rows.withColumn("h", F.xxhash64("text", "path")).orderBy("h", "text", "path").limit(hosts)
+    rows = rows.withColumn("h", F.xxhash64("text", "path"))
+    last = rows.select("h").distinct().orderBy("h").limit(hosts).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last).cast("bigint"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +155,13 @@ def planted_findings(docs: DataFrame, text: str, path: str | None, hosts: int =
                     at = draw.randrange(len(words))
                     kind, shown, value = plain_finding(draw, words) if i % 2 else secret_finding(draw)
                     near = [*words[max(0, at - 12) : at], shown, *words[at : at + 12]]
-                    out.append((" ".join(near), where, value, 1 - i % 2, kind))
-            yield pa.RecordBatch.from_pylist([dict(zip(("text", "path", "planted", "label", "kind"), o)) for o in out], schema)
+                    out.append((h, i, " ".join(near), where, value, 1 - i % 2, kind))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema)
 
-    schema = pa.schema([("text", pa.string()), ("path", pa.string()), ("planted", pa.string()), ("label", pa.int32()), ("kind", pa.string())])
-    return rows.mapInArrow(work, "text string, path string, planted string, label int, kind string")
+    texts = [(n, pa.string()) for n in ("text", "path", "planted")]
+    schema = pa.schema([("h", pa.int64()), ("i", pa.int32()), *texts, ("label", pa.int32()), ("kind", pa.string())])
+    found = rows.mapInArrow(work, "h bigint, i int, text string, path string, planted string, label int, kind string")
+    return found.dropDuplicates(["h", "i"]).drop("h", "i")  # copies of a document lend their words once
 
 
 def by_form(found: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from rankloom.llm.decontamination import benchmark_windows, covered_words, find_hits, hit_items, remove_documents, remove_spans
+from rankloom.llm.decontamination import benchmark_windows, candidate_hits, covered_words, find_hits, hit_items, normal_words, remove_documents, remove_spans
 
 ITEMS = "item_id bigint, text string"
 
@@ -25,16 +26,17 @@ def brute(text, items, n=10):
     return len(doc), len(hit), sorted(seen)
 
 
-def digest(spark, docs, items):
+def digest(spark, docs, items, limit=None):
     windows = benchmark_windows(spark.createDataFrame(items, ITEMS), "item_id", "text")
-    found = find_hits(docs, "text", windows)
+    found = find_hits(docs, "text", windows, limit=limit)
     assert found.columns == [*docs.columns, "n_words", "hits"]
     return sorted(
         (tuple(r) for r in found.select("doc_id", "text", "n_words", covered_words(F.col("hits")), hit_items(F.col("hits"))).collect()), key=repr
     )
 
 
-def test_as_brute_force_with_short_items_and_overlaps(spark, odd_docs):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_as_brute_force_with_short_items_and_overlaps(spark, odd_docs, limit):
     long = odd_docs.where("doc_id = 7").first().text.split(" ")
     one = odd_docs.where("doc_id = 1").first().text.split(" ")
     items = [
@@ -49,7 +51,7 @@ def test_as_brute_force_with_short_items_and_overlaps(spark, odd_docs):
         (7, long[5]),
     ]
     want = sorted(((r.doc_id, r.text, *brute(r.text, items)) for r in odd_docs.collect()), key=repr)
-    assert digest(spark, odd_docs, items) == want
+    assert digest(spark, odd_docs, items, limit) == want
 
 
 def test_no_items_and_no_documents(spark, odd_docs, no_docs):
@@ -64,6 +66,28 @@ def test_outputs_replace_columns_of_their_name(spark):
     assert (row.doc_id, row.n_words, len(row.hits)) == (1, 2, 1)
 
 
+def test_texts_are_never_dealt_out_with_their_positions(spark, odd_docs):
+    """Without a broadcast only hashes, row numbers and positions move to the join; with it no words are put together for a lookup."""
+    windows = benchmark_windows(spark.createDataFrame([(1, "ba fo " * 8)], ITEMS), "item_id", "text")
+    windows = windows.select("*")
+    docs = odd_docs.select("doc_id", "text")
+    cut = docs.select(F.struct("doc_id").alias("_row"), F.monotonically_increasing_id().alias("_id"), normal_words(F.col("text")).alias("_words"))
+    cut = cut.withColumn("_n", F.size("_words"))
+    hashes = windows.select("_key", "_len")
+    lookup = candidate_hits(cut, hashes, [10], 1 << 20)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in lookup.splitlines() if "BroadcastHashJoin" in line)
+    assert "array_join" not in join and "slice" not in join
+    dealt = candidate_hits(cut, hashes, [10], 0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(dealt) if "Exchange hashpartitioning(key" in line)
+    assert "_words" not in dealt[at + 1].split("Project", 1)[-1]
+
+
+def test_columns_called_like_the_outputs_stay(spark):
+    docs = spark.createDataFrame([(1, "a b one two c", 77, "h")], "doc_id int, text string, n_words int, hits string")
+    windows = benchmark_windows(spark.createDataFrame([(1, "one two")], ITEMS), "item_id", "text")
+    assert [tuple(r) for r in remove_spans(docs, "text", windows).collect()] == [(1, "a b c", 77, "h")]
+
+
 def test_removal(spark, odd_docs):
     one = odd_docs.where("doc_id = 1").first().text.split(" ")
     windows = benchmark_windows(spark.createDataFrame([(1, " ".join(one[10:22]))], ITEMS), "item_id", "text")
