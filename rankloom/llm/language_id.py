@@ -179,13 +179,16 @@ def identify(rows: DataFrame, least: float = 0.5, wanted: Sequence[str] | None =
     ``wanted`` (default: all that are declared somewhere).  A null or empty text gets its language
     from the other evidence; a missing declaration or host gives none.  Without
     any declared language nothing can be told: lang is null and all rows are
-    rejected.  Other columns must not be called lang, posterior or kept; rows
-    are kept apart and in no order.
+    rejected.  Other columns may have any name; one called lang, posterior or
+    kept is left out, as the output takes its place.  Rows are kept apart and in
+    no order.
     """
     python_workers(rows.sparkSession)
-    others = [c for c in rows.columns if c not in ("declared", "host", "text")]
+    others = [c for c in rows.columns if c not in ("declared", "host", "text") and c.lower() not in ("lang", "posterior", "kept")]
+    carried = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("_"))
+    others = [F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(others)]
     rows = rows.select(
-        *others, code_of(F.col("declared")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")
+        carried.alias("_row"), code_of(F.col("declared")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text")
     )
     languages = sorted(r["declared"] for r in rows.where("declared is not null").select("declared").distinct().collect())
     if not languages:

@@ -35,18 +35,41 @@ FREQUENT = (
 ).split()
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_upper", "n_lower", "n_frequent", "n_ends", "n_lines", "n_dup_lines")
+
+
+def carried(keep: Sequence[str], outputs: Sequence[str]) -> tuple[Column, list[Column]]:
+    """The kept columns as one struct, under names that nothing else has, and how to take them out again.
+
+    A column that is called like an output is left out: the output takes its place.
+    """
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in outputs]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("_"))
+    return row.alias("_row"), [F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)]
+
+
 def measures(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """The ``keep`` columns of every row with counts over its whole text; a null text counts as empty.
 
+    Rows are kept apart even if they are equal, and an empty table gives none.
+    A kept column that is called like a measure is left out.
+
+
     n_words, word_chars (code points in words), n_symbols, n_lines and
     n_dup_lines (lines with a word; those equal to an earlier one),
     n_repeat_words (words in 3-word windows found twice or more, compared by
     64-bit hashes), n_upper, n_lower (A-Z, a-z), n_frequent, n_ends (words that
     end a sentence).
     """
-    t, names = F.coalesce(F.col(f"`{text}`"), F.lit("")), ["_t", "_words", "_hashes", "_sorted", "_twice"]
+    row, kept = carried(keep, MEASURES)
+    return measured(docs, text, row).select(*kept, *MEASURES)
+
+
+def measured(docs: DataFrame, text: str, row: Column) -> DataFrame:
+    """``row`` as ``_row`` with the measures of every row."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     less = lambda chars: F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("_t"), split_words(t, GAP).alias("_words"))
+    base = docs.select(row, t.alias("_t"), split_words(t, GAP).alias("_words"))
     windows = F.expr(
         "transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as at))"
     )
@@ -63,7 +86,7 @@ def measures(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     )
     lines = F.filter(F.split("_t", "\n"), lambda line: line.rlike(NOT_GAP))
     found = base.select(
-        *[F.col(f"`{c}`") for c in keep],
+        "_row",
         F.size("_words").cast("bigint").alias("n_words"),
         (F.char_length("_t") - less(SPACES)).cast("bigint").alias("word_chars"),
         less(SYMBOLS).cast("bigint").alias("n_symbols"),
@@ -74,7 +97,6 @@ def measures(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
         F.size(F.filter("_words", lambda w: w.endswith(".") | w.endswith("?") | w.endswith("!"))).cast("bigint").alias("n_ends"),
         lines.alias("_lines"),
     )
-    assert not set(names) & set(keep)
     n_lines = F.size("_lines").cast("bigint")
     return found.select("*", n_lines.alias("n_lines"), (n_lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines")).drop("_lines")
 
@@ -156,14 +178,16 @@ def fit_votes(patterns: Sequence[tuple[Sequence[int], int]], rules: int, steps:
 def judge(docs: DataFrame, text: str, keep: Sequence[str], threshold: float = 0.5) -> tuple[DataFrame, VoteModel]:
     """The measures of every row, each rule's vote (``vote_*``), ``quality`` and ``good``; and the fitted model.
 
-    Measured rows are stored once in the shared folder, as both the model and
+    See ``measures`` for nulls, repeated rows and empty tables; a kept column
+    that is called like any output is left out.  Measured rows are stored once in the shared folder, as both the model and
     the result need them.
     """
     rules = votes()
     names = [f"vote_{r}" for r in rules]
-    rows = measures(docs, text, keep).select("*", *[v.cast("tinyint").alias(f"vote_{r}") for r, v in rules.items()])
+    row, kept = carried(keep, [*MEASURES, *names, "quality", "good"])
+    rows = measured(docs, text, row).select("*", *[v.cast("tinyint").alias(f"vote_{r}") for r, v in rules.items()])
     rows = written_once(rows, "quality")
     counted = rows.groupBy(*names).count().collect()  # at most 3 ** rules rows
     model = fit_votes([(tuple(r[:-1]), r[-1]) for r in counted], len(names))
-    rows = rows.withColumn("quality", model.column(names))
-    return rows.withColumn("good", F.col("quality") >= threshold), model
+    rows = rows.withColumn("quality", model.column(names)).withColumn("good", F.col("quality") >= threshold)
+    return rows.select(*kept, *MEASURES, *names, "quality", "good"), model

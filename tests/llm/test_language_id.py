@@ -88,3 +88,13 @@ def test_every_declared_language_counts(spark):
     got = {r.id: r for r in identify(spark.createDataFrame(data + hidden, "id int, declared string, host string, text string")).collect()}
     assert len(codes) == 300 and all(got[i].lang == c and got[i].kept for i, c, _, _ in data)
     assert [got[900_000 + i].lang for i in range(300)] == codes
+
+
+def test_columns_with_names_that_are_used_inside(spark):
+    inner = ["_grams", "_text", "_share", "_n", "_host", "_logs", "_top", "_row", "_domain_prior", "kept"]
+    rows = [("en", "a.example.com", "the cat sat on the mat with the hat", *range(len(inner))), (None, None, None, *[None] * len(inner))]
+    docs = spark.createDataFrame(rows, "declared string, host string, text string, " + ", ".join(f"{c} int" for c in inner))
+    got = identify(docs)
+    assert got.columns == [*inner[:-1], "lang", "posterior", "kept"]
+    assert sorted(map(str, got.select(*inner[:-1]).collect())) == sorted(map(str, docs.select(*inner[:-1]).collect()))
+    assert keep_identified(docs, "_n", "declared", "host", "text", by_row=True).columns == docs.columns

@@ -66,3 +66,13 @@ def test_labelled_documents(spark, small):
     long_good = rows.join(labels.withColumnRenamed("quality", "quality_"), "doc_id").where("quality_ = 1 and n_words >= 50 and n_repeat_words * 2 <= n_words")
     assert long_good.where("not good").count() == 0
     assert table.get((0, True), 0) <= 0.05 * table[(0, False)]
+
+
+def test_columns_called_like_outputs_or_inner_names(spark, odd_docs):
+    docs = odd_docs.withColumnsRenamed({"lang": "n_words", "source": "_t"}).withColumn("vote_plain", F.lit(5)).withColumn("good", F.lit("x"))
+    rows, _ = judge(docs, "text", docs.columns)
+    kept = [c for c in docs.columns if c not in ("n_words", "vote_plain", "good")]
+    assert rows.columns[: len(kept)] == kept and len(set(rows.columns)) == len(rows.columns)
+    assert sorted(map(repr, rows.select(*kept).collect())) == sorted(map(repr, docs.select(*kept).collect()))
+    assert dict(rows.dtypes)["good"] == "boolean" and rows.where("n_words is null").count() == 0
+    assert measures(docs, "text", ["_t", "n_words"]).columns[:2] == ["_t", "n_words"]
