@@ -3,10 +3,13 @@
 Loss: sum over requests and over pairs (i, j) of one request with
 label_i > label_j of  w_ij * exp(score_j - score_i),  w_ij = (gain_i - gain_j) /
 ideal DCG of the request, gain = 2^label - 1, ideal DCG over ``max_position``
-rows.  The exponential splits into per-(request, label) sums, so one pass with
-partial aggregation covers every pair exactly: work is linear in the rows and
-a huge request combines before the shuffle.  Labels are grades (a few distinct
-values).  The ranker is linear, it is not a boosted tree ranker.
+rows.  The exponential splits into per-(request, label) sums, of weights and of
+weighted feature vectors, so one pass with partial aggregation covers every
+pair exactly: work is linear in the rows, a huge request combines before the
+shuffle, and rows are never joined with the sums.  Features are centred per
+request once, which no pair notices and which keeps the exponentials in range.
+Labels are grades (a few distinct values).  The ranker is linear, it is not a
+boosted tree ranker.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,43 +95,40 @@ def train_pairwise_ranker(
     rows = rows.withColumn(features, F.col(features).cast("array<double>"))
     means, scales = _standardized(rows, features)
     ideal = ideal_dcg(rows, group, "_y", max_position).where("ideal > 0")
+    # the middle of each request, and its features in standard deviations from there
+    centre = rows.groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(features))).alias("_m"))
+    joined = rows.join(ideal, group).join(centre.withColumn("_m", vector_to_array("_m")), group)
+    spread = F.array(*[F.lit(float(v)) for v in scales])
+    offset = F.zip_with(F.zip_with(features, "_m", lambda x, m: x - m), spread, lambda x, sd: x / sd)
     # read once per iteration, so the prepared rows are stored instead of recomputed
-    rows = written_once(
-        rows.join(ideal, group).select(group, "_y", F.col(features).alias("_x"), (1.0 / F.col("ideal")).alias("_g")),
-        "ranker",
-    )
+    rows = written_once(joined.select(group, "_y", offset.alias("_x"), (1.0 / F.col("ideal")).alias("_g")), "ranker")
 
     def loss_and_gradient(w: np.ndarray) -> tuple[float, np.ndarray]:
-        raw = w / scales
-        s = arrays.dot(F.col("_x"), F.array(*[F.lit(float(v)) for v in raw])) - F.lit(float(raw @ means))
-        scored = rows.select(group, "_y", "_x", "_g", F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
-        levels = scored.groupBy(group, "_y").agg(F.sum("_down").alias("a"), F.sum("_up").alias("b"))
-        levels = levels.withColumn("gain", F.pow(F.lit(2.0), F.col("_y")) - 1.0)
+        s = arrays.dot(F.col("_x"), F.array(*[F.lit(float(v)) for v in w]))
+        vector = array_to_vector(F.col("_x"))
+        scored = rows.select(group, "_y", "_g", vector.alias("_v"), F.exp(-s).alias("_down"), F.exp(s).alias("_up"))
+        levels = scored.groupBy(group, "_y").agg(
+            F.sum("_down").alias("_a"), F.sum("_up").alias("_b"), F.max("_g").alias("_each"),
+            Summarizer.sum(F.col("_v"), F.col("_down")).alias("_ax"), Summarizer.sum(F.col("_v"), F.col("_up")).alias("_bx"),
+        )
+        levels = levels.withColumn("_gain", F.pow(F.lit(2.0), F.col("_y")) - 1.0)
         lower = Window.partitionBy(group).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
         upper = Window.partitionBy(group).orderBy("_y").rowsBetween(1, Window.unboundedFollowing)
         total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0.0))
-        below = F.col("gain") * total("b", lower) - total(F.col("gain") * F.col("b"), lower)
-        above = total(F.col("gain") * F.col("a"), upper) - F.col("gain") * total("a", upper)
-        # how strongly a row of this level is pulled up and pushed down; both are >= 0
-        levels = levels.select(
-            group, "_y", F.greatest(below, F.lit(0.0)).alias("_pull"), F.greatest(above, F.lit(0.0)).alias("_push")
-        )
-        forces = scored.join(levels, [group, "_y"]).select(
-            array_to_vector(F.col("_x")).alias("_v"),
-            (F.col("_down") * F.col("_pull") * F.col("_g")).alias("_wa"),
-            (F.col("_up") * F.col("_push") * F.col("_g")).alias("_wb"),
+        below = F.col("_gain") * total("_b", lower) - total(F.col("_gain") * F.col("_b"), lower)
+        above = total(F.col("_gain") * F.col("_a"), upper) - F.col("_gain") * total("_a", upper)
+        # how strongly the rows of this level are pulled up and pushed down; both are >= 0
+        forces = levels.select(
+            "_a", "_ax", "_bx", (F.greatest(below, F.lit(0.0)) * F.col("_each")).alias("_pull"), (F.greatest(above, F.lit(0.0)) * F.col("_each")).alias("_push")
         )
         row = forces.agg(
-            F.sum("_wa").alias("loss"),
-            F.sum("_wb").alias("total_b"),
-            Summarizer.sum(F.col("_v"), F.col("_wa")).alias("ga"),
-            Summarizer.sum(F.col("_v"), F.col("_wb")).alias("gb"),
+            F.sum(F.col("_a") * F.col("_pull")).alias("loss"),
+            Summarizer.sum(F.col("_ax"), F.col("_pull")).alias("ga"),
+            Summarizer.sum(F.col("_bx"), F.col("_push")).alias("gb"),
         ).first()
         if not row["loss"]:
             raise ValueError("no request has two different labels")
-        pulled = (row["ga"].toArray() - means * row["loss"]) / scales
-        pushed = (row["gb"].toArray() - means * row["total_b"]) / scales
-        gradient = pushed - pulled
+        gradient = row["gb"].toArray() - row["ga"].toArray()
         return row["loss"] + 0.5 * reg * float(w @ w), gradient + reg * w
 
     w = np.zeros(len(means))
