@@ -4,7 +4,7 @@ import __spark_entry__ as entry_points
 
 def test_every_operator_has_one_query():
     names = [n.split("_")[0] for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in entry_points.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in entry_points.queries()
 
 
 def test_stages(spark, small):
