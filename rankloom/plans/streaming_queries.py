@@ -16,12 +16,17 @@ from rankloom.streaming.versions import VersionedTable
 ARRIVALS, HELD_BACK = 6, 17
 
 
-def arrivals(spark, sf_dir, held_back=False):
-    """All events, written as files that arrive in the order of time; ``held_back``: every 17th comes with the last ones.
+def arriving(spark, parts, run):
+    """The parts arrive one after the other: each is written, however many files that takes, and ``run`` starts the
+    stream anew from its checkpoint, so that one part is one micro-batch."""
+    root = scratch_path(spark, "arrivals")
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{root}/part={i}")
+        run(spark.readStream.schema(part.schema).parquet(f"{root}/*")).awaitTermination()
 
-    One small job for each of the six slices; a slice has as many files as the
-    scan has tasks.
-    """
+
+def arriving_events(spark, sf_dir, run, held_back=False):
+    """All events in six slices of time; ``held_back``: every 17th comes with the last one."""
     events = table(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(at), F.max(at)).first()
@@ -29,10 +34,9 @@ def arrivals(spark, sf_dir, held_back=False):
     slot = F.floor((at - first) / width)
     if held_back:
         slot = F.when(F.col("event_id") % HELD_BACK == 0, ARRIVALS - 1).otherwise(slot)
-    root = scratch_path(spark, "arrivals")
-    for i in range(ARRIVALS):
-        events.where(slot == i).write.parquet(f"{root}/part={i}")
-    return root
+    item = F.get_json_object("props", "$.k").cast("bigint")
+    typed = lambda stream: stream.withColumns({"ts": F.col("ts").cast("timestamp"), "item": item})
+    arriving(spark, [events.where(slot == i) for i in range(ARRIVALS)], lambda stream: run(typed(stream)))
 
 
 #: the slice an event arrives in
@@ -40,16 +44,6 @@ PART_SQL = f"""((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))
   // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) // {ARRIVALS} + 1))"""
 
 
-def file_stream(spark, schema, root):
-    """One file for each micro-batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
-
-
-def event_stream(spark, sf_dir, held_back=False):
-    raw = file_stream(spark, table(spark, sf_dir, "events").schema, arrivals(spark, sf_dir, held_back))
-    return raw.withColumns({"ts": F.col("ts").cast("timestamp"), "item": F.get_json_object("props", "$.k").cast("bigint")})
-
-
 @query(
     "stream_behaviour_counters",
     f"""
@@ -58,9 +52,8 @@ FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT ma
 )
 def stream_behaviour_counters(spark, sf_dir):
     """Daily counters of the windows the watermark has closed."""
-    path = scratch_path(spark, "counters")
-    run = behaviour.stream_behaviour_counters(event_stream(spark, sf_dir), ["user_id"], KINDS, path, scratch_path(spark, "ckpt"))
-    run.awaitTermination()
+    path, checkpoint = scratch_path(spark, "counters"), scratch_path(spark, "ckpt")
+    arriving_events(spark, sf_dir, lambda stream: behaviour.stream_behaviour_counters(stream, ["user_id"], KINDS, path, checkpoint))
     return spark.read.parquet(path).select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "user_id", *KINDS)
 
 
@@ -72,10 +65,9 @@ SELECT user_id, event_type, minutes,
   CAST(CASE WHEN minutes < 1440 THEN floor(greatest(0, minutes) / 60.0) ELSE floor(least(129600, minutes) / 1440.0) + 23 END AS INTEGER) AS bucket FROM l""",
 )
 def stream_passtime(spark, sf_dir):
-    root = scratch_path(spark, "last-seen")
+    root, checkpoint = scratch_path(spark, "last-seen"), scratch_path(spark, "ckpt")
     keys = ["user_id", "event_type"]
-    stream = event_stream(spark, sf_dir)
-    behaviour.stream_passtime(stream, keys, root, scratch_path(spark, "ckpt"), salts=2, fold_every=2).awaitTermination()
+    arriving_events(spark, sf_dir, lambda stream: behaviour.stream_passtime(stream, keys, root, checkpoint, fold_every=2))
     return behaviour.read_elapsed(spark, root, keys, asof()).select(*keys, "minutes", "bucket")
 
 
@@ -88,11 +80,10 @@ WITH w AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events),
 SELECT user_id, event_type, last_us, CAST(CASE WHEN minutes < 1440 THEN minutes // 60 ELSE least(129600, minutes) // 1440 + 23 END AS INTEGER) AS bucket FROM m""",
 )
 def stream_passtime_buckets(spark, sf_dir):
-    """The elapsed-time bucket that timers have moved each key to, at the watermark after the last batch."""
-    root = scratch_path(spark, "buckets")
+    """The elapsed-time bucket that each key has moved to, at the watermark after the last batch."""
+    root, checkpoint = scratch_path(spark, "buckets"), scratch_path(spark, "ckpt")
     keys = ["user_id", "event_type"]
-    stream = event_stream(spark, sf_dir)
-    behaviour.stream_passtime(stream, keys, root, scratch_path(spark, "ckpt"), salts=2).awaitTermination()
+    arriving_events(spark, sf_dir, lambda stream: behaviour.stream_passtime(stream, keys, root, checkpoint))
     return behaviour.read_buckets(spark, root, keys)
 
 
@@ -106,10 +97,10 @@ FROM k CROSS JOIN (SELECT unnest(generate_series(0, 19)) AS pos) p
 LEFT JOIN r ON r.user_id = k.user_id AND r.event_type = k.event_type AND r.rn = p.pos + 1""",
 )
 def stream_recent_sequence(spark, sf_dir):
-    root = scratch_path(spark, "recent")
+    root, checkpoint = scratch_path(spark, "recent"), scratch_path(spark, "ckpt")
     keys = ["user_id", "event_type"]
-    stream = event_stream(spark, sf_dir, held_back=True)
-    behaviour.stream_recent_sequence(stream, keys, "item", 20, root, scratch_path(spark, "ckpt"), salts=2, fold_every=3).awaitTermination()
+    run = lambda stream: behaviour.stream_recent_sequence(stream, keys, "item", 20, root, checkpoint, salts=2, fold_every=3)
+    arriving_events(spark, sf_dir, run, held_back=True)
     out = behaviour.read_recent_sequence(spark, root, keys, 20)
     return out.select(*keys, F.posexplode("sequence").alias("pos", "item"))
 
@@ -124,9 +115,8 @@ WITH v AS (
 SELECT col AS "column", v AS value, row_number() OVER (PARTITION BY col ORDER BY first, n DESC, v) - 1 AS idx FROM f WHERE part = first""",
 )
 def stream_extend_dictionary(spark, sf_dir):
-    root = scratch_path(spark, "dictionary")
-    stream = event_stream(spark, sf_dir)
-    learning.stream_extend_dictionary(stream, ["event_type", "item"], root, scratch_path(spark, "ckpt"), fold_every=2).awaitTermination()
+    root, checkpoint = scratch_path(spark, "dictionary"), scratch_path(spark, "ckpt")
+    arriving_events(spark, sf_dir, lambda stream: learning.stream_extend_dictionary(stream, ["event_type", "item"], root, checkpoint, fold_every=2))
     return learning.read_dictionary(spark, root).select("column", "value", "idx")
 
 
@@ -148,12 +138,10 @@ SELECT round(a, 6) AS w0, round(b, 6) AS w1, round(c, 6) AS intercept FROM w{ARR
 @query("stream_train_lr", _lr_sql())
 def stream_train_lr(spark, sf_dir):
     """A gradient step for each micro-batch, from the weights the one before has stored."""
-    root = scratch_path(spark, "lr")
-    rows = event_stream(spark, sf_dir).select(
-        F.array(F.col("value") / 100, F.col("item") / 100.0).alias("features"),
-        (F.col("event_type") == "click").cast("double").alias("label"),
-    )
-    learning.stream_train_lr(rows, [0.0, 0.0], root, scratch_path(spark, "ckpt"), steps=1, step=0.5).awaitTermination()
+    root, checkpoint = scratch_path(spark, "lr"), scratch_path(spark, "ckpt")
+    x = F.array(F.col("value") / 100, F.col("item") / 100.0).alias("features")
+    y = (F.col("event_type") == "click").cast("double").alias("label")
+    arriving_events(spark, sf_dir, lambda stream: learning.stream_train_lr(stream.select(x, y), [0.0, 0.0], root, checkpoint, steps=1, step=0.5))
     w = F.col("weights")
     return VersionedTable(spark, root).latest().select(
         F.round(w[0], 6).alias("w0"), F.round(w[1], 6).alias("w1"), F.round("intercept", 6).alias("intercept")
@@ -186,10 +174,10 @@ ALL_KINDS = list(GROUPS[0].kinds)
 
 
 def counter_panes(spark, sf_dir):
-    stream = event_stream(spark, sf_dir, held_back=True)
-    stream = stream.withColumns({"category": F.col("item") % 10, "zone": F.col("user_id") % 10})
-    root = scratch_path(spark, "panes")
-    stream_counter_groups(stream, GROUPS, root, scratch_path(spark, "ckpt"), fold_every=2).awaitTermination()
+    zoned = {"category": F.col("item") % 10, "zone": F.col("user_id") % 10}
+    root, checkpoint = scratch_path(spark, "panes"), scratch_path(spark, "ckpt")
+    run = lambda stream: stream_counter_groups(stream.withColumns(zoned), GROUPS, root, checkpoint, fold_every=2)
+    arriving_events(spark, sf_dir, run, held_back=True)
     return PaneTable(spark, root)
 
 
@@ -273,9 +261,7 @@ def stream_moving_covariance(spark, sf_dir):
     """Moving means and covariances over three micro-batches."""
     rows = table(spark, sf_dir, "embeddings")
     top = rows.agg(F.max("vec_id") + 1).first()[0]
-    root = scratch_path(spark, "vectors-in")
-    for k in range(3):
-        rows.where(F.floor(F.col("vec_id") * 3 / top) == k).write.parquet(f"{root}/part={k}")
-    state = scratch_path(spark, "covariance")
-    learning.stream_moving_covariance(file_stream(spark, rows.schema, root), "embedding", 16, state, scratch_path(spark, "ckpt"), 0.9).awaitTermination()
+    state, checkpoint = scratch_path(spark, "covariance"), scratch_path(spark, "ckpt")
+    parts = [rows.where(F.floor(F.col("vec_id") * 3 / top) == k) for k in range(3)]
+    arriving(spark, parts, lambda stream: learning.stream_moving_covariance(stream, "embedding", 16, state, checkpoint, 0.9))
     return VersionedTable(spark, state).latest().select("grp", "i", "j", (F.round("value", 6) + 0.0).alias("value"))

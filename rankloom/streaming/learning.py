@@ -52,17 +52,13 @@ def logistic_gradient(
     z = arrays.dot(x, F.array(*[F.lit(float(w)) for w in weights])) + F.lit(float(intercept))
     scored = df.select(x.alias("_x"), F.col(label).cast("double").alias("_y"), sigmoid(z).alias("_p"))
     error = F.col("_p") - F.col("_y")
-    vector = array_to_vector(F.col("_x"))
-    row = scored.agg(
-        Summarizer.sum(vector, F.greatest(error, F.lit(0.0))).alias("up"),
-        Summarizer.sum(vector, F.greatest(-error, F.lit(0.0))).alias("down"),
-        F.sum(error).alias("bias"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    n = row["n"]
-    if n == 0:
+    # errors scale the vectors: as weights, those of one sign alone would leave the other summary without a row
+    pulls = array_to_vector(F.transform("_x", lambda v: v * error))
+    sums = scored.groupBy(F.lit(True)).agg(Summarizer.sum(pulls).alias("pull"), F.sum(error).alias("bias"), F.count(F.lit(1)).alias("n"))
+    row = sums.first()
+    if row is None:
         return np.zeros(len(weights)), 0.0, 0
-    return (row["up"].toArray() - row["down"].toArray()) / n, row["bias"] / n, n
+    return row["pull"].toArray() / row["n"], row["bias"] / row["n"], row["n"]
 
 
 def sgd_steps(

@@ -129,3 +129,54 @@ def test_moving_means_over_batches(spark, tmp_path):
     learning.stream_moving_means(source, "x", f"{tmp_path}/m", f"{tmp_path}/ck", momentum=0.5).awaitTermination()
     got = dict(VersionedTable(spark, f"{tmp_path}/m").latest().select("slot", "value").collect())
     assert got == {0: 2.5, 1: 2.0}
+
+
+def spread_tables(spark, small, root):
+    """The small tables as folders of several files, some of them with no row of a slice of time."""
+    spark.read.parquet(f"{small}/events.parquet").repartitionByRange(5, "ts").write.parquet(f"{root}/events.parquet")
+    spark.read.parquet(f"{small}/embeddings.parquet").repartition(3, "vec_id").write.parquet(f"{root}/embeddings.parquet")
+    return root
+
+
+QUERIES_OF_FILES = ["stream_passtime", "stream_passtime_buckets", "stream_recent_sequence", "stream_train_lr", "stream_late_rows"]
+
+
+@pytest.mark.parametrize("name", QUERIES_OF_FILES)
+def test_streams_do_not_depend_on_how_many_files_a_table_has(spark, small, tmp_path, name):
+    from rankloom.plans import catalog
+
+    root = spread_tables(spark, small, str(tmp_path))
+    rows = lambda at: sorted(map(str, catalog.QUERIES[name](spark, at).collect()))
+    assert rows(root) == rows(small)
+
+
+@pytest.mark.parametrize("labels", [[], [1.0, 1.0], [0.0, 0.0]])
+def test_gradient_of_no_rows_and_of_one_class(spark, labels):
+    rows = spark.createDataFrame([([1.0, 2.0], y) for y in labels], "features array<double>, label double")
+    gradient, bias, n = learning.logistic_gradient(rows, np.zeros(2), 0.0, "features", "label")
+    error = 0.5 - labels[0] if labels else 0.0
+    assert n == len(labels) and gradient == pytest.approx([error, 2 * error]) and bias == pytest.approx(error)
+
+
+@pytest.mark.parametrize("fold_every", [0, 2])
+def test_stored_buckets_follow_the_watermark_and_a_replay_changes_nothing(spark, tmp_path, fold_every):
+    write_batches(spark, f"{tmp_path}/in", BATCHES)
+    keys, root = ["user_id", "event_type"], f"{tmp_path}/s"
+    behaviour.stream_passtime(stream(spark, f"{tmp_path}/in"), keys, root, f"{tmp_path}/ck", fold_every=fold_every).awaitTermination()
+    mark = F.lit("2024-01-03 09:00:00").cast("timestamp")  # an hour behind event 11
+    twin = batch_behaviour.passtime(all_rows(spark), keys, F.lit("2024-01-04 00:00:00").cast("timestamp")).select(*keys, "last_ts")
+    minutes = batch_behaviour.elapsed_minutes(F.col("last_ts"), mark)
+    expected = twin.select(*keys, F.unix_micros("last_ts"), batch_behaviour.bucket_elapsed(minutes))
+    assert sorted(map(tuple, behaviour.read_buckets(spark, root, keys).collect())) == sorted(map(tuple, expected.collect()))
+    again = behaviour.stream_passtime(stream(spark, f"{tmp_path}/in"), keys, root, f"{tmp_path}/ck2", fold_every=fold_every)
+    again.awaitTermination()
+    assert sorted(map(tuple, behaviour.read_buckets(spark, root, keys).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_expiring_sequences_keep_list_state(spark, tmp_path):
+    write_batches(spark, f"{tmp_path}/in", BATCHES)
+    args = (["user_id"], "item", 3, f"{tmp_path}/s", f"{tmp_path}/ck")
+    behaviour.stream_recent_sequence(stream(spark, f"{tmp_path}/in"), *args, salts=2, expire_days=1.0).awaitTermination()
+    got = {r["user_id"]: r["sequence"] for r in behaviour.read_recent_sequence(spark, f"{tmp_path}/s", ["user_id"], 3).collect()}
+    # user 2 was last seen on 2024-01-02 06:00, more than a day before the last watermark
+    assert 2 not in got and got[3][0] == 16
