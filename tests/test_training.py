@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -224,3 +224,16 @@ def test_job_end_to_end(spark, samples, tmp_path, kind):
     # without a training set the stored model is used
     again = run_job(spark, cfg, JobPaths(f"{tmp_path}/data", "-", "test", f"{tmp_path}/model", f"{tmp_path}/out2"), add_category=True)
     assert {r["dataset"] for r in again.collect()} == {"test"}
+
+
+def test_training_takes_more_tasks_than_workers_for_many_rows(spark, monkeypatch):
+    rows = spark.range(4_000).select(F.col("id").cast("double").alias("label"), array_to_vector(F.array(*[F.lit(1.0)] * 4)).alias("features"))
+    assert training.training_parts(rows, 8, "features") == 8
+    monkeypatch.setattr(training, "TRAINING_SHARE", 8_000)
+    # 4,000 rows of 32 + 2 * 8 + 4 * 8 bytes
+    assert training.training_parts(rows, 8, "features") == 40
+    assert training.training_parts(rows.limit(0), 8, "features") == 8
+    seen = []
+    monkeypatch.setitem(training.TRAINERS, "lr", lambda df, cfg: seen.append(df.rdd.getNumPartitions()))
+    training.train(rows, {"model": "lr", "workers": 8})
+    assert seen == [40]
