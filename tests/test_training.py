@@ -237,3 +237,12 @@ def test_training_takes_more_tasks_than_workers_for_many_rows(spark, monkeypatch
     monkeypatch.setitem(training.TRAINERS, "lr", lambda df, cfg: seen.append(df.rdd.getNumPartitions()))
     training.train(rows, {"model": "lr", "workers": 8})
     assert seen == [40]
+
+
+def test_ranker_sums_stay_in_hash_tables(spark, monkeypatch):
+    plans = []
+    first = type(spark.range(1)).first
+    monkeypatch.setattr(type(spark.range(1)), "first", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or first(df))
+    rows = spark.createDataFrame([(g, float(g % 2 + i % 2), [float(i), float(g * i)]) for g in range(4) for i in range(4)], "g int, label double, features array<double>")
+    ranker.train_pairwise_ranker(rows, "g", iterations=1)
+    assert len(plans) == 3 and not any("ObjectHashAggregate" in p for p in plans[1:])
