@@ -170,6 +170,10 @@ def read_feature_map(spark, sf_dir):
     return readers.read_feature_map(spark, path)
 
 
+#: annotations in one file
+RECORDS_PER_FILE = 100_000
+
+
 @query(
     "read_object_annotations",
     """SELECT CAST(l_orderkey AS VARCHAR) AS image, l_returnflag AS category, count(*) AS n, CAST(sum(l_linenumber * 10) AS BIGINT) AS xmin_total,
@@ -184,7 +188,8 @@ def read_object_annotations(spark, sf_dir):
         F.struct("width", "height").alias("size"),
         F.array(F.struct(F.col("category").alias("name"), box.alias("bndbox"))).alias("object"),
     )
-    record.write.format("xml").option("rowTag", "annotation").save(path)
+    # a file of XML is read by one task
+    record.write.format("xml").option("rowTag", "annotation").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
     rows = annotations.read_object_annotations(spark, path)
     return rows.groupBy("image", "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("xmin").alias("xmin_total"), F.sum("ymax").alias("ymax_total")

@@ -110,3 +110,12 @@ def test_sizes_are_measured_before_a_broadcast(spark):
     assert hinted(sizing.broadcast_if_small(small, 100))
     assert not hinted(sizing.broadcast_if_small(small, 50))
     assert sizing.measured_bytes(small.where("k = 2")) == 0
+
+
+def test_annotation_files_are_bounded(spark, monkeypatch):
+    from rankloom.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "RECORDS_PER_FILE", 1_000)
+    found = catalog.QUERIES["read_object_annotations"](spark, SMALL)
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert len(found.inputFiles()) >= rows / 1_000 and found.agg(F.sum("n")).first()[0] == rows
