@@ -114,25 +114,37 @@ def encode_columns(
     """Replace each value by its number; unseen and NULL become -1.
 
     Columns whose dictionaries together measure at most ``broadcast_limit``
-    bytes are looked up in place, without moving the data.  All others are
-    looked up at once, see ``encode_long``: two moves of the data however many
-    columns there are.
+    bytes are looked up in place, without moving the data.  A single column
+    beyond that is looked up by one move of the data; several are looked up at
+    once, see ``encode_long``: two moves of the data however many columns there
+    are.
     """
     require_columns(df, columns)
     sizes = dictionary_bytes(dictionary, columns)
     small = within_budget(sizes, columns, broadcast_limit)
     order, large = df.columns, [c for c in columns if c not in small]
-    if large:
+    if len(large) == 1:
+        df = looked_up(df, dictionary, large[0], "merge")
+    elif large:
         df = encode_long(df, dictionary, large)
     for c in small:
-        entries = dictionary.where(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("idx").alias("_idx")
-        )
-        df = df.withColumn("_key", trimmed(c)).join(F.broadcast(entries), F.col("_key") == F.col("_value"), "left")
-        df = df.withColumn(c, F.coalesce("_idx", F.lit(UNKNOWN).cast("bigint"))).drop("_key", "_value", "_idx")
+        df = looked_up(df, dictionary, c, "broadcast")
     return df.select(*order)
 
 
+def looked_up(df: DataFrame, dictionary: DataFrame, column: str, join: str) -> DataFrame:
+    """``column`` replaced by its numbers; ``join`` is the hint for the entries.
+
+    Spark's own choice would broadcast entries whose compressed file is small.
+    The text leaves the rows before they move.  Very frequent values, and the
+    rows without one, are split by adaptive execution.
+    """
+    entries = dictionary.where(F.col("column") == column).select(F.col("value").alias("_value"), F.col("idx").alias("_idx"))
+    rows = df.withColumn(column, trimmed(column))
+    found = rows.join(entries.hint(join), F.col(column) == F.col("_value"), "left")
+    return found.withColumn(column, F.coalesce("_idx", F.lit(UNKNOWN).cast("bigint"))).drop("_value", "_idx")
+
+
 def encode_long(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``encode_columns`` by one join: a row for each (row, column, value), and one regrouping by row.
 

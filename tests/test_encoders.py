@@ -71,6 +71,18 @@ def test_fifty_columns_move_the_rows_twice(spark, tmp_path):
     spark.sql("DROP TABLE fifty_columns")
 
 
+def test_one_large_column_moves_the_rows_once(spark):
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f" v{k % 5}", {"x": k}) for k in range(40)], "key int, c string, rest map<string,int>")
+    known = chunks.written_once(encoders.fit_dictionary(df.where("key % 5 > 0"), ["c"]), "one-column")
+    dealt = encoders.encode_columns(df, known, ["c"], 0)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    # rows and entries by value, no regrouping by row; entries in a small file are not broadcast either
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan and "Aggregate" not in plan
+    want = {r["key"]: r.asDict(True) for r in encoders.encode_columns(df, known, ["c"]).collect()}
+    assert {r["key"]: r.asDict(True) for r in dealt.collect()} == want and dealt.columns == df.columns
+    assert {r["c"] for r in want.values() if r["key"] % 7 == 0 or r["key"] % 5 == 0} == {-1}
+
+
 def test_the_broadcast_budget_covers_all_columns_together():
     sizes = {f"c{i}": 10 * i for i in range(50)}
     chosen = encoders.within_budget(sizes, list(sizes), 100)
@@ -105,6 +117,17 @@ def test_seen_and_unseen_cover_all_rows(spark):
     assert (seen.count(), unseen.count()) == (2, 2)
 
 
+def test_values_are_counted_before_they_are_looked_up(spark, monkeypatch):
+    counts = encoders.value_counts(frame(spark, ["a", "x", None, "a", None]), "c")
+    assert {r["c"]: r["n"] for r in counts.collect()} == {"a": 2, "x": 1, None: 2}
+    known = chunks.written_once(encoders.fit_dictionary(frame(spark, ["a", "b"]), ["c"]), "known")
+    monkeypatch.setattr(encoders, "BROADCAST_LIMIT", 0)
+    seen, unseen = encoders.split_seen_unseen(counts, known, "c")
+    assert [r["c"] for r in seen.collect()] == ["a"] and {r["c"]: r["n"] for r in unseen.collect()} == {"x": 1, None: 2}
+    # values beyond the limit are sorted and merged, however small their file is
+    assert all("SortMergeJoin" in p._jdf.queryExecution().executedPlan().toString() for p in (seen, unseen))
+
+
 def test_save_and_load(spark, tmp_path):
     path = str(tmp_path / "dict")
     model = encoders.FrequencyEncoder(["c"]).fit(frame(spark, ["a", "b", "b"]))
