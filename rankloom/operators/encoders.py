@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.checks import require_columns
 from rankloom.operators.chunks import number_rows, written_once
 from rankloom.operators.samples import dedup
-from rankloom.operators.sizing import BROADCAST_LIMIT, ROW_OVERHEAD, broadcast_if_small
+from rankloom.operators.sizing import BROADCAST_LIMIT, ROW_OVERHEAD, measured_bytes
 from rankloom.session import scratch_path, shuffle_width
 
 UNKNOWN = -1
@@ -83,9 +83,30 @@ def extend_dictionary(df: DataFrame, dictionary: DataFrame | None, columns: Sequ
     return dictionary.select("column", "value", "idx").unionByName(added)
 
 
+#: rows that one task counts by their value
+COUNTED_ROWS = 1 << 20
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): rows of each value, NULL included.
+
+    Rows are dealt by value first, to as many tasks as their number asks for: a
+    table of nearly all values in every reading task would not combine anything.
+    The counts are stored: joins with them would be pushed down to the rows.
+    """
+    parts = max(shuffle_width(df.sparkSession), -(-df.count() // COUNTED_ROWS))
+    counts = df.select(column).repartition(parts, column).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return written_once(counts, "value-counts")
+
+
 def split_seen_unseen(df: DataFrame, dictionary: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose value is known, and the rest (NULL counts as unseen)."""
-    known = broadcast_if_small(dictionary.where(F.col("column") == column).select(F.col("value").alias("_value")))
+    """Rows whose value is known, and the rest (NULL counts as unseen).
+
+    Where rows only matter by their value, count them first (``value_counts``).
+    """
+    known = dictionary.where(F.col("column") == column).select(F.col("value").alias("_value"))
+    # Spark's own choice would broadcast values whose compressed file is small
+    known = known.hint("broadcast" if measured_bytes(known) <= BROADCAST_LIMIT else "merge")
     condition = trimmed(column) == F.col("_value")
     return df.join(known, condition, "left_semi"), df.join(known, condition, "left_anti")
 
