@@ -2,11 +2,12 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import FMClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from rankloom.operators import ranker, training
+from rankloom.operators import factorization, ranker, training
 from rankloom.operators.ranking_metrics import auc, ndcg_at_k
 from rankloom.plans.jobs import JobPaths, run_job
 from rankloom.sources.models import load_model, train_or_load
@@ -246,3 +247,22 @@ def test_ranker_sums_stay_in_hash_tables(spark, monkeypatch):
     rows = spark.createDataFrame([(g, float(g % 2 + i % 2), [float(i), float(g * i)]) for g in range(4) for i in range(4)], "g int, label double, features array<double>")
     ranker.train_pairwise_ranker(rows, "g", iterations=1)
     assert len(plans) == 3 and not any("ObjectHashAggregate" in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("reg, iterations", [(0.0, 12), (0.01, 3), (0.0, 0)])
+def test_packed_factorisation_equals_the_learner(spark, monkeypatch, reg, iterations):
+    monkeypatch.setattr(factorization, "BLOCK_BYTES", 1_000)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    rows = [(float(a[0] + a[1] * a[2] > 0), Vectors.dense(a)) for a in x]
+    df = spark.createDataFrame(rows, ["label", "features"]).repartition(3)
+    learner = FMClassifier(factorSize=2, maxIter=iterations, stepSize=0.1, regParam=reg, seed=11)
+    want, got = learner.fit(df), training.train(df, {"model": "fm", "factorSize": 2, "iterations": iterations, "learningRate": 0.1, "regParam": reg, "workers": 2})
+    assert np.allclose(got.factors.toArray(), want.factors.toArray(), atol=1e-9)
+    assert np.allclose(got.linear.toArray(), want.linear.toArray(), atol=1e-9) and got.intercept == pytest.approx(want.intercept, abs=1e-9)
+    assert got.transform(df).columns == want.transform(df).columns
+    # rows are stored as blocks, not one by one
+    assert factorization.packed(df, "label", "features").count() <= 3 * 11
+    for bad, said in ((df.withColumn("label", F.col("label") * 3), "labels must be 0 or 1"), (df.limit(0), "no rows")):
+        with pytest.raises(Exception, match=said):
+            training.train(bad, {"model": "fm", "workers": 2, "iterations": 1})
