@@ -66,7 +66,7 @@ def score_pairs(
 
 
 #: scores held at a time while blocks are multiplied out
-CELL_SCORES = 4_000_000
+CELL_SCORES = 1_000_000
 #: items in a block that is skipped as a whole, and bytes of items that are shipped to every task
 ITEM_BLOCK, ITEM_BYTES = 4_096, 128 << 20
 #: room for rounding in the comparison of a bound with a score
@@ -109,7 +109,11 @@ def best_of(vectors: np.ndarray, items: ItemBlocks, k: int) -> tuple[np.ndarray,
             break
         part = slice(b * items.size, (b + 1) * items.size)
         found = vectors[open_] @ items.matrix[part].T
-        at, col = np.nonzero(found >= floor[open_][:, None])
+        least = floor[open_]
+        if found.shape[1] > k and np.isneginf(least).any():
+            # nothing to beat yet: only the block's own k best are kept and put in order, not all of its scores
+            least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+        at, col = np.nonzero(found >= least[:, None])
         row, ids = np.concatenate([row, open_[at]]), np.concatenate([ids, items.ids[part][col]])
         score = np.concatenate([score, found[at, col]])
         order = np.lexsort((ids, -score, row))

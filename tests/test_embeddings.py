@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,20 @@ def test_blocks_that_cannot_beat_the_kth_score_are_skipped():
     assert emb.best_of(users[:0], blocks, 5)[0].tolist() == []
 
 
+def test_the_first_block_keeps_its_best_scores_only():
+    rng = np.random.default_rng(4)
+    items, users = rng.normal(size=(8_192, 8)), rng.normal(size=(200, 8))
+    blocks = emb.ItemBlocks.of(np.arange(8_192), items)
+    tracemalloc.start()
+    row, ids, _, _ = emb.best_of(users, blocks, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = brute_top(list(enumerate(users)), list(enumerate(items)), 5)
+    assert {u: ids[row == u].tolist() for u in range(200)} == want
+    # the scores of a block, twice, and little else
+    assert peak < 3 * 8 * 200 * emb.ITEM_BLOCK
+
+
 def test_users_are_not_moved_and_empty_sides_have_no_rows(spark):
     schema = "{} bigint, vec array<double>"
     users = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (1, [0.0, 1.0])], schema.format("user_id"))
