@@ -188,8 +188,9 @@ def read_object_annotations(spark, sf_dir):
         F.struct("width", "height").alias("size"),
         F.array(F.struct(F.col("category").alias("name"), box.alias("bndbox"))).alias("object"),
     )
-    # a file of XML is read by one task
-    record.write.format("xml").option("rowTag", "annotation").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
+    # a file of XML is read by one task; its tags take most of its bytes
+    text = record.write.format("xml").option("rowTag", "annotation").option("compression", "gzip")
+    text.option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)
     rows = annotations.read_object_annotations(spark, path)
     return rows.groupBy("image", "category").agg(
         F.count(F.lit(1)).alias("n"), F.sum("xmin").alias("xmin_total"), F.sum("ymax").alias("ymax_total")

@@ -1,5 +1,6 @@
 """Physical plans: what must hold at any data size."""
 
+import os
 import re
 
 import pytest
@@ -119,3 +120,15 @@ def test_annotation_files_are_bounded(spark, monkeypatch):
     found = catalog.QUERIES["read_object_annotations"](spark, SMALL)
     rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert len(found.inputFiles()) >= rows / 1_000 and found.agg(F.sum("n")).first()[0] == rows
+
+
+def test_annotation_files_are_compressed(spark, tmp_path):
+    lines = spark.range(3_000).selectExpr(
+        "id div 3 as l_orderkey", "id % 200 as l_partkey", "id % 10 as l_suppkey", "int(id % 7 + 1) as l_linenumber",
+        "double(id % 50 + 1) as l_quantity", "(id % 9) / 100D as l_tax", "substr('ANR', int(id % 3 + 1), 1) as l_returnflag",
+    )
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["read_object_annotations"](spark, str(tmp_path))
+    assert found.agg(F.sum("n")).first()[0] == 3_000
+    # the text of an annotation has some 400 bytes
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in found.inputFiles()) < 80 * 3_000
