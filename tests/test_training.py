@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -7,9 +8,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from rankloom.operators import factorization, ranker, training
+from rankloom.operators import factorization, ranker, request_blocks, training
 from rankloom.operators.ranking_metrics import auc, ndcg_at_k
 from rankloom.plans.jobs import JobPaths, run_job
+from rankloom.session import SHUFFLE_REMOVAL_CONF, shared_root
 from rankloom.sources.models import load_model, train_or_load
 
 
@@ -249,6 +251,37 @@ def test_ranker_sums_stay_in_hash_tables(spark, monkeypatch):
     assert len(plans) == 3 and not any("ObjectHashAggregate" in p for p in plans[1:])
 
 
+def test_ranker_steps_move_no_rows_and_leave_nothing(spark, monkeypatch):
+    plans, kept = [], lambda: {p for p in os.listdir(shared_root(spark).removeprefix("file:")) if p.startswith("ranker")}
+    first, before = type(spark.range(1)).first, kept()
+    monkeypatch.setattr(type(spark.range(1)), "first", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or first(df))
+    rows = spark.range(400).selectExpr("id % 50 as g", "double(id % 3) as label", "array(double(id), double(id * id % 7)) as features")
+    ranker.train_pairwise_ranker(rows, "g", iterations=2)
+    assert len(plans) == 4 and not any("hashpartitioning" in p for p in plans)
+    assert kept() == before and spark.conf.get(SHUFFLE_REMOVAL_CONF, None) is None
+
+
+def test_ranker_packs_all_requests_but_the_large(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 300, 40, *rng.integers(1, 9, 60)]
+    rows = [(g, float(rng.integers(0, 5)), rng.normal(size=2).tolist()) for g, n in enumerate(sizes) for _ in range(n)]
+    rows += [(g, None, [float(g), 1.0]) for g in (0, 2, 7)] + [(None, 1.0, [9.0, 9.0])] + [(-1, y, [5.0, 1.0]) for y in (0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "g int, label double, features array<double>").repartition(3)
+    monkeypatch.setattr(request_blocks, "BUCKETS", 4)
+    found, total = request_blocks.large_requests(df.where("g is not null"), "g", 50, f"{tmp_path}/found")
+    assert [r["g"] for r in found.collect()] == [2] and total == len(rows) - 1
+    assert request_blocks.large_requests(df.where("g is not null"), "g", 1_000, f"{tmp_path}/none")[0] is None
+    fit = lambda: ranker.train_pairwise_ranker(df, "g", max_position=3, iterations=5, step=0.3, reg=0.0)
+    whole = fit()
+    monkeypatch.setattr(request_blocks, "BLOCK_BYTES", 200)
+    # all, some and no requests in blocks
+    for most in (1_000, 50, 0):
+        monkeypatch.setattr(ranker, "REQUEST_BYTES", 24 * most)
+        model = fit()
+        assert np.allclose(model.weights, whole.weights, atol=1e-12) and np.allclose(model.losses, whole.losses)
+    assert len(whole.losses) > 2
+
+
 @pytest.mark.parametrize("reg, iterations", [(0.0, 12), (0.01, 3), (0.0, 0)])
 def test_packed_factorisation_equals_the_learner(spark, monkeypatch, reg, iterations):
     monkeypatch.setattr(factorization, "BLOCK_BYTES", 1_000)
